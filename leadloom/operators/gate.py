@@ -96,9 +96,9 @@ def evaluation_order(queue: DataFrame, pos: str = "pos") -> DataFrame:
     )
     starts = global_sum(firsts, "__first", F.col("__size"), "__start")
     joined = queue.join(starts, (F.col("domain") == F.col("__gd")) & (F.col("email_key") == F.col("__ge")))
-    ordered = running_before(joined, ["domain", "email_key"], pos, F.lit(1), "__in")
-    return ordered.withColumn("seq", F.col("__start") + F.col("__in")).drop(
-        "__gd", "__ge", "__first", "__size", "__start", "__in"
+    ordered = running_before(joined, ["domain", "email_key"], pos, F.lit(1), "__place")
+    return ordered.withColumn("seq", F.col("__start") + F.col("__place")).drop(
+        "__gd", "__ge", "__first", "__size", "__start", "__place"
     )
 
 
