@@ -117,7 +117,6 @@ CARD_NAME_STOP_WORDS = [
     "the", "team", "company", "privacy", "policy", "terms", "service",
     "cookie", "settings", "all", "rights", "reserved", "back", "next", "skip",
 ]
-CARD_MAX_TEXT = 60
 CARD_MAX_TITLE_WORDS = 6
 PERSON_RELATIONS = ["founder", "founders", "employee", "employees", "member", "members"]
 

@@ -86,6 +86,10 @@ def is_real_address(address: Column, junk_domains=None) -> Column:
     )
 
 
+def real_addresses(addresses: Column, junk_domains=None) -> Column:
+    return F.filter(addresses, lambda a: is_real_address(a, junk_domains))
+
+
 def addresses_in_text(text: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(as_col(text), F.lit(fixed.EMAIL_PATTERN), F.lit(0)), lambda a: F.lower(a))
 
@@ -111,7 +115,7 @@ def own_domain_first(addresses: Column, site_domain: Column) -> Column:
 
 
 def page_addresses(html: Column | str, site_domain: Column | str) -> Column:
-    return own_domain_first(F.filter(raw_addresses(html), is_real_address), as_col(site_domain))
+    return own_domain_first(real_addresses(raw_addresses(html)), as_col(site_domain))
 
 
 def clean_text(html: Column | str, markdown: bool = False) -> Column:

@@ -2,69 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from leadloom import fixed_values as fixed
 from leadloom.functions import html as H
 from leadloom.functions import urls
+from leadloom.functions.own_text import short_own_texts
 from leadloom.functions.text import as_col, collapse_space, first_of, matches, strip, words
 from leadloom.operators.ordering import first_k, keep_first, running_before
 
 # --------------------------------------------------------------------------
 # People on a page
 # --------------------------------------------------------------------------
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_SILENT = frozenset(("script", "style", "template"))
-
-
-class _OwnText(HTMLParser):
-    """Own text of each element, in the order in which elements open."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.texts: list[list[str]] = []
-        self.open: list[tuple[str, int]] = []
-
-    def handle_starttag(self, tag, attrs):
-        self.texts.append([])
-        if tag not in _VOID:
-            self.open.append((tag, len(self.texts) - 1))
-
-    def handle_startendtag(self, tag, attrs):
-        self.texts.append([])
-
-    def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth][0] == tag:
-                del self.open[depth:]
-                return
-
-    def handle_data(self, data):
-        if self.open and self.open[-1][0] not in _SILENT:
-            self.texts[self.open[-1][1]].append(data)
-
-
-def _own_texts(markup: str | None) -> list[str]:
-    parser = _OwnText()
-    parser.feed(markup or "")
-    parser.close()
-    joined = (" ".join("".join(parts).split()) for parts in parser.texts)
-    return [text for text in joined if text and len(text) <= fixed.CARD_MAX_TEXT]
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def short_own_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Short own texts of a page's elements, in document order."""
-    for batch in batches:
-        yield batch.map(_own_texts)
-
-
 def card_candidates(texts: Column) -> Column:
     """array<struct<kind, text>>: titles are tested before names, since a
     role such as 'Senior Engineer' is shaped like a name."""
@@ -304,8 +254,8 @@ def read_pages(visited: DataFrame, markdown: bool = False) -> DataFrame:
             "emails",
             first_of(
                 [
-                    (as_html, F.filter(H.raw_addresses("html"), H.is_real_address)),
-                    (readable & F.col("__doc"), F.filter(F.array_distinct(H.addresses_in_text("html")), H.is_real_address)),
+                    (as_html, H.real_addresses(H.raw_addresses("html"))),
+                    (readable & F.col("__doc"), H.real_addresses(F.array_distinct(H.addresses_in_text("html")))),
                 ],
                 F.array().cast("array<string>"),
             ),

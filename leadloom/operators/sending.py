@@ -10,6 +10,7 @@ from leadloom.functions import addresses as A
 from leadloom.functions import schedule as S
 from leadloom.functions.text import blank_to_null, first_of
 from leadloom.operators.ordering import global_index
+from leadloom.session import settle
 
 
 # --------------------------------------------------------------------------
@@ -79,34 +80,33 @@ def accepted_items(items: DataFrame) -> DataFrame:
     """(email, step, pos) of the items that go out if every send succeeds.
 
     A lead's next step is the first item with that step after the previous
-    accepted one.  A sequence has at most MAX_SEQUENCE_STEP such links, so
-    each link is one join on the lead and one partial minimum: nothing
-    gathers a lead's items.
+    accepted one.  A sequence has at most MAX_SEQUENCE_STEP such links; each
+    is one join on the address and one partial minimum, all on the same
+    partitioning, and nothing gathers a lead's items.
     """
     eligible = items.where(~F.col("suppressed") & (F.col("lead_status") == "active")).select(
         "email", "step", "pos", "lead_step"
     )
-    link = (
-        eligible.where(F.col("step") == F.col("lead_step") + 1)
-        .groupBy("email", "step").agg(F.min("pos").alias("pos"))
-    )
-    links = [link]
-    for _ in range(fixed.MAX_SEQUENCE_STEP - 1):
-        open_links = link.where(~completes(F.col("step"))).select(
-            F.col("email").alias("__e"), (F.col("step") + 1).alias("__s"), F.col("pos").alias("__p")
-        )
-        link = (
-            eligible.join(
-                open_links,
-                (F.col("email") == F.col("__e")) & (F.col("step") == F.col("__s")) & (F.col("pos") > F.col("__p")),
-            )
-            .groupBy("email", "step").agg(F.min("pos").alias("pos"))
+    opening = F.min(F.when(F.col("step") == F.col("lead_step") + 1, F.col("pos")))
+    chain = eligible.groupBy("email", "lead_step").agg(opening.alias("p1")).where(F.col("p1").isNotNull())
+    for n in range(2, fixed.MAX_SEQUENCE_STEP + 1):
+        before = [f"p{i}" for i in range(1, n)]
+        reached = F.col("lead_step") + (n - 1)
+        follow = eligible.select(F.col("email").alias("__e"), F.col("step").alias("__s"), F.col("pos").alias("__p"))
+        linked = chain.join(
+            follow,
+            (F.col("email") == F.col("__e")) & (F.col("__s") == reached + 1) & (F.col("__p") > F.col(f"p{n - 1}"))
+            & ~completes(reached),
+            "left",
         )
-        links.append(link)
-    accepted = links[0]
-    for more in links[1:]:
-        accepted = accepted.unionByName(more)
-    return accepted
+        chain = linked.groupBy("email", "lead_step", *before).agg(F.min("__p").alias(f"p{n}"))
+    links = F.array(*[
+        F.struct((F.col("lead_step") + n).alias("step"), F.col(f"p{n}").alias("pos"))
+        for n in range(1, fixed.MAX_SEQUENCE_STEP + 1)
+    ])
+    return chain.select("email", F.explode(links).alias("l")).select("email", "l.step", "l.pos").where(
+        F.col("pos").isNotNull()
+    )
 
 
 # --------------------------------------------------------------------------
@@ -152,16 +152,13 @@ def plan_sends(queue: DataFrame, leads: DataFrame, suppression: DataFrame, mailb
     Decisions: sent, suppressed, inactive, out_of_order, cap_reached, and
     not_reached beyond `limit`; not_due only with `enforce_due`.
     """
-    items = queue_state(queue, leads, suppression)
+    columns = ["pos", "email", "step", "suppressed", "lead_status", "lead_step", "lead_next"]
+    items = settle(queue_state(queue, leads, suppression).select(*columns), "queue-state")
+    early = F.lit(False)
     if enforce_due:
-        items = items.withColumn(
-            "__early", (F.col("lead_status") == "active") & F.coalesce(F.col("lead_next") > as_of, F.lit(False))
-        )
-        candidates = items.where(~F.col("__early"))
-    else:
-        items = items.withColumn("__early", F.lit(False))
-        candidates = items
-    accepted = global_index(accepted_items(candidates), "pos", "send_rank")
+        early = (F.col("lead_status") == "active") & F.coalesce(F.col("lead_next") > as_of, F.lit(False))
+    candidates = items.where(~early)
+    accepted = settle(global_index(accepted_items(candidates), "pos", "send_rank"), "accepted")
     slots = mailbox_slots(remaining_capacity(mailboxes, counts_today, F.to_date(as_of)))
     capacity = slots.agg(F.count(F.lit(1))).scalar()
     chain = accepted.select(
@@ -190,19 +187,20 @@ def plan_sends(queue: DataFrame, leads: DataFrame, suppression: DataFrame, mailb
             (F.coalesce(F.col("pos") >= F.col("__full"), F.lit(False)), F.lit("cap_reached")),
             (F.col("suppressed"), F.lit("suppressed")),
             (inactive, F.lit("inactive")),
-            (F.col("__early"), F.lit("not_due")),
+            (early, F.lit("not_due")),
             (F.col("send_rank").isNull(), F.lit("out_of_order")),
         ],
         F.lit("sent"),
     )
     sent = F.col("decision") == "sent"
-    return (
+    decisions = (
         decided.withColumn("decision", decision)
         .withColumn("mailbox", F.when(sent, F.col("mailbox")))
         .withColumn("next_send_at", F.when(sent, S.next_send_at("step", as_of)))
         .withColumn("completes", F.when(sent, completes(F.col("step"))))
-        .select(*queue.columns, "email", "decision", "mailbox", "next_send_at", "completes")
+        .select(F.col("pos").alias("__pos"), "email", "decision", "mailbox", "next_send_at", "completes")
     )
+    return queue.join(decisions, F.col("pos") == F.col("__pos")).drop("__pos")
 
 
 def send_summary(plan: DataFrame, send_results: DataFrame | None = None) -> DataFrame:

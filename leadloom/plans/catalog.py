@@ -76,8 +76,9 @@ def full_sql(text: str) -> str:
     if not found:
         return body
     views = ",\n".join(f"{n} AS ({_NAME.sub(r'\1', VIEWS[n]).strip()})" for n in found)
-    if body[:5].upper() == "WITH ":
-        return f"WITH {views},\n{body[5:]}"
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(opening):
+            return f"{opening}{views},\n{body[len(opening):]}"
     return f"WITH {views}\n{body}"
 
 

@@ -154,6 +154,7 @@ VIEWS = {
                concat(text, ' ',
                       CASE WHEN conv_id % 6 = 0 THEN concat('to ', email, CASE WHEN turn % 3 = 0 THEN ': 550 5.1.1 user unknown'
                               WHEN turn % 3 = 1 THEN ': 450 4.2.2 mailbox full, try again later' ELSE ': no idea' END)
+                           WHEN conv_id % 6 = 1 AND turn % 2 = 0 THEN 'ask nobody@nowhere.org'
                            WHEN conv_id % 6 = 1 THEN concat('please ask nobody@nowhere.org or ', upper(email))
                            WHEN (conv_id + turn) % 7 = 0 THEN 'Please unsubscribe me, not interested.'
                            WHEN (conv_id + turn) % 7 = 1 THEN 'I am out of the office, back on 12/25/2026.'
@@ -162,7 +163,7 @@ VIEWS = {
                            WHEN (conv_id + turn) % 7 = 4 THEN 'annual leave, back 02/29 or so'
                            ELSE 'Interested, tell me more.' END) AS body,
                CASE WHEN conv_id % 18 = 0 THEN 'Status: 4.2.2' WHEN conv_id % 18 = 6 THEN 'Status: 5.1.1' ELSE '' END AS dsn,
-               {_minutes('2024-02-10 00:00:00', '(conv_id * 97 + turn * 11) % 28000')} AS received_at
+               {_minutes('2024-02-10 00:00:00', '(conv_id * 7919 + turn * 1117) % 28000')} AS received_at
         FROM (SELECT conv_id, turn, text, {_domain(_domain_number('(conv_id * 3 + turn)'))} AS domain,
                      {_email('(conv_id * 3 + turn)')} AS email FROM <<conversations>>) m""",
     "v_processed": """

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "leadloom", master: str | None = None, **conf) -> SparkSession:
@@ -48,3 +48,14 @@ def shared_folder(spark: SparkSession) -> str:
 def new_work_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has written to yet."""
     return os.path.join(shared_folder(spark), "leadloom", f"{name}-{uuid.uuid4().hex}")
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Cuts the lineage at a stage edge: what reads the table several times does
+    not compute it again, and a lost executor costs only its own tasks.
+    """
+    path = new_work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
