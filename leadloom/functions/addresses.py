@@ -38,9 +38,7 @@ def name_parts(name: Column | str) -> Column:
     return F.when(usable, F.struct(first.alias("first"), last.alias("last")))
 
 
-def fill_template(template: str, name: Column | str) -> Column:
-    """Local part for one template; NULL when the name has no usable parts."""
-    parts = name_parts(name)
+def _fill(template: str, parts: Column) -> Column:
     values = {
         "f": parts["first"], "l": parts["last"],
         "fi": F.substring(parts["first"], 1, 1), "li": F.substring(parts["last"], 1, 1),
@@ -57,7 +55,17 @@ def fill_template(template: str, name: Column | str) -> Column:
 
 
 def template_locals(name: Column | str, templates=None) -> Column:
-    return F.array(*[fill_template(t, name) for t in (templates or fixed.ADDRESS_TEMPLATES)])
+    """Local part per template; NULLs when the name has no usable parts.
+
+    The parts are bound once and shared by all templates.
+    """
+    templates = templates or fixed.ADDRESS_TEMPLATES
+    filled = F.transform(F.array(name_parts(name)), lambda p: F.array(*[_fill(t, p) for t in templates]))
+    return F.get(filled, F.lit(0))
+
+
+def fill_template(template: str, name: Column | str) -> Column:
+    return F.get(template_locals(name, [template]), F.lit(0))
 
 
 def template_of(name: Column | str, address: Column | str, templates=None) -> Column:

@@ -10,6 +10,7 @@ from leadloom.functions import prompts as P
 from leadloom.functions import responses as R
 from leadloom.functions.text import first_of
 from leadloom.operators.ordering import keep_first, running_before
+from leadloom.schemas import ANALYSIS_FIELDS
 
 QUOTED_FIELDS = ["recent_events", "pains", "hooks"]
 
@@ -40,12 +41,19 @@ def prompt_chunks(pages: DataFrame, max_chars: int = fixed.MAX_PROMPT_CHARS) ->
 def extraction_prompts(crawled: DataFrame, max_chars: int = fixed.MAX_PROMPT_CHARS,
                        template: str = P.EXTRACTION_TEMPLATE) -> DataFrame:
     """(domain, prompt) for usable crawl results."""
-    usable = crawled.where(F.col("status") == "ok")
-    chunks = prompt_chunks(pages_of(usable), max_chars)
+    return extraction_prompts_of(crawled.select("domain", "status"), pages_of(crawled), max_chars, template)
+
+
+def extraction_prompts_of(statuses: DataFrame, pages: DataFrame, max_chars: int = fixed.MAX_PROMPT_CHARS,
+                          template: str = P.EXTRACTION_TEMPLATE) -> DataFrame:
+    """The same from page rows; pages are cut to the budget before a domain's
+    chunks are gathered, so a domain of any size gathers max_chars at most."""
+    usable = statuses.where(F.col("status") == "ok").select("domain")
+    chunks = prompt_chunks(pages.join(usable, "domain", "left_semi"), max_chars)
     texts = chunks.groupBy(F.col("domain").alias("__d")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "chunk"))), lambda c: c["chunk"]), "\n").alias("__t")
     )
-    joined = usable.select("domain").join(texts, F.col("domain") == F.col("__d"), "left")
+    joined = usable.join(texts, F.col("domain") == F.col("__d"), "left")
     return joined.select(
         "domain", P.fill(template, pages_text=F.col("__t"), domain=F.col("domain")).alias("prompt")
     )
@@ -107,6 +115,11 @@ def clamp_extractions(extractions: DataFrame, pages: DataFrame) -> DataFrame:
 
 def analyses(crawled: DataFrame, responses: DataFrame) -> DataFrame:
     """One analysis per crawled domain.  responses: domain, raw_text, error."""
+    return analyses_of(crawled.select("domain", "status"), pages_of(crawled), responses)
+
+
+def analyses_of(crawled: DataFrame, pages: DataFrame, responses: DataFrame) -> DataFrame:
+    """The same from statuses and page rows."""
     answers = responses.select(F.col("domain").alias("__d"), "raw_text", F.col("error").alias("__error"))
     joined = crawled.select("domain", F.col("status").alias("__crawl")).join(
         answers, F.col("domain") == F.col("__d"), "left"
@@ -130,12 +143,10 @@ def analyses(crawled: DataFrame, responses: DataFrame) -> DataFrame:
         F.lit(None).cast("string"),
     )
     flat = read.withColumn("status", status).withColumn("error", error)
-    from leadloom.schemas import ANALYSIS_FIELDS
-
     ok = flat.where(F.col("status") == "ok").select(
         "domain", *[F.col(f"__x.{f.name}").alias(f.name) for f in ANALYSIS_FIELDS.fields]
     )
-    clamped = clamp_extractions(ok, pages_of(crawled.where(F.col("status") == "ok"))).withColumn(
+    clamped = clamp_extractions(ok, pages).withColumn(
         "signal_gate", R.signal_gate(F.col("disqualifiers"), F.col("hooks"))
     )
     return flat.select("domain", "status", "error").join(

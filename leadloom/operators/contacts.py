@@ -11,6 +11,7 @@ from leadloom.functions import urls
 from leadloom.functions.text import first_of, text_array
 from leadloom.operators.ordering import first_k, keep_first
 from leadloom.schemas import CONTACTS
+from leadloom.session import settle
 
 # Local parts with up to this many words list all their word sets as join
 # keys; longer ones go through one key per word and a containment test.
@@ -160,8 +161,11 @@ def guessed_candidates(domains: DataFrame, emails: DataFrame, prefixes=None) ->
 
 
 def build_candidates(domains: DataFrame, emails: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(candidates, pending people) of every domain."""
-    matched = match_people(emails, people)
+    """(candidates, pending people) of every domain.
+
+    Four steps read the matches, so they are written once.
+    """
+    matched = settle(match_people(emails, people), "matched")
     templates = domain_templates(template_votes(matched))
     derived, pending = derive_addresses(people, matched, templates)
     found = scraped_candidates(matched).unionByName(derived).unionByName(guessed_candidates(domains, emails))

@@ -247,7 +247,7 @@ VIEWS = {
         SELECT domain, CASE WHEN domain = 'site0.com' THEN 'ok' WHEN c % 11 = 3 THEN 'blocked' WHEN c % 11 = 4 THEN 'crawl_failed' ELSE 'ok' END AS status
         FROM (SELECT domain, count(*) + length(domain) + min(pos) AS c FROM <<v_crawl_pages>> GROUP BY domain) s""",
     "v_claims": f"""
-        SELECT domain, pos, 'hooks' AS field, CASE WHEN pos % 5 = 0 THEN upper(substr(text, 3, 50)) ELSE substr(text, 3, 50) END AS quote,
+        SELECT domain, pos, 'hooks' AS field, CASE WHEN pos % 5 = 0 THEN translate(substr(text, 3, 50), 'abcdefgh', 'ABCDEFGH') ELSE substr(text, 3, 50) END AS quote,
                CASE WHEN pos % 23 = 0 THEN '' ELSE url END AS source_url
         FROM <<v_crawl_pages>>
         UNION ALL

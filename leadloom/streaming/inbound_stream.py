@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from leadloom import fixed_values as fixed
 from leadloom.operators import inbound, state
+from leadloom.operators.ordering import keep_first
 
 
 def once_per_uid(messages: DataFrame, days: int = fixed.LOOK_BACK_DAYS) -> DataFrame:
@@ -80,6 +81,29 @@ def latest_state(spark: SparkSession, out: str) -> DataFrame:
     return rows.groupBy("email").agg(last.alias("s")).select("email", "s.*")
 
 
+def start_upserts(rows: DataFrame, keys: list[str], order: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Keyed upserts: each batch adds its last row per key.
+
+    Nothing is rewritten in place; `latest_rows` reads the table as of the
+    last batch, and a batch that runs twice overwrites its own folder.
+    """
+    def store(batch: DataFrame, batch_id: int) -> None:
+        last = keep_first(batch, keys, [F.desc(order)]).withColumn("batch_id", F.lit(batch_id))
+        last.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+
+    return (
+        rows.writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def latest_rows(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    rows = spark.read.parquet(out).drop("batch")
+    return keep_first(rows, keys, [F.desc("batch_id")]).drop("batch_id")
+
+
 def start_table(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append a stream to a Parquet table, each row once."""
     return (
