@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadloom import fixed_values as fixed
-from leadloom.functions.text import as_col, first_of, matches, strip_fences, text_array
+from leadloom.functions.text import as_col, collapse_space, first_of, strip_fences
 from leadloom.schemas import ANALYSIS_FIELDS, DRAFT_ITEMS, JUDGE_SCORES, SENTIMENT
 
 
@@ -73,8 +73,7 @@ def read_sentiment(raw: Column | str, error: Column | str) -> Column:
 
 def normalize_quote(text: Column | str) -> Column:
     straight = F.translate(as_col(text), "’‘", "''")
-    lowered = F.lower(F.regexp_replace(straight, r"(?U)^\s+|\s+$", ""))
-    return F.regexp_replace(lowered, r"(?U)\s+", " ")
+    return collapse_space(F.lower(straight))
 
 
 def signal_gate(disqualifiers: Column, hooks: Column, threshold: int = fixed.MIN_HOOK_SPECIFICITY) -> Column:

@@ -8,6 +8,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# White space of every kind.  The classes test the common letters first, which
+# keeps a scan over a long text cheap.
+_SPACES = r"\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+SPACE = rf"[[^!-~\xA1-\u167F]&&[{_SPACES}]]"
+NOT_SPACE = rf"[!-~\xA1-\u167F[^{_SPACES}]]"
+SPACE_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -50,21 +58,27 @@ def kept(items: list[Column]) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def collapse_space(c: Column) -> Column:
-    return F.regexp_replace(strip(c), r"(?U)\s+", " ")
+    return F.regexp_replace(strip(c), f"{SPACE}+", " ")
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
+    return F.regexp_extract_all(c, F.lit(f"{NOT_SPACE}+"), F.lit(0))
 
 
 def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def bind(value: Column, use) -> Column:
+    """use(value) with value computed once per row, however often `use` and
+    the lambdas inside it refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_of(cases: list[tuple[Column, Column]], otherwise: Column) -> Column:
     """CASE WHEN chain: the first condition that holds decides."""
     head, *rest = cases

@@ -13,11 +13,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from leadloom.plans.inputs import VIEWS
+from leadloom.session import spread
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
 ]
+# Tables whose rows are long texts.
+TEXT_TABLES = {"documents", "pages", "conversations"}
 _NAME = re.compile(r"<<(\w+)>>")
 
 
@@ -34,7 +37,8 @@ class Inputs:
 
     def _load(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return spread(df) if name in TEXT_TABLES else df
         text = VIEWS[name]
         escaped = text.replace("{", "{{").replace("}", "}}")
         return self.spark.sql(_NAME.sub(r"{\1}", escaped), **{n: self(n) for n in set(_NAME.findall(text))})

@@ -50,6 +50,16 @@ def new_work_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), "leadloom", f"{name}-{uuid.uuid4().hex}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than cores over all of them.
+
+    Text work is bound by the processor, and one row group is one task.  A
+    scan that has enough splits is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
