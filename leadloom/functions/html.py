@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from leadloom import fixed_values as fixed
 from leadloom.functions import urls
-from leadloom.functions.text import all_matches, any_case, as_col, collapse_space, matches, strip
+from leadloom.functions.text import all_matches, as_col, bind, collapse_space, matches, strip
 
 NAMED_ENTITIES = [
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
@@ -35,9 +35,11 @@ def decode_entities(text: Column) -> Column:
         code = F.when(F.lower(entity).startswith("&#x"), F.conv(digits, 16, 16)).otherwise(F.conv(digits, 10, 16))
         return F.replace(acc, entity, F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"))
 
-    numeric = F.array_distinct(all_matches(text, "&#(?:[xX][0-9a-fA-F]{1,5}|[0-9]{1,6});"))
-    decoded = F.when(text.contains("&#"), F.aggregate(numeric, text, one)).otherwise(text)
-    return reduce(lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), NAMED_ENTITIES, decoded)
+    def numeric(whole: Column) -> Column:
+        found = F.array_distinct(all_matches(whole, "&#(?:[xX][0-9a-fA-F]{1,5}|[0-9]{1,6});"))
+        return F.when(whole.contains("&#"), F.aggregate(found, whole, one)).otherwise(whole)
+
+    return reduce(lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), NAMED_ENTITIES, bind(text, numeric))
 
 
 def without_elements(html: Column, names: list[str]) -> Column:
@@ -52,7 +54,11 @@ def live_markup(html: Column | str) -> Column:
 
 def visible_text(html: Column | str) -> Column:
     """Every visible string, tags replaced by one blank."""
-    return decode_entities(F.ltrim(F.regexp_replace(live_markup(html), rf"(?s)(?:{TAG})+", " ")))
+    return _visible(live_markup(html))
+
+
+def _visible(live: Column) -> Column:
+    return decode_entities(F.ltrim(F.regexp_replace(live, rf"(?s)(?:{TAG})+", " ")))
 
 
 def looks_blocked(html: Column | str, sample_chars: int = fixed.BLOCK_SAMPLE_CHARS) -> Column:
@@ -61,8 +67,12 @@ def looks_blocked(html: Column | str, sample_chars: int = fixed.BLOCK_SAMPLE_CHA
 
 def links(html: Column | str) -> Column:
     """array<struct<href, text>> in document order."""
+    return _links(live_markup(html))
+
+
+def _links(live: Column) -> Column:
     pieces = F.filter(
-        F.split(live_markup(html), r"(?i)(?=<a\s)"),
+        F.split(live, r"(?i)(?=<a\s)"),
         lambda piece: piece.rlike(r"(?is)^<a\s[^>]*?\bhref\s*="),
     )
 
@@ -96,14 +106,17 @@ def addresses_in_text(text: Column | str) -> Column:
 
 def raw_addresses(html: Column | str) -> Column:
     """Distinct lower-case addresses of mailto links and of the visible text."""
-    targets = F.transform(
-        F.filter(links(html), lambda a: F.lower(a["href"]).startswith("mailto:")),
-        lambda a: strip(F.split_part(F.substr(a["href"], F.lit(8)), F.lit("?"), F.lit(1))),
-    )
-    linked = F.transform(
-        F.filter(targets, lambda t: t.rlike(f"^(?:{fixed.EMAIL_PATTERN})$")), lambda t: F.lower(t)
-    )
-    return F.array_union(linked, addresses_in_text(visible_text(html)))
+    def found(live: Column) -> Column:
+        targets = F.transform(
+            F.filter(_links(live), lambda a: F.lower(a["href"]).startswith("mailto:")),
+            lambda a: strip(F.split_part(F.substr(a["href"], F.lit(8)), F.lit("?"), F.lit(1))),
+        )
+        linked = F.transform(
+            F.filter(targets, lambda t: t.rlike(f"^(?:{fixed.EMAIL_PATTERN})$")), lambda t: F.lower(t)
+        )
+        return F.array_union(linked, addresses_in_text(_visible(live)))
+
+    return bind(live_markup(html), found)
 
 
 def own_domain_first(addresses: Column, site_domain: Column) -> Column:

@@ -41,7 +41,9 @@ def _domain_pattern(suffixes: tuple[str, ...]) -> str:
         nested.setdefault(country if head else "", []).append(head or suffix)
     single = "|".join(nested.pop("", []))
     groups = [rf"(?:{'|'.join(heads)})\.{country}" for country, heads in nested.items()]
-    return rf"(?:^|\.)([^.]+\.({'|'.join(groups + [single])}))$"
+    # A host that is itself a nested suffix has no label in front of it.
+    bare = rf"(?!(?:{'|'.join(groups)})$)" if groups else ""
+    return rf"(?:^|\.){bare}([^.]+\.({'|'.join(groups + [single])}))$"
 
 
 def suffix_of(host: Column, suffixes=None) -> Column:

@@ -73,11 +73,13 @@ def check_quotes(claims: DataFrame, pages: DataFrame) -> DataFrame:
 
     claims: domain, quote, source_url and anything else.
     """
+    # Normalised before the join: once per page, not once per claim on it.
     sources = first_page_per_url(pages).select(
-        F.col("domain").alias("__d"), F.col("url").alias("__u"), F.coalesce("text", F.lit("")).alias("__t")
+        F.col("domain").alias("__d"), F.col("url").alias("__u"),
+        R.normalize_quote(F.coalesce("text", F.lit(""))).alias("__t"),
     )
     given = (F.coalesce("quote", F.lit("")) != "") & (F.coalesce("source_url", F.lit("")) != "")
-    found = R.normalize_quote("__t").contains(R.normalize_quote("quote"))
+    found = F.col("__t").contains(R.normalize_quote("quote"))
     return (
         claims.join(sources, (F.col("domain") == F.col("__d")) & (F.col("source_url") == F.col("__u")), "left")
         .withColumn("verified", F.coalesce(given & found, F.lit(False)))

@@ -9,7 +9,7 @@ from leadloom import fixed_values as fixed
 from leadloom.functions import html as H
 from leadloom.functions import urls
 from leadloom.functions.own_text import short_own_texts
-from leadloom.functions.text import as_col, collapse_space, first_of, matches, strip, words
+from leadloom.functions.text import as_col, bind, first_of, matches, strip, words
 from leadloom.operators.ordering import first_k, keep_first, running_before
 
 # --------------------------------------------------------------------------
@@ -40,21 +40,24 @@ def pair_cards(candidates: Column, max_people: int = fixed.MAX_PEOPLE_PER_PAGE)
     The look-ahead for a title stops at the next name, and candidates are
     names or titles only, so a name is paired exactly when a title follows.
     """
-    following = F.transform(
-        candidates,
-        lambda c, i: F.struct(
-            c["kind"].alias("kind"), c["text"].alias("name"), F.get(candidates, i + 1).alias("next")
-        ),
-    )
-    paired = F.filter(following, lambda c: (c["kind"] == "name") & (c["next"]["kind"] == "title"))
-    return F.slice(distinct_people(F.transform(
-        paired, lambda c: F.struct(c["name"].alias("name"), c["next"]["text"].alias("title")))), 1, max_people)
+    def paired(cards: Column) -> Column:
+        following = F.transform(
+            cards,
+            lambda c, i: F.struct(c["kind"].alias("kind"), c["text"].alias("name"), F.get(cards, i + 1).alias("next")),
+        )
+        pairs = F.filter(following, lambda c: (c["kind"] == "name") & (c["next"]["kind"] == "title"))
+        return F.transform(pairs, lambda c: F.struct(c["name"].alias("name"), c["next"]["text"].alias("title")))
+
+    return F.slice(distinct_people(bind(candidates, paired)), 1, max_people)
 
 
 def distinct_people(people: Column) -> Column:
     """First entry per lower-case name of array<struct<name, title>>."""
-    names = F.transform(people, lambda p: F.lower(p["name"]))
-    return F.filter(people, lambda p, i: F.array_position(names, F.lower(p["name"])) == i + 1)
+    def firsts(listed: Column) -> Column:
+        names = F.transform(listed, lambda p: F.lower(p["name"]))
+        return bind(names, lambda ns: F.filter(listed, lambda p, i: F.array_position(ns, F.lower(p["name"])) == i + 1))
+
+    return bind(people, firsts)
 
 
 def jsonld_people(markup: Column | str, relations=None) -> Column:
