@@ -18,6 +18,13 @@ PROSE_PATTERNS = [
 ]
 
 
+# A text without any of these words holds no mention; one pass tells.
+TITLE_HINT = (
+    r"(?iu)founder|chief executive|ceo|president|owner|director|head of sales|sales manager|vp of sales|"
+    r"business development|marketing manager|general manager"
+)
+
+
 def prose_mentions(text: Column | str) -> Column:
     """array<struct<name, title, after>> over the three patterns in turn.
 
@@ -37,7 +44,8 @@ def prose_mentions(text: Column | str) -> Column:
                 ),
             )
         )
-    return F.concat(*found)
+    nothing = F.array().cast("array<struct<name:string,title:string,after:string>>")
+    return F.when(text.rlike(TITLE_HINT), F.concat(*found)).otherwise(nothing)
 
 
 def names_other_company(after: Column, own_key: Column) -> Column:
