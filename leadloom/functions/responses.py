@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadloom import fixed_values as fixed
-from leadloom.functions.text import as_col, collapse_space, first_of, strip_fences
+from leadloom.functions.text import as_col, bind, collapse_space, first_of, strip_fences
 from leadloom.schemas import ANALYSIS_FIELDS, DRAFT_ITEMS, JUDGE_SCORES, SENTIMENT
 
 
@@ -22,13 +22,17 @@ def is_json(text: Column) -> Column:
 def read_extraction(raw: Column | str) -> Column:
     """struct of the analysis keys plus parse_error.  Missing keys get an
     empty text or an empty array; a field of the wrong type reads as missing."""
-    body = _json_body(as_col(raw), "{")
-    data = F.from_json(body, ANALYSIS_FIELDS)
-    fields = []
-    for field in ANALYSIS_FIELDS.fields:
-        empty = F.lit("") if field.name in fixed.ANALYSIS_TEXT_KEYS else F.array().cast(field.dataType)
-        fields.append(F.coalesce(data[field.name], empty).alias(field.name))
-    return F.struct(*fields, (~is_json(body)).alias("parse_error"))
+    def read(body: Column) -> Column:
+        def fields(data: Column) -> Column:
+            filled = []
+            for field in ANALYSIS_FIELDS.fields:
+                empty = F.lit("") if field.name in fixed.ANALYSIS_TEXT_KEYS else F.array().cast(field.dataType)
+                filled.append(F.coalesce(data[field.name], empty).alias(field.name))
+            return F.struct(*filled, (~is_json(body)).alias("parse_error"))
+
+        return bind(F.from_json(body, ANALYSIS_FIELDS), fields)
+
+    return bind(_json_body(as_col(raw), "{"), read)
 
 
 def read_draft(raw: Column | str) -> Column:
@@ -49,26 +53,42 @@ def read_draft(raw: Column | str) -> Column:
 
 def read_judge(raw: Column | str, error: Column | str) -> Column:
     """Judge scores; a failed call or bad JSON leaves only `error` set."""
-    body, error = strip_fences(as_col(raw)), as_col(error)
-    scores = F.from_json(body, JUDGE_SCORES)
-    bad = first_of([(error.isNotNull(), error), (~F.coalesce(is_json(body), F.lit(False)), F.lit("invalid JSON"))],
-                   F.lit(None).cast("string"))
-    return F.struct(
-        *[F.when(bad.isNull(), scores[f.name]).alias(f.name) for f in JUDGE_SCORES.fields], bad.alias("error")
-    )
+    error = as_col(error)
+
+    def read(body: Column) -> Column:
+        bad = _problem(body, error)
+        return bind(
+            F.from_json(body, JUDGE_SCORES),
+            lambda scores: F.struct(
+                *[F.when(bad.isNull(), scores[f.name]).alias(f.name) for f in JUDGE_SCORES.fields], bad.alias("error")
+            ),
+        )
+
+    return bind(strip_fences(as_col(raw)), read)
+
+
+def _problem(body: Column, error: Column) -> Column:
+    """The error of a failed call, or that its answer is no JSON, or NULL."""
+    broken = F.when(~F.coalesce(is_json(body), F.lit(False)), F.lit("invalid JSON"))
+    return F.coalesce(error, broken)
 
 
 def read_sentiment(raw: Column | str, error: Column | str) -> Column:
     """Sentiment (neutral when the answer names none) or an error."""
-    body, error = strip_fences(as_col(raw)), as_col(error)
-    answer = F.from_json(body, SENTIMENT)
-    bad = first_of([(error.isNotNull(), error), (~F.coalesce(is_json(body), F.lit(False)), F.lit("invalid JSON"))],
-                   F.lit(None).cast("string"))
-    return F.struct(
-        F.when(bad.isNull(), F.coalesce(answer["sentiment"], F.lit("neutral"))).alias("sentiment"),
-        F.when(bad.isNull(), answer["confidence"]).alias("confidence"),
-        bad.alias("error"),
-    )
+    error = as_col(error)
+
+    def read(body: Column) -> Column:
+        bad = _problem(body, error)
+        return bind(
+            F.from_json(body, SENTIMENT),
+            lambda answer: F.struct(
+                F.when(bad.isNull(), F.coalesce(answer["sentiment"], F.lit("neutral"))).alias("sentiment"),
+                F.when(bad.isNull(), answer["confidence"]).alias("confidence"),
+                bad.alias("error"),
+            ),
+        )
+
+    return bind(strip_fences(as_col(raw)), read)
 
 
 def normalize_quote(text: Column | str) -> Column:

@@ -27,9 +27,16 @@ def with_claims(queue: DataFrame, analyses: DataFrame) -> DataFrame:
     return queue.join(known, F.col("domain") == F.col("__d"), "left").drop("__d")
 
 
-def automated_checks(items: DataFrame, **limits) -> DataFrame:
-    found = Q.gate_violations("subject", "body", "step", "claims", **limits)
-    return items.withColumn("rule_violations", found)
+def automated_checks(queue: DataFrame, analyses: DataFrame, **limits) -> DataFrame:
+    """Add `claims` and `rule_violations`.
+
+    What needs only the mail runs before the join, where rows are spread
+    evenly; after it, only opening mails with claims are looked at again.
+    """
+    ruled = queue.withColumn("__rules", Q.rule_violations("subject", "body", "step", **limits))
+    joined = with_claims(ruled, analyses).withColumn("__ground", Q.grounding_violation("body", "step", "claims"))
+    found = F.when(F.col("__ground").isNull(), F.col("__rules")).otherwise(F.array_append("__rules", F.col("__ground")))
+    return joined.withColumn("rule_violations", found).drop("__rules", "__ground")
 
 
 def with_scores(items: DataFrame, judged: DataFrame, keys: list[str]) -> DataFrame:
@@ -89,17 +96,21 @@ def needs_sampling(reviewed_so_far: Column, overall: Column, key: list[Column])
 
 def evaluation_order(queue: DataFrame, pos: str = "pos") -> DataFrame:
     """Add `seq`: items in order of their sequence's first appearance, then
-    of the queue.  A sequence's first position comes from a partial
-    aggregate; the running index orders only bucket counts in one task."""
-    firsts = queue.groupBy(F.col("domain").alias("__gd"), F.col("email_key").alias("__ge")).agg(
+    of the queue.
+
+    Worked out on the keys alone and joined back by position, so that bodies
+    move once.  A sequence's first position comes from a partial aggregate;
+    the running index orders only bucket sums in one task.
+    """
+    keys = queue.select(pos, "domain", "email_key")
+    firsts = keys.groupBy(F.col("domain").alias("__gd"), F.col("email_key").alias("__ge")).agg(
         F.min(pos).alias("__first"), F.count(F.lit(1)).alias("__size")
     )
     starts = global_sum(firsts, "__first", F.col("__size"), "__start")
-    joined = queue.join(starts, (F.col("domain") == F.col("__gd")) & (F.col("email_key") == F.col("__ge")))
+    joined = keys.join(starts, (F.col("domain") == F.col("__gd")) & (F.col("email_key") == F.col("__ge")))
     ordered = running_before(joined, ["domain", "email_key"], pos, F.lit(1), "__place")
-    return ordered.withColumn("seq", F.col("__start") + F.col("__place")).drop(
-        "__gd", "__ge", "__first", "__size", "__start", "__place"
-    )
+    places = ordered.select(F.col(pos).alias("__pos"), (F.col("__start") + F.col("__place")).alias("seq"))
+    return queue.join(places, F.col(pos) == F.col("__pos")).drop("__pos")
 
 
 def opening_results(judged: DataFrame, pos: str = "pos") -> DataFrame:

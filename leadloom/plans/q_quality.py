@@ -10,6 +10,7 @@ from leadloom.functions import quality as Q
 from leadloom.functions import responses as R
 from leadloom.operators import gate as G
 from leadloom.plans.catalog import Inputs, query
+from leadloom.session import settle
 
 WORDS = "len(list_filter(regexp_split_to_array(body, '\\s+'), lambda w : w <> ''))"
 LINKS = "regexp_matches(body, 'https?://|www\\.', 'i')"
@@ -121,8 +122,7 @@ def facts_table(t: Inputs) -> DataFrame:
 
 
 def checked_queue(t: Inputs) -> DataFrame:
-    keyed = G.with_group_key(t("v_queue"))
-    return G.automated_checks(G.with_claims(keyed, facts_table(t)))
+    return G.automated_checks(G.with_group_key(t("v_queue")), facts_table(t))
 
 
 def judged_queue(t: Inputs) -> DataFrame:
@@ -230,11 +230,11 @@ def qa_14(t):
 # ------------------------------------------------------------------ the gate
 def redrafted_queue(t: Inputs) -> DataFrame:
     """Judged redrafts: each sequence again, with a short body that passes."""
-    keyed = G.with_claims(G.with_group_key(t("v_queue")), facts_table(t))
+    keyed = G.with_group_key(t("v_queue"))
     again = keyed.withColumn("body", F.concat(F.lit("A short note on hook about and growing pains. "), F.col("email_key"))).withColumn(
         "subject", F.concat(F.lit("again "), F.col("step"))
     )
-    scored = G.with_scores(G.automated_checks(again), t("v_judge"), ["pos"])
+    scored = G.with_scores(G.automated_checks(again, facts_table(t)), t("v_judge"), ["pos"])
     return G.verdicts(G.evaluation_order(scored), 1000, [F.col("email_key"), F.col("step")])
 
 
@@ -256,7 +256,7 @@ def wn_16(t):
     SELECT v.pos, CASE WHEN o.verdict = 'fail_judge' THEN concat('again ', v.step) ELSE v.subject END AS subject, coalesce(o.verdict = 'fail_judge', false) AS is_redraft
     FROM o_verdicts v JOIN o_openers o ON o.domain = v.domain AND o.email_key = v.email_key""")
 def qa_15(t):
-    judged = judged_queue(t)
+    judged = settle(judged_queue(t), "judged")
     requests = G.redraft_requests(G.opening_results(judged))
     return G.apply_redrafts(judged, requests, redrafted_queue(t)).select("pos", "subject", "is_redraft")
 

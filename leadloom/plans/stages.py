@@ -78,7 +78,7 @@ def run_drafts(s: Settings, found: DataFrame, known: DataFrame, attempts: DataFr
 
 def run_gate(s: Settings, queue: DataFrame, known: DataFrame, judged: DataFrame) -> DataFrame:
     """Verdicts on a queue with `pos`; judged: pos, raw_text, error."""
-    checked = gate.automated_checks(gate.with_claims(gate.with_group_key(queue), known))
+    checked = gate.automated_checks(gate.with_group_key(queue), known)
     scored = gate.evaluation_order(gate.with_scores(checked, judged, ["pos"]))
     return settle(gate.verdicts(scored, s.reviewed_before, [F.col("email_key"), F.col("step")]), "judged")
 
