@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from leadloom import fixed_values as fixed
 from leadloom.functions.text import (
-    all_matches, as_col, blank_to_null, exact_case, first_of, matches, quote_plus, text_array,
-    unquote_plus, words,
+    as_col, bind, blank_to_null, first_of, matches, quote_plus, strip, unquote_plus, words,
 )
 
 
@@ -23,32 +22,30 @@ def public_suffixes() -> tuple[str, ...]:
 
 def host_of(url: Column | str) -> Column:
     """Host in lower case, without user, port or trailing dots."""
-    rest = F.regexp_replace(as_col(url), r"^(?:[a-zA-Z0-9+.\-]+:)?//", "")
-    authority = F.regexp_extract(rest, r"^([^/?#]*)", 1)
-    host = F.split_part(F.regexp_extract(authority, r"([^@]*)$", 1), F.lit(":"), F.lit(1))
-    return F.lower(F.regexp_replace(F.trim(host), r"\.+$", ""))
+    found = F.regexp_extract(as_col(url), r"^(?:(?:[a-zA-Z0-9+.\-]+:)?//)?(?:[^/?#]*@)?([^/?#@:]*)", 1)
+    return F.lower(F.rtrim(F.trim(found), F.lit(".")))
 
 
-@lru_cache(maxsize=16)
-def _domain_pattern(suffixes: tuple[str, ...]) -> str:
-    """One label and a known suffix at the end of a host.
+def _by_suffix(host: Column, suffixes, use) -> Column:
+    """use(host, n) for the longest known suffix, of n labels, or ''.
 
-    The leftmost match has the longest suffix, so one pass decides.
+    One hash look-up per number of labels a suffix can have.
     """
-    nested: dict[str, list[str]] = {}
-    for suffix in suffixes:
-        head, _, country = suffix.rpartition(".")
-        nested.setdefault(country if head else "", []).append(head or suffix)
-    single = "|".join(nested.pop("", []))
-    groups = [rf"(?:{'|'.join(heads)})\.{country}" for country, heads in nested.items()]
-    # A host that is itself a nested suffix has no label in front of it.
-    bare = rf"(?!(?:{'|'.join(groups)})$)" if groups else ""
-    return rf"(?:^|\.){bare}([^.]+\.({'|'.join(groups + [single])}))$"
+    levels: dict[int, list[str]] = {}
+    for suffix in suffixes or public_suffixes():
+        levels.setdefault(suffix.count(".") + 1, []).append(suffix)
+
+    def longest(h: Column) -> Column:
+        return first_of(
+            [(F.substring_index(h, ".", -n).isin(levels[n]), use(h, n)) for n in sorted(levels, reverse=True)], F.lit("")
+        )
+
+    return bind(host, longest)
 
 
 def suffix_of(host: Column, suffixes=None) -> Column:
     """Longest known public suffix of a host, or an empty string."""
-    return F.regexp_extract(host, _domain_pattern(tuple(suffixes or public_suffixes())), 2)
+    return _by_suffix(host, suffixes, lambda h, n: F.substring_index(h, ".", -n))
 
 
 def registrable_domain(raw: Column | str, suffixes=None) -> Column:
@@ -56,8 +53,14 @@ def registrable_domain(raw: Column | str, suffixes=None) -> Column:
 
     A text that does not start with "http" gets a scheme in front.
     """
-    host = host_of(F.regexp_replace(F.trim(as_col(raw)), "^(?!http)", "https://"))
-    return F.regexp_extract(host, _domain_pattern(tuple(suffixes or public_suffixes())), 1)
+    text = strip(as_col(raw))
+
+    def with_label(h: Column, n: int) -> Column:
+        domain = F.substring_index(h, ".", -n - 1)
+        return F.when((domain != F.substring_index(h, ".", -n)) & ~domain.startswith("."), domain).otherwise("")
+
+    host = host_of(F.when(text.startswith("http"), text).otherwise(F.concat(F.lit("https://"), text)))
+    return _by_suffix(host, suffixes, with_label)
 
 
 def geo_tag(domain: Column | str, suffixes=None, countries: dict | None = None) -> Column:
