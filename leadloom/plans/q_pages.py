@@ -101,14 +101,23 @@ MERGED = f"""
 """
 _CLEAN = drop_sql(drop_sql("live", ["head"]), H.DROPPED_ELEMENTS)
 _BLOCKS = "|".join(H.BLOCK_ELEMENTS)
-CLEAN = (
-    "array_to_string(list_filter(list_transform(string_split("
-    + decode_sql(
-        f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({_CLEAN}, '\\s+', ' ', 'g'), '(?i)</t[dh]>\\s*<t[dh]\\b[^>]*>', ' | ', 'g'), "
-        f"'(?i)</?({_BLOCKS})\\b[^>]*>', chr(10), 'g'), '<[a-zA-Z/!?][^>]*>', '', 'g')"
-    )
-    + ", chr(10)), lambda s : trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s : s <> ''), chr(10))"
-)
+
+
+def clean_sql(markdown: bool = False) -> str:
+    body = f"regexp_replace({_CLEAN}, '\\s+', ' ', 'g')"
+    if markdown:
+        for level in range(1, 7):
+            body = f"regexp_replace({body}, '(?i)<h{level}\\b[^>]*>\\s*', '<p>{'#' * level} ', 'g')"
+        for pattern, mark in (("<li\\b[^>]*>\\s*", "<li>- "), ("</?(b|strong)\\b[^>]*>", "**"), ("</?(i|em)\\b[^>]*>", "*"),
+                              ('<a\\s[^>]*?\\bhref\\s*=\\s*"([^"]*)"[^>]*>(.*?)</a>', "[\\2](\\1)")):
+            body = f"regexp_replace({body}, '(?i){pattern}', '{mark}', 'g')"
+    body = f"regexp_replace({body}, '(?i)</t[dh]>\\s*<t[dh]\\b[^>]*>', ' | ', 'g')"
+    body = f"regexp_replace(regexp_replace({body}, '(?i)</?({_BLOCKS})\\b[^>]*>', chr(10), 'g'), '<[a-zA-Z/!?][^>]*>', '', 'g')"
+    lines = f"list_transform(string_split({decode_sql(body)}, chr(10)), lambda s : trim(regexp_replace(s, '\\s+', ' ', 'g')))"
+    return f"array_to_string(list_filter({lines}, lambda s : s <> ''), chr(10))"
+
+
+CLEAN = clean_sql()
 BLOCKED = f"regexp_matches(substr(visible, 1, 3000), '{fixed.BLOCK_WALL_PATTERN}', 'i')"
 STOPS = ", ".join(f"'{w}'" for w in fixed.CARD_NAME_STOP_WORDS)
 CARDS = f"""
@@ -243,7 +252,7 @@ def ex_09(t):
     return site(t).select("pos", H.clean_text("html").alias("text"))
 
 
-@query("ex_09_clean_markdown")
+@query("ex_09_clean_markdown", f"WITH {PAGES} SELECT pos, {clean_sql(markdown=True)} AS text FROM o_live")
 def ex_09_markdown(t):
     return site(t).select("pos", H.clean_text("html", markdown=True).alias("text"))
 
