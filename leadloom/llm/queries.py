@@ -1,13 +1,17 @@
 """The registered queries of this subpackage and their SQL."""
 
+from leadloom.llm.language_id import op9_language_id
 from leadloom.llm.mixing import OP8_SQL, op8_mix_sources
 from leadloom.llm.quality_rules import OP1_SQL, op1_quality_rules
+from leadloom.llm.toxicity import op10_toxicity
 from leadloom.llm.url_filter import op7_url_filter
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op7_url_filter": op7_url_filter,
     "op8_mix_sources": op8_mix_sources,
+    "op9_language_id": op9_language_id,
+    "op10_toxicity": op10_toxicity,
 }
 #: The others learn, hash or parse in ways that SQL cannot express; tests hold them against brute force.
 SQL = {"op1_quality_rules": OP1_SQL, "op8_mix_sources": OP8_SQL}
