@@ -1,13 +1,17 @@
 """The registered queries of this subpackage and their SQL."""
 
+from leadloom.llm.bpe import op6_byte_bpe
 from leadloom.llm.language_id import op9_language_id
 from leadloom.llm.mixing import OP8_SQL, op8_mix_sources
+from leadloom.llm.near_dedup import op3_near_dedup
 from leadloom.llm.quality_rules import OP1_SQL, op1_quality_rules
 from leadloom.llm.toxicity import op10_toxicity
 from leadloom.llm.url_filter import op7_url_filter
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_near_dedup": op3_near_dedup,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_url_filter": op7_url_filter,
     "op8_mix_sources": op8_mix_sources,
     "op9_language_id": op9_language_id,

@@ -2,9 +2,9 @@
 
 Every word has a log-odds of standing in toxic texts.  Its prior is the rate of
 its longest counted prefix, whose prior is that of the next shorter one, down to
-the rate of all texts, so an unseen form leans on what it begins with.  With a
-small cost per word, one linear scan of a text finds all its maximal scoring
-segments.  By the theory of maximal segment scores the best one of n clean words
+the rate of all texts, so an unseen form leans on what it begins with; what is
+within the error of the counts is taken off.  With a small cost per word, one
+linear scan of a text finds all its maximal scoring segments.  By the theory of maximal segment scores the best one of n clean words
 exceeds x with probability 1 - exp(-K n exp(-lambda x)); lambda and K are
 estimated on clean texts, and the evidence of a text is that of its significant
 segments beyond chance.  A logistic fit turns evidence into the score.
@@ -41,6 +41,7 @@ LEVELS = len(PREFIXES) + 1
 MIN_TEXTS = 3
 PRIOR = 10.0
 COST = 0.2
+CAUTION = 1.5
 RANGE = (-1.0, 6.0)
 TOXIC_FROM = 0.7
 LAMBDAS = np.linspace(0.2, 2.6, 13)
@@ -88,7 +89,15 @@ def word_scores(rates: Rates, firsts: np.ndarray, levels: list) -> np.ndarray:
         place = key & np.uint64(_TABLE - 1)
         known = has & (rates.tags[level][place] == (key >> np.uint64(32)).astype(np.uint32))
         score[known] = rates.scores[level][place[known]]
-    return score.astype(np.float64) - COST
+    score = score.astype(np.float64) - COST
+    # A word speaks for toxicity once per text: repeats of it are no new evidence.
+    text = np.repeat(np.arange(len(firsts) - 1, dtype=np.uint64), np.diff(firsts))
+    speaking = np.flatnonzero(score > 0)
+    _, first = np.unique(mix(levels[-1][0][speaking] + text[speaking] * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+    again = np.ones(len(speaking), bool)
+    again[first] = False
+    score[speaking[again]] = -COST
+    return score
 
 
 def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
@@ -161,13 +170,17 @@ def _rates(counts: dict, folds, base: float) -> Rates:
         if len(above_units):
             place = np.minimum(np.searchsorted(above_units, above), len(above_units) - 1)
             prior = np.where(above_units[place] == above, above_rates[place], base)
-        rate = (toxic + PRIOR * prior) / (n + PRIOR)
+        for_, against = toxic + PRIOR * prior, n - toxic + PRIOR * (1 - prior)
+        odds = np.log(for_ / against) - logit(base)
+        # What is left of the log-odds after `CAUTION` standard errors.
+        sure = np.sign(odds) * np.maximum(0, np.abs(odds) - CAUTION * np.sqrt(1 / for_ + 1 / against))
+        rate = for_ / (for_ + against)
         keep = np.argsort(n, kind="stable")
         keep = keep[n[keep] > 0]
         key = unit[keep].astype(np.uint64)
         place = key & np.uint64(_TABLE - 1)
         tags[level][place] = (key >> np.uint64(32)).astype(np.uint32)
-        scores[level][place] = np.clip(logit(np.clip(rate[keep], 1e-4, 1 - 1e-4)) - logit(base), *RANGE)
+        scores[level][place] = np.clip(sure[keep], *RANGE)
         known = np.concatenate([above_units, unit])
         rates = np.concatenate([above_rates, rate])
         order = np.argsort(known, kind="stable")
