@@ -3,10 +3,10 @@
 Each permutation gives two signature values, the least and the greatest hash of
 a document's set, so half the hash evaluations make a signature of the same
 length.  Bands of it name buckets.  Documents with equal sets are one class from
-the start.  In a bucket every class is compared with the bucket's smallest one
-first; links are confirmed on the full sets.  Classes that are then still apart
-are compared with the bucket's other members, so no pair that shares a bucket
-is left open, and a large group of copies never meets itself in all pairs.
+the start.  In a bucket classes meet a few others first and links are confirmed
+on the full sets; only where a bucket stays in several parts are these compared
+in full, so no pair that shares a bucket is left open, and a large group of
+copies never meets itself in all pairs.
 
 At the least similarity asked for, 0.75, a pair misses all 40 bands of 5 values
 with probability (1 - 0.75 ** 5) ** 40 = 2e-5; at 0.8 with 1e-7.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.llm.common import byte_slices, letter_words, mix, random_words, read, space_table, word_bounds, word_hashes
-from leadloom.llm.components import components
+from leadloom.llm.components import link_buckets, shared_buckets
 from leadloom.session import settle
 
 WIDTH = 5
@@ -128,37 +128,6 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     return measured.where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are not in one component yet."""
-    left, right = (roots.select(F.col("node").alias(f"_{s}"), F.col("root").alias(f"_root_{s}")) for s in "ab")
-    joined = pairs.join(left, F.col("a") == F.col("_a"), "left").join(right, F.col("b") == F.col("_b"), "left")
-    return joined.where(F.coalesce("_root_a", "a") != F.coalesce("_root_b", "b")).select(*pairs.columns)
-
-
-def _open_pairs(members: DataFrame, roots: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket that are in different components and were not compared yet.
-
-    One side of each is outside the component of the bucket's smallest member;
-    sizes that differ too much cannot be similar.
-    """
-    placed = settle(
-        members.join(roots.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left")
-        .select("key", "node", "center", "n_shingles", F.coalesce("root", "node").alias("root")), "near-members")
-    split = settle(
-        placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.when(F.col("node") == F.col("center"), F.col("root"))).alias("main"))
-        .where(F.col("low") != F.col("high")).select(F.col("key").alias("_key"), "main"), "near-split")
-    unsettled = settle(placed.join(split, F.col("key") == F.col("_key")).where(F.col("node") != F.col("center")).drop("_key"), "near-open")
-    x = unsettled.where(F.col("root") != F.col("main")).select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "root", "n_shingles")])
-    y = unsettled.select(F.col("key").alias("_key"), *[F.col(c).alias(f"y_{c}") for c in ("node", "root", "n_shingles")])
-    close = (
-        (F.col("x_root") != F.col("y_root")) & (F.col("x_n_shingles") * 100 >= F.col("y_n_shingles") * percent)
-        & (F.col("y_n_shingles") * 100 >= F.col("x_n_shingles") * percent)
-    )
-    found = x.join(y, (F.col("key") == F.col("_key")) & close).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return found.join(done, ["a", "b"], "left_anti")
-
-
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     signed = settle(
@@ -167,26 +136,12 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = settle(
         signed.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull()).groupBy("cls")
         .agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "near-classes")
-    banded = classes.select("node", "n_shingles", F.explode("bands").alias("key"))
-    centers = settle(
-        banded.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("n")).where(F.col("n") > 1)
-        .select(F.col("key").alias("_key"), "center"), "near-centers")
-    members = settle(banded.join(centers, F.col("key") == F.col("_key")).drop("_key"), "near-buckets")
-    stars = settle(
-        members.where(F.col("node") != F.col("center")).groupBy(F.col("node").alias("a"), F.col("center").alias("b")).agg(F.count("*").alias("shared")),
-        "near-stars")
-    nodes = stars.select(F.col("a").alias("_node")).unionByName(stars.select(F.col("b").alias("_node"))).distinct()
+    shared = shared_buckets(classes.select("node", F.col("n_shingles").alias("size"), F.explode("bands").alias("key")))
+    nodes = settle(shared.select(F.col("node").alias("_node")).distinct(), "near-nodes")
+    # Texts to compare grow with the data, so this join is never a broadcast.
     texts = settle(
-        docs.select("doc_id", "text").join(nodes, F.col("doc_id") == F.col("_node")).select(F.col("doc_id").alias("node"), "text"), "near-texts")
-    # Each class first meets the smallest member it shares most buckets with; most groups are whole after that.
-    likely = stars.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
-    links = settle(confirmed(likely, texts, percent), "near-links")
-    roots = settle(components(links), "near-roots")
-    rest = _apart(stars.select("a", "b").join(likely.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"), roots)
-    links = settle(links.unionByName(confirmed(rest, texts, percent)), "near-links")
-    roots = settle(components(links), "near-roots")
-    more = settle(confirmed(_open_pairs(members, roots, stars, percent), texts, percent), "near-links")
-    roots = settle(components(links.unionByName(more)), "near-roots")
+        docs.select("doc_id", "text").join(nodes.hint("merge"), F.col("doc_id") == F.col("_node")).select(F.col("doc_id").alias("node"), "text"), "near-texts")
+    roots = settle(link_buckets(shared, lambda pairs: confirmed(pairs, texts, percent), percent), "near-roots")
     placed = settle(
         classes.select("cls", "node").join(roots.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left")
         .select(F.col("cls").alias("_cls"), F.coalesce("root", "node").alias("_component")), "near-components")
