@@ -1,21 +1,48 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read again by the next.
+
+The stages keep texts of a known language, drop toxic ones, keep one document of
+each near-duplicate group, mix the sources, and encode what is left.  All but
+the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import mixing
+from leadloom.llm import bpe, language_id, mixing, near_dedup, toxicity
 from leadloom.llm.common import read
 from leadloom.session import settle
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.keep_known(docs, language_id.train(docs))
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.one_of_each(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs)
 
 
-STAGES = [("mix_sources", mix_sources)]
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.digests(docs, *bpe.public_bpe())
+
+
+STAGES = [
+    ("language_id", known_languages),
+    ("toxicity", clean),
+    ("near_dedup", one_of_each),
+    ("mixing", mixed),
+    ("byte_bpe", encoded),
+]
 
-#: Stages learn and hash in ways that SQL cannot express; a brute-force version holds the whole against them.
+#: Stages learn, hash and encode in ways that SQL cannot express; a brute-force version holds the whole against them.
 ORACLE_SQL = None
 
 

@@ -1,7 +1,10 @@
 """The registered queries of this subpackage and their SQL."""
 
 from leadloom.llm.bpe import op6_byte_bpe
+from leadloom.llm.fingerprints import op5_fingerprints
+from leadloom.llm.html_extract import op2_html_text
 from leadloom.llm.language_id import op9_language_id
+from leadloom.llm.lm_score import op4_lm_score
 from leadloom.llm.mixing import OP8_SQL, op8_mix_sources
 from leadloom.llm.near_dedup import op3_near_dedup
 from leadloom.llm.quality_rules import OP1_SQL, op1_quality_rules
@@ -10,7 +13,10 @@ from leadloom.llm.url_filter import op7_url_filter
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_html_text": op2_html_text,
     "op3_near_dedup": op3_near_dedup,
+    "op4_lm_score": op4_lm_score,
+    "op5_fingerprints": op5_fingerprints,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_url_filter": op7_url_filter,
     "op8_mix_sources": op8_mix_sources,
