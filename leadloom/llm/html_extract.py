@@ -124,7 +124,7 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
             pattern = _LOOSE_TAG
             tag = pattern.match(html, start)
         if not tag:
-            if html.find(">", start) < 0:
+            if _TAG_START.match(html, start) and html.find(">", start) < 0:
                 parts.append(html[start:])
                 break
             parts.append("<")
