@@ -16,33 +16,39 @@ from pyspark.sql import functions as F
 
 from leadloom.session import settle
 
+#: A round of drawn meetings is repeated if one in so many gave a link.
+WORTH = 10
 
-def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
-    """Link the neighbours of each node, or its smaller ones, to its smallest neighbour."""
-    seen = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both_ways else edges
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Link the larger neighbours of each node to its smallest neighbour; a node may have very many."""
+    seen = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = settle(seen.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m")), "star-least")
-    joined = seen.join(least, F.col("u") == F.col("_u"))
-    if both_ways:
-        moved = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("_u").alias("u"), F.col("m").alias("v")))
-    return settle(moved.where(F.col("u") != F.col("v")).distinct(), "star")
+    moved = seen.join(least, F.col("u") == F.col("_u")).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return settle(moved.where(F.col("u") != F.col("v")).distinct(), "large-star")
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Link each node and its smaller neighbours to the smallest of them; these are few, as large nodes have been linked away."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    return settle(moved.where(F.col("u") != F.col("v")).distinct(), "small-star")
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every node has one link, to a node that has none: then each star is a component."""
+    twice = edges.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("u")
+    chained = edges.select("u").join(edges.select(F.col("v").alias("_v")).distinct(), F.col("u") == F.col("_v"), "left_semi")
+    return twice.unionByName(chained).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root of every node that has an edge in a table (a, b); the root is the smallest node reachable."""
     known = settle(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star-edges")
-    state = _state(known)
-    while True:
-        known = _star(_star(known, both_ways=True), both_ways=False)
-        before, state = state, _state(known)
-        if state == before:
-            return known.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                known.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    while not _is_star_forest(known):
+        known = _small_star(_large_star(known))
+    return known.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        known.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
@@ -61,7 +67,7 @@ def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
     placed = settle(
         shared.join(roots.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left")
         .select("key", "node", "size", F.coalesce("root", "node").alias("root")), "bucket-roots")
-    counted = settle(placed.groupBy("key", "root").agg(F.count("*").alias("n")), "bucket-parts")
+    counted = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
     split = settle(
         counted.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("n", -F.col("root"))).alias("main")).where(F.col("parts") > 1)
         .select(F.col("key").alias("_key"), "main"), "bucket-open")
@@ -72,10 +78,11 @@ def link_buckets(shared: DataFrame, confirm: Callable[[DataFrame], DataFrame], p
     """node, root of the graph whose links are the pairs of a bucket that `confirm` lets pass.
 
     First every node meets the smallest node that it shares most buckets with.
-    Then, as long as that finds links, every node of a bucket that is still
-    split meets one node of another part of it, drawn by hash.  At last the
-    nodes outside a bucket's commonest part meet all nodes of its other parts
-    whose size allows a link, so no pair of different parts is left open.
+    Then every node of a bucket that is still split meets one node of another
+    part of it, drawn by hash, again and again while one meeting in `WORTH`
+    gives a link: that joins the parts of large groups.  At last the nodes
+    outside a bucket's commonest part meet all nodes of its other parts whose
+    size allows a link, so no pair of different parts is left open.
     """
     stars = shared.where(F.col("node") != F.col("center")).groupBy(F.col("node").alias("a"), F.col("center").alias("b")).agg(F.count("*").alias("n"))
     links = settle(confirm(stars.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))), "links")
@@ -94,10 +101,15 @@ def link_buckets(shared: DataFrame, confirm: Callable[[DataFrame], DataFrame], p
             split.join(drawn, F.col("key") == F.col("_key")).select(F.col("node").alias("a"), met.alias("b"), F.xxhash64(F.lit(turn), "key").alias("turn"))
             .where(F.col("b").isNotNull()).groupBy("a").agg(F.min_by("b", "turn").alias("b"))
         )
+        meetings = settle(meetings, "meetings")
         links = settle(confirm(meetings), "links")
-        if links.isEmpty():
+        found = links.count()
+        if found:
+            roots = settle(components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
+        if found * WORTH < meetings.count() or not found:
             break
-        roots = settle(components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
+    if found:
+        split = _open(shared, roots)
     x = split.where(F.col("root") != F.col("main")).select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "root", "size")])
     y = split.select(F.col("key").alias("_key"), *[F.col(c).alias(f"y_{c}") for c in ("node", "root", "size")])
     close = (F.col("x_root") != F.col("y_root")) & (F.col("x_size") * 100 >= F.col("y_size") * percent) & (F.col("y_size") * 100 >= F.col("x_size") * percent)
