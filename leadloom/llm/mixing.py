@@ -53,7 +53,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, top:
         totals.withColumn("_wanted", F.sum("source_size").over(everything) * F.lit(share))
         .withColumn("_level", (F.col("_wanted") - F.coalesce(F.sum("_top").over(before), F.lit(0))) / F.sum("_weight").over(after))
         .withColumn("_open", F.col("_level") * F.col("_weight") <= F.col("_top"))
-        .withColumn("_final", F.min(F.when(F.col("_open"), F.struct(F.col("_top") / F.col("_weight"), F.col("_level").alias("level")))).over(everything)["level"])
+        .withColumn("_final", -F.min(F.when(F.col("_open"), F.struct(F.col("_top") / F.col("_weight"), (-F.col("_level")).alias("level")))).over(everything)["level"])
     )
     target = F.least(F.col("_top").cast("double"), F.coalesce(F.col("_final") * F.col("_weight"), F.col("_top").cast("double")))
     return levels.select(
@@ -111,7 +111,7 @@ WITH sizes AS (
       / (sum(w) OVER (ORDER BY cap::DOUBLE / w, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS lvl
   FROM weighed
 ), final AS (
-  SELECT (SELECT lvl FROM levels WHERE lvl * w <= cap ORDER BY cap::DOUBLE / w, lvl LIMIT 1) AS lvl
+  SELECT (SELECT lvl FROM levels WHERE lvl * w <= cap ORDER BY cap::DOUBLE / w, lvl DESC LIMIT 1) AS lvl
 ), targets AS (
   SELECT source, source_size, least(cap::DOUBLE, coalesce(final.lvl * w, cap::DOUBLE)) AS target FROM weighed, final
 ), rated AS (

@@ -146,7 +146,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         classes.select("cls", "node").join(roots.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left")
         .select(F.col("cls").alias("_cls"), F.coalesce("root", "node").alias("_component")), "near-components")
     return signed.join(placed, F.col("cls") == F.col("_cls"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"),
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id")).alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("_component", "doc_id"), F.lit(True)).alias("kept"))
 
 

@@ -224,8 +224,8 @@ def test_repeated_blocks_of_a_host(spark):
         (i, f"http://{'hot' if i < 400 else 'two'}.example.org/{i}", f"<body><div>{menu}</div><div><p>Own text {i} of page {i * 7} here</p><p>{notice}</p></div>")
         for i in range(402)
     ] + [(900 + i, "http://copy.example.org/", "<p>The same page as all others of this host</p>") for i in range(5)] + [(None, None, None)]
-    clash = ", ".join(f"{i} AS {c}" for i, c in enumerate(CLASHING))
-    found = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", clash)).collect()}
+    clash = [f"{i} AS {c}" for i, c in enumerate(CLASHING)]
+    found = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", *clash)).collect()}
     assert all(found[i] == f"Own text {i} of page {i * 7} here" for i in range(400))
     assert found[400].startswith(menu) and found[900] == "The same page as all others of this host" and found[None] == ""
 
