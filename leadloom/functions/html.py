@@ -26,6 +26,8 @@ BLOCK_ELEMENTS = [
     "h4", "h5", "h6", "head", "hr", "html", "li", "main", "ol", "p", "pre", "section", "table", "title", "tr", "ul",
 ]
 TAG = r"<[a-zA-Z/!?][^>]*>"
+# Possessive, so that a run of any length takes no stack.
+TAG_RUN = r"(?s)(?:<[a-zA-Z/!?][^>]*+>)++"
 
 
 def decode_entities(text: Column) -> Column:
@@ -43,7 +45,8 @@ def decode_entities(text: Column) -> Column:
 
 
 def without_elements(html: Column, names: list[str]) -> Column:
-    return F.regexp_replace(html, rf"(?is)<({'|'.join(names)})\b[^>]*>.*?</\1\s*>", " ")
+    """Elements cut out; one that is never closed ends with the page, as in a parser."""
+    return F.regexp_replace(html, rf"(?is)<({'|'.join(names)})\b[^>]*+>.*?(?:</\1\s*+>|\z)", " ")
 
 
 def live_markup(html: Column | str) -> Column:
@@ -58,7 +61,7 @@ def visible_text(html: Column | str) -> Column:
 
 
 def _visible(live: Column) -> Column:
-    return decode_entities(F.ltrim(F.regexp_replace(live, rf"(?s)(?:{TAG})+", " ")))
+    return decode_entities(F.ltrim(F.regexp_replace(live, TAG_RUN, " ")))
 
 
 def looks_blocked(html: Column | str, sample_chars: int = fixed.BLOCK_SAMPLE_CHARS) -> Column:

@@ -70,10 +70,10 @@ def draft_prompts(targets: DataFrame, offer: DataFrame, few_shot: DataFrame | No
                   template: str = P.DRAFT_TEMPLATE) -> DataFrame:
     """(domain, to_email, prompt) per target that is not skipped.
 
-    The offer is one row and the few-shot list has a fixed length, so both
-    come in as scalar subqueries.
+    The offer is one row (of several, the least) and the few-shot list has a
+    fixed length, so both come in as scalar subqueries.
     """
-    chosen = offer.limit(1).select(F.struct(*offer.columns)).scalar()
+    chosen = offer.agg(F.min(F.struct(*offer.columns))).scalar()
     few = F.lit("")
     if few_shot is not None:
         examples = F.collect_list(F.struct(*few_shot.columns))

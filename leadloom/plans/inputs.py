@@ -218,7 +218,7 @@ VIEWS = {
                {_safe("substr(h.text, 20, 12)")} AS pain_quote,
                'growing pains' AS pain,
                n % 5 AS claims
-        FROM (SELECT domain, n, n % 40 AS item FROM <<v_dns>>) d
+        FROM (SELECT domain, n, n % (SELECT count(*) FROM <<benchmark>>) AS item FROM <<v_dns>>) d
         JOIN <<benchmark>> h ON h.item_id = d.item""",
     "v_judge": f"""
         SELECT d.doc_id AS pos,
@@ -252,7 +252,7 @@ VIEWS = {
         FROM <<v_crawl_pages>>
         UNION ALL
         SELECT p.domain, p.pos, 'pains' AS field, b.text AS quote, p.url AS source_url
-        FROM <<v_crawl_pages>> p JOIN <<benchmark>> b ON b.item_id = p.pos % 40
+        FROM (SELECT *, pos % (SELECT count(*) FROM <<benchmark>>) AS item FROM <<v_crawl_pages>>) p JOIN <<benchmark>> b ON b.item_id = p.item
         UNION ALL
         SELECT domain, pos, 'recent_events' AS field, concat('  ', replace(substr(text, 2, 30), ' ', '   '), ' ') AS quote, url AS source_url
         FROM <<v_crawl_pages>>""",
@@ -272,10 +272,10 @@ VIEWS = {
                             CASE WHEN lead_pos % 6 = 5 THEN ', "disqualifiers": ["rival"]' ELSE '' END, '}}') AS body
               FROM (SELECT p.domain, p.pos AS lead_pos, p.url, {_safe("substr(p.text, 1, 40)")} AS good,
                            {_safe("substr(b.text, 5, 30)")} AS bad
-                    FROM <<v_crawl_pages>> p
+                    FROM (SELECT *, pos % (SELECT count(*) FROM <<benchmark>>) AS item FROM <<v_crawl_pages>>) p
                     JOIN (SELECT domain AS fd, min(pos) AS fp FROM <<v_crawl_pages>> GROUP BY domain) f
                       ON f.fd = p.domain AND f.fp = p.pos
-                    JOIN <<benchmark>> b ON b.item_id = p.pos % 40) x) y""",
+                    JOIN <<benchmark>> b ON b.item_id = p.item) x) y""",
     # -------------------------------------------------------------- contacts
     "v_people": f"""
         SELECT domain, k AS pos,

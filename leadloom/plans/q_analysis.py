@@ -15,7 +15,9 @@ from leadloom.plans.catalog import Inputs, query
 from leadloom.plans.q_contacts import BEST, contact_lists
 from leadloom.plans.q_quality import BANNED, LINKS, WORDS, facts_table, leak_list
 
-PROMPT_CHARS = 20000
+PROMPT_CHARS = 60_000
+# The limit of the query that tests the cut itself.
+SMALL_PROMPT_CHARS = 20_000
 
 
 def text(value: str) -> str:
@@ -61,9 +63,9 @@ def prompts(t: Inputs):
     return AN.extraction_prompts_of(t("v_site_status"), t("v_crawl_pages"), PROMPT_CHARS)
 
 
-@query("wn_15_prompt_budget", f"WITH {CHUNKS} SELECT domain, pos, length(chunk) AS chars FROM o_chunks")
+@query("wn_15_prompt_budget", f"WITH {CHUNKS.replace(str(PROMPT_CHARS), str(SMALL_PROMPT_CHARS))} SELECT domain, pos, length(chunk) AS chars FROM o_chunks")
 def wn_15(t):
-    chunks = AN.prompt_chunks(t("v_crawl_pages"), PROMPT_CHARS)
+    chunks = AN.prompt_chunks(t("v_crawl_pages"), SMALL_PROMPT_CHARS)
     return chunks.select("domain", "pos", F.length("chunk").cast("long").alias("chars"))
 
 

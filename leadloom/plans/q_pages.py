@@ -13,7 +13,9 @@ from leadloom.plans.catalog import Inputs, query
 from leadloom.plans.inputs import AS_OF
 from leadloom.plans.q_functions import type_case
 
-BUDGET = 6000
+BUDGET = 60_000
+# The budget of the query that tests the cut itself.
+SMALL_BUDGET = 6000
 TYPE_ORDER = "[" + ", ".join(f"'{n}'" for n, _ in fixed.PAGE_TYPE_PATTERNS) + "]"
 
 
@@ -165,6 +167,8 @@ CRAWL = f"""
                 FROM o_domains d LEFT JOIN (SELECT domain, count(DISTINCT name) AS people FROM o_page_people GROUP BY 1) n ON n.domain = d.domain)
 """
 
+SMALL_CRAWL = CRAWL.replace(f"{BUDGET} - coalesce", f"{SMALL_BUDGET} - coalesce")
+
 
 # -------------------------------------------------------------- page by page
 def site(t: Inputs):
@@ -323,9 +327,9 @@ def ex_12(t):
     return read.select("pos", F.size(P.distinct_people(F.col("people"))).cast("long").alias("people"))
 
 
-@query("wn_02_text_budget", f"WITH {CRAWL} SELECT pos, chars, budget_left FROM o_cut")
+@query("wn_02_text_budget", f"WITH {SMALL_CRAWL} SELECT pos, chars, budget_left FROM o_cut")
 def wn_02(t):
-    spent = P.apply_text_budget(P.read_pages(visited(t)), BUDGET).where("budget_left > 0")
+    spent = P.apply_text_budget(P.read_pages(visited(t)), SMALL_BUDGET).where("budget_left > 0")
     return spent.select("pos", F.col("chars").cast("long").alias("chars"), F.col("budget_left").cast("long").alias("budget_left"))
 
 
