@@ -3,13 +3,17 @@
 Each permutation gives two signature values, the least and the greatest hash of
 a document's set, so half the hash evaluations make a signature of the same
 length.  Bands of it name buckets.  Documents with equal sets are one class from
-the start.  In a bucket classes meet a few others first and links are confirmed
-on the full sets; only where a bucket stays in several parts are these compared
-in full, so no pair that shares a bucket is left open, and a large group of
-copies never meets itself in all pairs.
+the start.  A class first meets the smallest and greatest classes of its
+buckets that it shares most buckets with, and links are confirmed on the full
+sets.  Only where a bucket stays in several parts do the classes outside its
+commonest part meet those of its other parts, so a large group of copies never
+meets itself in all pairs.  There the whole signatures, kept as four bits a
+value, are compared in the join, and pairs that they show to be far apart are
+not confirmed; no number of partners is capped.
 
 At the least similarity asked for, 0.75, a pair misses all 40 bands of 5 values
-with probability (1 - 0.75 ** 5) ** 40 = 2e-5; at 0.8 with 1e-7.
+with probability (1 - 0.75 ** 5) ** 40 = 2e-5; at 0.8 with 1e-7.  It differs in
+more than 75 of the 200 values of four bits with probability 2e-6.
 
 Defined cases: a null or empty text, or one without words, has an empty set and
 is linked with nothing; a text of one to four words is one shingle; a null
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.llm.common import byte_slices, letter_words, mix, random_words, read, space_table, word_bounds, word_hashes
-from leadloom.llm.components import link_buckets, shared_buckets
+from leadloom.llm.components import components
 from leadloom.session import settle
 
 WIDTH = 5
@@ -34,6 +38,13 @@ BANDS = 40
 ROWS = 5
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 75
+#: Partners that a class meets first.
+FIRST_MET = 4
+#: Of the BANDS * ROWS values a link may differ in so many: 0.75 expects 47, with a deviation of 6.
+MOST_DIFFERENT = 75
+#: Values of four bits in a word of a sketch, and the lowest bit of each.
+_NIBBLES = 16
+_LOWEST = 0x1111111111111111
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,9 +74,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return value, np.searchsorted(owner, np.arange(len(counts) + 1))
 
 
-def signatures(values: np.ndarray, firsts: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """Band keys of the nonempty sets: least and greatest value under each permutation, `rows` of them to a band."""
-    n = bands * rows // 2
+def extremes(values: np.ndarray, firsts: np.ndarray, n: int = BANDS * ROWS // 2) -> np.ndarray:
+    """Least and greatest value of each nonempty set under each of `n` permutations, one column a set."""
     factor, shift = random_words(21, n) | np.uint64(1), random_words(22, n)
     at = firsts[:-1][np.diff(firsts) > 0]
     signature = np.empty((2 * n, len(at)), np.uint64)
@@ -73,19 +83,43 @@ def signatures(values: np.ndarray, firsts: np.ndarray, bands: int = BANDS, rows:
         permuted = values * factor[k] + shift[k]
         signature[k] = np.minimum.reduceat(permuted, at)
         signature[n + k] = np.maximum.reduceat(permuted, at)
-    keys = np.empty((len(at), bands), np.uint64)
-    for b in range(bands):
-        key = np.full(len(at), b + 1, np.uint64)
+    return signature
+
+
+def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """One row a set: the key of each band of `rows` values."""
+    keys = np.empty((signature.shape[1], len(signature) // rows), np.uint64)
+    for b in range(keys.shape[1]):
+        key = np.full(len(keys), b + 1, np.uint64)
         for r in range(rows):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + signature[b * rows + r])
         keys[:, b] = key
     return keys
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """One row a set: four mixed bits of each value, sixteen values to a word."""
+    words = np.zeros((signature.shape[1], -(-len(signature) // _NIBBLES)), np.uint64)
+    for k, values in enumerate(signature):
+        words[:, k // _NIBBLES] |= (mix(values) & np.uint64(15)) << np.uint64(4 * (k % _NIBBLES))
+    return words
+
+
+def differing(x: str, y: str):
+    """In how many values the sketches in the columns `x` and `y` differ."""
+    total = F.lit(0)
+    for k in range(-(-BANDS * ROWS // _NIBBLES)):
+        bits = F.col(x)[k].bitwiseXOR(F.col(y)[k])
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2))
+        total = total + F.bit_count(bits.bitwiseAND(F.lit(_LOWEST)))
+    return total
+
+
 def _sign(batches):
     for batch in batches:
         n = np.zeros(len(batch), np.int64)
-        classes, keys = [None] * len(batch), [None] * len(batch)
+        classes, keys, marks = [None] * len(batch), [None] * len(batch), [None] * len(batch)
         for first, end, data, offsets in byte_slices(batch["text"]):
             values, firsts = shingle_sets(data, offsets)
             n[first:end] = np.diff(firsts)
@@ -94,11 +128,14 @@ def _sign(batches):
                 continue
             at = firsts[:-1][full]
             prints = np.stack([np.add.reduceat(mix(values + np.uint64(31)), at), np.bitwise_xor.reduceat(mix(values + np.uint64(37)), at)], axis=1)
-            band = signatures(values, firsts).view(np.int64)
+            signature = extremes(values, firsts)
+            band, sketch = band_keys(signature).view(np.int64), sketches(signature).view(np.int64)
             for i, j in enumerate(full):
-                classes[first + j], keys[first + j] = prints[i].tobytes(), band[i]
+                classes[first + j], keys[first + j], marks[first + j] = prints[i].tobytes(), band[i], sketch[i]
+        lists = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], pa.array(classes, pa.binary()), pa.array(n), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "cls", "n_shingles", "bands"])
+            [batch["doc_id"], pa.array(classes, pa.binary()), pa.array(n), pa.array(keys, lists), pa.array(marks, lists)],
+            names=["doc_id", "cls", "n_shingles", "bands", "sketch"])
 
 
 def _confirm(batches):
@@ -117,31 +154,79 @@ def _confirm(batches):
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; `texts` is (node, text)."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    """The pairs (a, b) whose full sets are similar enough, from a table (a, b, text_a); `texts` is (node, text)."""
     kind = pairs.schema["a"].dataType.simpleString()
-    measured = (
-        pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-        .mapInArrow(_confirm, f"a {kind}, b {kind}, both long, either long")
-    )
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    measured = pairs.join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, f"a {kind}, b {kind}, both long, either long")
     return measured.where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
 
 
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """key, node, size, least, greatest of the buckets of two nodes or more; they grow with the data, so the join is never a broadcast."""
+    members = classes.select("node", F.col("n_shingles").alias("size"), F.explode("bands").alias("key"))
+    ends = settle(
+        members.groupBy(F.col("key").alias("_key")).agg(F.min("node").alias("least"), F.max("node").alias("greatest"))
+        .where(F.col("least") < F.col("greatest")), "near-ends")
+    return settle(members.join(ends.hint("merge"), F.col("key") == F.col("_key")).drop("_key"), "near-buckets")
+
+
+def first_met(shared: DataFrame) -> DataFrame:
+    """_node, partners: each node with the ends of its buckets that it shares most buckets with.
+
+    A node has a bucket a band, so the lists gathered here have twice as many entries as there are bands at most.
+    """
+    ends = shared.groupBy(F.col("node").alias("_node")).agg(F.collect_list("least").alias("least"), F.collect_list("greatest").alias("greatest"))
+    met = F.array_remove(F.concat("least", "greatest"), F.col("_node"))
+    ranked = F.sort_array(F.transform(F.array_distinct("met"), lambda b: F.struct((-F.size(F.filter("met", lambda c: c == b))).alias("n"), b.alias("b"))))
+    return ends.select("_node", met.alias("met")).select("_node", F.slice(ranked, 1, FIRST_MET)["b"].alias("partners"))
+
+
+def rest_pairs(shared: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket that `roots` leaves in different parts and whose sizes and sketches allow a link, each pair once."""
+    placed = settle(
+        shared.select("key", "node", "size").join(roots.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left")
+        .select("key", "node", "size", F.coalesce("root", "node").alias("root")), "near-placed")
+    counted = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    split = settle(
+        counted.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("parts"), F.max_by("root", F.col("n")).alias("main")).where(F.col("parts") > 1)
+        .drop("parts"), "near-split")
+    marks = classes.select(F.col("node").alias("_node"), "bands", "sketch")
+    left_open = settle(
+        placed.join(split.hint("merge"), F.col("key") == F.col("_key")).join(marks.hint("merge"), F.col("node") == F.col("_node"))
+        .select("key", "node", "size", "root", "main", "bands", "sketch"), "near-open")
+    columns = ("node", "size", "root", "bands", "sketch")
+    x = left_open.where(F.col("root") != F.col("main")).select("key", *[F.col(c).alias(f"x_{c}") for c in columns])
+    y = left_open.select(F.col("key").alias("_key"), F.col("main").alias("y_main"), *[F.col(c).alias(f"y_{c}") for c in columns])
+    apart = (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("y_main")) | (F.col("x_node") < F.col("y_node")))
+    sizes = (F.col("x_size") * 100 >= F.col("y_size") * percent) & (F.col("y_size") * 100 >= F.col("x_size") * percent)
+    alike = differing("x_sketch", "y_sketch") <= MOST_DIFFERENT
+    # A pair may count as one of the main part in one bucket and not in another; what is left of such repeats goes by distinct.
+    once = F.col("key") == F.array_min(F.array_intersect("x_bands", "y_bands"))
+    met = x.join(y.hint("merge"), (F.col("key") == F.col("_key")) & apart & sizes & alike & once)
+    return settle(met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), "near-rest")
+
+
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
     signed = settle(
-        docs.select("doc_id", "text").mapInArrow(
-            _sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, cls binary, n_shingles long, bands array<long>"), "near-signed")
+        docs.select("doc_id", "text").mapInArrow(_sign, f"doc_id {kind}, cls binary, n_shingles long, bands array<long>, sketch array<long>"), "near-signed")
+    # Rows of a class have equal sets, so any of their bands and sketches will do.
     classes = settle(
-        signed.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull()).groupBy("cls")
-        .agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "near-classes")
-    shared = shared_buckets(classes.select("node", F.col("n_shingles").alias("size"), F.explode("bands").alias("key")))
-    nodes = settle(shared.select(F.col("node").alias("_node")).distinct(), "near-nodes")
+        signed.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull()).groupBy("cls").agg(
+            F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "near-classes")
+    shared = shared_buckets(classes)
     # Texts to compare grow with the data, so this join is never a broadcast.
     texts = settle(
-        docs.select("doc_id", "text").join(nodes.hint("merge"), F.col("doc_id") == F.col("_node")).select(F.col("doc_id").alias("node"), "text"), "near-texts")
-    roots = settle(link_buckets(shared, lambda pairs: confirmed(pairs, texts, percent), percent), "near-roots")
+        docs.select("doc_id", "text").join(first_met(shared).hint("merge"), F.col("doc_id") == F.col("_node"))
+        .select(F.col("doc_id").alias("node"), "partners", "text"), "near-texts")
+    met = texts.select(F.col("node").alias("a"), F.explode("partners").alias("b"), F.col("text").alias("text_a"))
+    links = settle(confirmed(met, texts, percent), "near-links")
+    roots = settle(components(links), "near-roots")
+    rest = rest_pairs(shared, roots, classes, percent).join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    more = settle(confirmed(rest, texts, percent), "near-links")
+    if not more.isEmpty():
+        roots = settle(components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "near-roots")
     placed = settle(
         classes.select("cls", "node").join(roots.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left")
         .select(F.col("cls").alias("_cls"), F.coalesce("root", "node").alias("_component")), "near-components")

@@ -104,9 +104,22 @@ def test_components(spark, seed):
 
 def test_both_extremes_make_the_signature():
     values, firsts = np.arange(10, 60, dtype=np.uint64), np.array([0, 20, 50])
-    same = near_dedup.signatures(np.concatenate([values[:20], values[:20]]), np.array([0, 20, 40]))
+    same = near_dedup.band_keys(near_dedup.extremes(np.concatenate([values[:20], values[:20]]), np.array([0, 20, 40])))
     assert (same[0] == same[1]).all()
-    assert (near_dedup.signatures(values, firsts)[0] != near_dedup.signatures(values, firsts)[1]).any()
+    other = near_dedup.band_keys(near_dedup.extremes(values, firsts))
+    assert (other[0] != other[1]).any()
+
+
+def test_sketches_count_the_values_that_differ(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 1 << 62, (near_dedup.BANDS * near_dedup.ROWS, 1)).astype(np.uint64)
+    changed = rng.choice(len(x), 60, replace=False)
+    y = x.copy()
+    y[changed] += np.uint64(1)
+    a, b = (near_dedup.sketches(v).view(np.int64)[0].tolist() for v in (x, y))
+    wanted = int(((near_dedup.mix(x) ^ near_dedup.mix(y)) & np.uint64(15) != 0).sum())
+    found = spark.createDataFrame([(a, b)], "a array<long>, b array<long>").select(near_dedup.differing("a", "b").alias("n")).first()["n"]
+    assert found == wanted and 45 <= found <= 60
 
 
 def digests_by_hand(rows):
