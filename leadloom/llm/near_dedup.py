@@ -24,9 +24,11 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.llm.common import byte_slices, letter_words, mix, random_words, read, space_table, word_bounds, word_hashes
@@ -42,9 +44,9 @@ PERCENT = 75
 FIRST_MET = 4
 #: Of the BANDS * ROWS values a link may differ in so many: 0.75 expects 47, with a deviation of 6.
 MOST_DIFFERENT = 75
-#: Values of four bits in a word of a sketch, and the lowest bit of each.
-_NIBBLES = 16
-_LOWEST = 0x1111111111111111
+#: Bits that a sketch keeps of each value, and words for one bit of all values.
+BITS = 4
+_WORDS = -(-BANDS * ROWS // 64)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,21 +100,22 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def sketches(signature: np.ndarray) -> np.ndarray:
-    """One row a set: four mixed bits of each value, sixteen values to a word."""
-    words = np.zeros((signature.shape[1], -(-len(signature) // _NIBBLES)), np.uint64)
-    for k, values in enumerate(signature):
-        words[:, k // _NIBBLES] |= (mix(values) & np.uint64(15)) << np.uint64(4 * (k % _NIBBLES))
-    return words
+    """One row a set: `_WORDS` words of the first bit of every mixed value, as many of the second, and so on."""
+    mixed = np.zeros((64 * _WORDS, signature.shape[1]), np.uint64)
+    mixed[:len(signature)] = mix(signature)
+    planes = [np.packbits(((mixed >> np.uint64(k)) & np.uint64(1)).astype(np.uint8), axis=0, bitorder="little") for k in range(BITS)]
+    return np.ascontiguousarray(np.concatenate(planes).T).view(np.uint64)
+
 
+def differing(x: str, y: str) -> Column:
+    """In how many values the sketches in the columns `x` and `y` differ.
 
-def differing(x: str, y: str):
-    """In how many values the sketches in the columns `x` and `y` differ."""
+    Every word is read once, which keeps the generated method short enough to be compiled.
+    """
     total = F.lit(0)
-    for k in range(-(-BANDS * ROWS // _NIBBLES)):
-        bits = F.col(x)[k].bitwiseXOR(F.col(y)[k])
-        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
-        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2))
-        total = total + F.bit_count(bits.bitwiseAND(F.lit(_LOWEST)))
+    for w in range(_WORDS):
+        words = [F.col(x)[k * _WORDS + w].bitwiseXOR(F.col(y)[k * _WORDS + w]) for k in range(BITS)]
+        total = total + F.bit_count(reduce(Column.bitwiseOR, words))
     return total
 
 

@@ -117,6 +117,7 @@ def test_sketches_count_the_values_that_differ(spark):
     y = x.copy()
     y[changed] += np.uint64(1)
     a, b = (near_dedup.sketches(v).view(np.int64)[0].tolist() for v in (x, y))
+    assert len(a) * 64 >= near_dedup.BITS * len(x)
     wanted = int(((near_dedup.mix(x) ^ near_dedup.mix(y)) & np.uint64(15) != 0).sum())
     found = spark.createDataFrame([(a, b)], "a array<long>, b array<long>").select(near_dedup.differing("a", "b").alias("n")).first()["n"]
     assert found == wanted and 45 <= found <= 60
