@@ -7,13 +7,15 @@ the start.  A class first meets the smallest and greatest classes of its
 buckets that it shares most buckets with, and links are confirmed on the full
 sets.  Only where a bucket stays in several parts do the classes outside its
 commonest part meet those of its other parts, so a large group of copies never
-meets itself in all pairs.  There the whole signatures, kept as four bits a
-value, are compared in the join, and pairs that they show to be far apart are
-not confirmed; no number of partners is capped.
+meets itself in all pairs.  There sketches are compared in the join, and pairs
+that they show to be far apart are not confirmed; no number of partners is
+capped.  A sketch deals a set over 384 bins and keeps four bits of the least
+value of each, so a set with fewer values than bins is kept almost whole.
 
 At the least similarity asked for, 0.75, a pair misses all 40 bands of 5 values
-with probability (1 - 0.75 ** 5) ** 40 = 2e-5; at 0.8 with 1e-7.  It differs in
-more than 75 of the 200 values of four bits with probability 2e-6.
+with probability (1 - 0.75 ** 5) ** 40 = 2e-5; at 0.8 with 1e-7.  Its sketches
+differ in more bins than allowed, five deviations above what 0.75 makes one
+expect, with a probability of about 3e-7.
 
 Defined cases: a null or empty text, or one without words, has an empty set and
 is linked with nothing; a text of one to four words is one shingle; a null
@@ -42,11 +44,12 @@ ROWS = 5
 PERCENT = 75
 #: Partners that a class meets first.
 FIRST_MET = 4
-#: Of the BANDS * ROWS values a link may differ in so many: 0.75 expects 47, with a deviation of 6.
-MOST_DIFFERENT = 75
-#: Bits that a sketch keeps of each value, and words for one bit of all values.
+#: Bins of a sketch, bits kept of each, and words for one bit of all bins.
+BINS = 384
 BITS = 4
-_WORDS = -(-BANDS * ROWS // 64)
+_WORDS = BINS // 64
+#: Deviations above the expected number of differing bins from which on a pair is too far apart.
+DEVIATIONS = 5
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,22 +102,45 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return keys
 
 
-def sketches(signature: np.ndarray) -> np.ndarray:
-    """One row a set: `_WORDS` words of the first bit of every mixed value, as many of the second, and so on."""
-    mixed = np.zeros((64 * _WORDS, signature.shape[1]), np.uint64)
-    mixed[:len(signature)] = mix(signature)
-    planes = [np.packbits(((mixed >> np.uint64(k)) & np.uint64(1)).astype(np.uint8), axis=0, bitorder="little") for k in range(BITS)]
-    return np.ascontiguousarray(np.concatenate(planes).T).view(np.uint64)
+def sketches(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """One row a nonempty set: `_WORDS` words of the first bit of every bin, as many of the second, and so on; 0 is an empty bin."""
+    lengths = np.diff(firsts)
+    lengths = lengths[lengths > 0]
+    place = np.repeat(np.arange(len(lengths)), lengths) * BINS + (values % np.uint64(BINS)).astype(np.int64)
+    kept = (1 + (values >> np.uint64(20)) % np.uint64((1 << BITS) - 1)).astype(np.uint8)
+    bins = np.zeros(len(lengths) * BINS, np.uint8)
+    # Values ascend within a set; written last to first, the least of a bin stays.
+    bins[place[::-1]] = kept[::-1]
+    bins = bins.reshape(-1, BINS)
+    planes = [np.packbits((bins >> k) & 1, axis=1, bitorder="little") for k in range(BITS)]
+    return np.ascontiguousarray(np.concatenate(planes, axis=1)).view(np.uint64)
+
+
+def most_different(size: Column, percent: int = PERCENT) -> Column:
+    """In how many bins two sets of `size` values together may differ and still be a link.
+
+    The least values of the occupied bins are a random choice, without
+    repetition, of the values of both sets; a bin differs if its value is in one
+    set only.  The variance adds up that of the choice and that of the number
+    of occupied bins.
+    """
+    apart = 1 - percent / 100
+    union = size / (2 - apart)
+    empty = F.exp(-union / BINS)
+    occupied = BINS * (1 - empty)
+    chosen = apart * (1 - apart) * occupied * F.greatest(1 - occupied / union, F.lit(0.0))
+    filled = apart * apart * BINS * empty * F.greatest(1 - (1 + union / BINS) * empty, F.lit(0.0))
+    return apart * occupied + DEVIATIONS * F.sqrt(chosen + filled) + 2
 
 
 def differing(x: str, y: str) -> Column:
-    """In how many values the sketches in the columns `x` and `y` differ.
+    """In how many bins the sketches in the columns `x` and `y` differ.
 
     Every word is read once, which keeps the generated method short enough to be compiled.
     """
     total = F.lit(0)
     for w in range(_WORDS):
-        words = [F.col(x)[k * _WORDS + w].bitwiseXOR(F.col(y)[k * _WORDS + w]) for k in range(BITS)]
+        words = [F.get(x, k * _WORDS + w).bitwiseXOR(F.get(y, k * _WORDS + w)) for k in range(BITS)]
         total = total + F.bit_count(reduce(Column.bitwiseOR, words))
     return total
 
@@ -131,8 +157,7 @@ def _sign(batches):
                 continue
             at = firsts[:-1][full]
             prints = np.stack([np.add.reduceat(mix(values + np.uint64(31)), at), np.bitwise_xor.reduceat(mix(values + np.uint64(37)), at)], axis=1)
-            signature = extremes(values, firsts)
-            band, sketch = band_keys(signature).view(np.int64), sketches(signature).view(np.int64)
+            band, sketch = band_keys(extremes(values, firsts)).view(np.int64), sketches(values, firsts).view(np.int64)
             for i, j in enumerate(full):
                 classes[first + j], keys[first + j], marks[first + j] = prints[i].tobytes(), band[i], sketch[i]
         lists = pa.list_(pa.int64())
@@ -193,16 +218,18 @@ def rest_pairs(shared: DataFrame, roots: DataFrame, classes: DataFrame, percent:
     split = settle(
         counted.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("parts"), F.max_by("root", F.col("n")).alias("main")).where(F.col("parts") > 1)
         .drop("parts"), "near-split")
-    marks = classes.select(F.col("node").alias("_node"), "bands", "sketch")
+    # The limit for two sets of this size holds for it and any smaller set; a column keeps the join's condition short enough to be compiled.
+    limit = F.ceil(most_different(2 * F.col("n_shingles"), percent)).cast("int")
+    marks = classes.select(F.col("node").alias("_node"), "bands", "sketch", limit.alias("limit"))
     left_open = settle(
         placed.join(split.hint("merge"), F.col("key") == F.col("_key")).join(marks.hint("merge"), F.col("node") == F.col("_node"))
-        .select("key", "node", "size", "root", "main", "bands", "sketch"), "near-open")
-    columns = ("node", "size", "root", "bands", "sketch")
+        .select("key", "node", "size", "root", "main", "bands", "sketch", "limit"), "near-open")
+    columns = ("node", "size", "root", "bands", "sketch", "limit")
     x = left_open.where(F.col("root") != F.col("main")).select("key", *[F.col(c).alias(f"x_{c}") for c in columns])
     y = left_open.select(F.col("key").alias("_key"), F.col("main").alias("y_main"), *[F.col(c).alias(f"y_{c}") for c in columns])
     apart = (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("y_main")) | (F.col("x_node") < F.col("y_node")))
     sizes = (F.col("x_size") * 100 >= F.col("y_size") * percent) & (F.col("y_size") * 100 >= F.col("x_size") * percent)
-    alike = differing("x_sketch", "y_sketch") <= MOST_DIFFERENT
+    alike = differing("x_sketch", "y_sketch") <= F.greatest("x_limit", "y_limit")
     # A pair may count as one of the main part in one bucket and not in another; what is left of such repeats goes by distinct.
     once = F.col("key") == F.array_min(F.array_intersect("x_bands", "y_bands"))
     met = x.join(y.hint("merge"), (F.col("key") == F.col("_key")) & apart & sizes & alike & once)

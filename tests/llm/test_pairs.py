@@ -9,6 +9,7 @@ from html import unescape
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from leadloom.llm import fingerprints, html_extract, near_dedup
 from leadloom.llm.components import components
@@ -110,17 +111,34 @@ def test_both_extremes_make_the_signature():
     assert (other[0] != other[1]).any()
 
 
-def test_sketches_count_the_values_that_differ(spark):
-    rng = np.random.default_rng(5)
-    x = rng.integers(0, 1 << 62, (near_dedup.BANDS * near_dedup.ROWS, 1)).astype(np.uint64)
-    changed = rng.choice(len(x), 60, replace=False)
-    y = x.copy()
-    y[changed] += np.uint64(1)
-    a, b = (near_dedup.sketches(v).view(np.int64)[0].tolist() for v in (x, y))
-    assert len(a) * 64 >= near_dedup.BITS * len(x)
-    wanted = int(((near_dedup.mix(x) ^ near_dedup.mix(y)) & np.uint64(15) != 0).sum())
-    found = spark.createDataFrame([(a, b)], "a array<long>, b array<long>").select(near_dedup.differing("a", "b").alias("n")).first()["n"]
-    assert found == wanted and 45 <= found <= 60
+@pytest.mark.parametrize("size", [1, 40, 300, 5_000])
+def test_sketches_count_the_bins_that_differ(spark, size):
+    rng = np.random.default_rng(size)
+    both = rng.integers(0, 1 << 62, max(1, size * 3 // 4)).astype(np.uint64)
+    own = [rng.integers(0, 1 << 62, (size - len(both)) // 2).astype(np.uint64) for _ in range(2)]
+    x, y = (np.sort(np.concatenate([both, o])) for o in own)
+    marks = near_dedup.sketches(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]))
+    bins = []
+    for values in (x, y):
+        least = {}
+        for v in values.tolist():
+            least.setdefault(v % near_dedup.BINS, 1 + (v >> 20) % 15)
+        bins.append(least)
+    wanted = sum(bins[0].get(b) != bins[1].get(b) for b in range(near_dedup.BINS))
+    a, b = marks.view(np.int64).tolist()
+    pair = spark.createDataFrame([(a, b, len(x) + len(y))], "a array<long>, b array<long>, size long")
+    found = pair.select(near_dedup.differing("a", "b").alias("n"), near_dedup.most_different(F.col("size")).alias("most")).first()
+    assert found["n"] == wanted <= found["most"]
+
+
+def test_the_limit_rules_out_pairs_far_apart(spark):
+    rng = np.random.default_rng(9)
+    both, own = rng.integers(0, 1 << 62, 100), rng.integers(0, 1 << 62, (2, 100))
+    x, y = (np.sort(np.concatenate([both, o])).astype(np.uint64) for o in own)
+    marks = near_dedup.sketches(np.concatenate([x, y]), np.array([0, 200, 400])).view(np.int64).tolist()
+    pair = spark.createDataFrame([(*marks, 400)], "a array<long>, b array<long>, size long")
+    found = pair.select(near_dedup.differing("a", "b").alias("n"), near_dedup.most_different(F.col("size")).alias("most")).first()
+    assert found["n"] > found["most"]
 
 
 def digests_by_hand(rows):
