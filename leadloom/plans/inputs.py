@@ -226,7 +226,7 @@ VIEWS = {
                     WHEN d.doc_id % 5 = 0 THEN concat('```json', chr(10), body, chr(10), '```') ELSE body END AS raw_text,
                CASE WHEN d.doc_id % 19 = 0 THEN '429 quota' END AS error
         FROM (SELECT d.doc_id,
-                     concat('{{"grounding": ', 7 + coalesce(l.quality, 0) + d.doc_id % 3, ', "specificity": 5, "overall": ',
+                     concat('{{"grounding": ', 7 + coalesce(l.quality, 0) + d.doc_id % 3, CASE WHEN d.doc_id % 4 = 1 THEN '.5' ELSE '' END, ', "specificity": 5, "overall": ',
                             6 + coalesce(l.quality, 0) + d.doc_id % 3,
                             CASE WHEN d.doc_id % 7 = 0 THEN '}}' ELSE concat(', "feedback": "say more ', d.doc_id % 4, '"}}') END) AS body
               FROM <<documents>> d LEFT JOIN <<labels>> l ON l.doc_id = d.doc_id) d""",

@@ -86,8 +86,8 @@ RULES = f"""
 CLEAN_JUDGE = r"regexp_replace(regexp_replace(trim(raw_text), '^```(json)?\s*', ''), '\s*```$', '')"
 SCORES = f"""
     o_scores AS (
-        SELECT pos, problem, CASE WHEN problem IS NULL THEN CAST(json_extract_string(j, '$.grounding') AS INT) END AS grounding,
-               CASE WHEN problem IS NULL THEN CAST(json_extract_string(j, '$.overall') AS INT) END AS overall,
+        SELECT pos, problem, CASE WHEN problem IS NULL THEN CAST(json_extract_string(j, '$.grounding') AS DOUBLE) END AS grounding,
+               CASE WHEN problem IS NULL THEN CAST(json_extract_string(j, '$.overall') AS DOUBLE) END AS overall,
                CASE WHEN problem IS NULL THEN json_extract_string(j, '$.feedback') END AS feedback
         FROM (SELECT pos, CASE WHEN json_valid(body) THEN body END AS j,
                      CASE WHEN error IS NOT NULL THEN error WHEN NOT json_valid(body) THEN 'invalid JSON' END AS problem

@@ -3,6 +3,8 @@
 from pyspark.sql import types as T
 
 TEXT, INT, LONG, FLAG = T.StringType(), T.IntegerType(), T.LongType(), T.BooleanType()
+#: Models grade with fractions too.
+SCORE = T.DoubleType()
 TIME, DAY, REAL = T.TimestampType(), T.DateType(), T.DoubleType()
 TEXTS = T.ArrayType(TEXT)
 
@@ -40,7 +42,7 @@ ANALYSIS = T.StructType(
     + row(quotes_dropped=INT, error=TEXT).fields
 )
 DRAFT_ITEMS = rows(step=INT, subject=TEXT, body=TEXT)
-JUDGE_SCORES = row(grounding=INT, specificity=INT, peer_tone=INT, would_reply=INT, overall=INT, feedback=TEXT)
+JUDGE_SCORES = row(grounding=SCORE, specificity=SCORE, peer_tone=SCORE, would_reply=SCORE, overall=SCORE, feedback=TEXT)
 SENTIMENT = row(sentiment=TEXT, confidence=INT, reasoning=TEXT)
 OFFER = row(
     your_company_name=TEXT, sender_name=TEXT, what_you_sell=TEXT, icp_description=TEXT, cta_style=TEXT,

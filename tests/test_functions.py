@@ -234,3 +234,9 @@ def test_model_answers(spark):
 
 def test_word_sets(spark):
     assert sorted(column(spark, [["a", "b", "c"]], C.word_sets, "array<string>")[0]) == ["a", "a b", "a b c", "a c", "b", "b c", "c"]
+
+
+@pytest.mark.parametrize("answer, passes", [('{"grounding": 8.5, "overall": 9.0}', True), ('{"grounding": 7.9, "overall": 9}', False), ('{"overall": 9}', False)])
+def test_judges_may_grade_with_fractions(spark, answer, passes):
+    read = spark.createDataFrame([(answer, None)], "raw_text string, error string").select(R.read_judge("raw_text", "error").alias("s"))
+    assert read.select(Q.judge_passes(F.col("s.grounding"), F.col("s.overall"), F.col("s.error")).alias("p")).first()["p"] is passes
