@@ -262,12 +262,12 @@ VIEWS = {
                     WHEN lead_pos % 7 = 1 THEN concat('```json', chr(10), body, chr(10), '```')
                     WHEN lead_pos % 7 = 2 THEN substr(body, 2, 100000) ELSE body END AS raw_text,
                CASE WHEN lead_pos % 17 = 3 THEN '503 overloaded' END AS error,
-               good, bad, url, lead_pos % 10 AS specificity, lead_pos % 6 = 5 AS disqualified
+               good, bad, url, lead_pos % 10 + CASE WHEN lead_pos % 4 = 1 THEN 0.5 ELSE 0 END AS specificity, lead_pos % 6 = 5 AS disqualified
         FROM (SELECT domain, lead_pos, good, bad, url,
                      concat('{{"company_name": "Co ', lead_pos, '", "geo": "EU", "services": ["a", "b"], "hooks": [',
-                            '{{"hook": "h1", "quote": "', good, '", "source_url": "', url, '", "specificity": ', lead_pos % 10, '}}, ',
+                            '{{"hook": "h1", "quote": "', good, '", "source_url": "', url, '", "specificity": ', lead_pos % 10, CASE WHEN lead_pos % 4 = 1 THEN '.5' ELSE '' END, '}}, ',
                             '{{"hook": "h2", "quote": "', bad, '", "source_url": "', url, '", "specificity": 9}}], ',
-                            '"pains": [{{"pain": "p1", "quote": "', good, '", "source_url": "', url, '", "confidence": 5}}], ',
+                            '"pains": [{{"pain": "p1", "quote": "', good, '", "source_url": "', url, '", "confidence": 5.5}}], ',
                             '"recent_events": [{{"event": "e1", "quote": "', bad, '", "source_url": ""}}]',
                             CASE WHEN lead_pos % 6 = 5 THEN ', "disqualifiers": ["rival"]' ELSE '' END, '}}') AS body
               FROM (SELECT p.domain, p.pos AS lead_pos, p.url, {_safe("substr(p.text, 1, 40)")} AS good,

@@ -24,8 +24,8 @@ CONTACTS = rows(
     verification_note=TEXT, confidence=TEXT, linkedin_lookup_url=TEXT,
 )
 EVENTS = rows(event=TEXT, quote=TEXT, source_url=TEXT)
-PAINS = rows(pain=TEXT, quote=TEXT, source_url=TEXT, confidence=INT)
-HOOKS = rows(hook=TEXT, quote=TEXT, source_url=TEXT, specificity=INT)
+PAINS = rows(pain=TEXT, quote=TEXT, source_url=TEXT, confidence=SCORE)
+HOOKS = rows(hook=TEXT, quote=TEXT, source_url=TEXT, specificity=SCORE)
 
 CRAWL_RESULT = row(
     domain=TEXT, crawled_at=TIME, status=TEXT, pages=PAGES, emails=TEXTS, team_members=PEOPLE, total_chars=INT,
