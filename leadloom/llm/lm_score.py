@@ -1,21 +1,33 @@
 """LM scoring by masked pseudo-likelihood: a bidirectional window network, trained in numpy, predicts every word from both sides.
 
 The two words before and the two after a place are embedded, weighed by their
-distance, added and passed through tanh; a softmax over word classes predicts
-the class of the word between them.  Frequent words are classes of their own,
-the others share classes by hash; within a class a word has its share of the
-counts.  A document's score is the sum of the logarithms of these conditional
-probabilities.
-
-Everything is learned from all documents: counts add up over the table, and in
-each round every partition trains on masked places of all its documents, from
-the common parameters, and the results are averaged by the number of places.
-Which places are masked follows from the words' hashes, so reruns agree.  The
-parameters and the counts have a fixed size; they are all that the driver sees.
+distance, added and passed through tanh; a softmax over groups of words, and one
+over the leaves of the group, predict the word between them.  The tree is built
+from the company that words keep: every word's neighbours are added up as random
+signs, and words with like sums share a group.  In a group the most frequent
+words are leaves of their own; the others share leaves by nearness of their sums,
+so rare words are predicted from both sides too.  Within a leaf a word has its
+share of the counts.  A document's score is the sum of the logarithms of these
+conditional probabilities.
+
+Everything is learned from all documents.  The words' counts and sums are a Spark
+table by the 64-bit hash of the word; it grows with the vocabulary and is joined,
+never gathered.  The tree is laid out over about `LAYOUT` of the most frequent words (a
+documented bound); all others go to the nearest leaf.  In each round every
+partition trains on masked places of all its documents, from the common
+parameters, and the results are averaged by the number of places.  Which places
+are masked follows from the leaves and places, so reruns on the same layout of
+partitions agree.  The driver sees the parameters, the leaves' totals and the
+`LAYOUT` words, all of fixed size.
+
+Documents are dealt into parts of about `PART_BYTES`; a part's distinct words are
+joined with the word table and come back to it, so that every place has its leaf
+and share, and no join sees every occurrence of a word.
 
 Defined cases: a null or empty text has 0 words, likelihood 0 and no mean;
-places beyond the ends of a text are a padding word; repeated rows score alike;
-an empty table gives an empty result; other columns are not read.
+places beyond the ends of a text are a padding word; a word that was not learned
+has the leaf that its hash draws, and half an occurrence there; repeated rows
+score alike; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,44 +42,63 @@ from pyspark.sql import functions as F
 from leadloom.llm.common import byte_slices, letter_words, mix, read, segment_sums, space_table, word_bounds, word_hashes
 from leadloom.session import settle
 
-BUCKETS = 1 << 18
-ROWS = 1 << 12
+GROUPS = 64
+LEAVES = 64
+CLASSES = GROUPS * LEAVES
+#: Leaves of a group that hold one frequent word each.
+SINGLE = 32
+#: A word is embedded as its leaf.
+ROWS = CLASSES
 WIDTH = 16
-CLASSES = 256
-#: Classes that hold one frequent word each.
-SINGLE = 192
+#: Random signs by which the words on each side are added up.
+SIGNS = 8
+LAYOUT = 20_000
+PART_BYTES = 1 << 22
 SIDES = (-2, -1, 1, 2)
 #: One place in so many is masked in a round.
 MASKED = 6
 ROUNDS = 2
 RATE = 0.3
 _BATCH = 1024
-_CHUNK = 512
+_CHUNK = 2048
 _SMOOTH = 0.5
 
 
+@dataclass(frozen=True)
+class WordColumn:
+    """A column of the table (word, leaf, share); numpy gathers it, which only tests do."""
+
+    table: DataFrame
+    name: str
+    totals: np.ndarray
+
+    def __array__(self, dtype=None, copy=None):
+        return np.asarray(self.table.select(self.name).toArrow()[self.name].to_numpy(), dtype)
+
+
 @dataclass(frozen=True)
 class Model:
-    """Class of each bucket, log share of each bucket in its class, and the network's parameters in one row."""
+    """Leaf of each word, log share of each word in its leaf, and the network's parameters in one row."""
 
-    classes: np.ndarray
-    share: np.ndarray
+    classes: WordColumn
+    share: WordColumn
     parameters: np.ndarray
 
 
 def _split(parameters: np.ndarray):
-    """Views: embeddings (the last row pads), weights of the sides, output weights, bias."""
-    a, b = (ROWS + 1) * WIDTH, len(SIDES) * WIDTH
-    c = WIDTH * CLASSES
-    return (parameters[:a].reshape(ROWS + 1, WIDTH), parameters[a:a + b].reshape(len(SIDES), WIDTH),
-            parameters[a + b:a + b + c].reshape(WIDTH, CLASSES), parameters[a + b + c:])
+    """Views: embeddings (the last row pads), weights of the sides, weights and bias of the groups, and those of each group's leaves."""
+    shapes = ((ROWS + 1, WIDTH), (len(SIDES), WIDTH), (WIDTH, GROUPS), (GROUPS,), (GROUPS, WIDTH, LEAVES), (GROUPS, LEAVES))
+    ends = np.cumsum([int(np.prod(shape)) for shape in shapes])
+    return [part.reshape(shape) for part, shape in zip(np.split(parameters, ends[:-1]), shapes)]
 
 
-def start(classes: np.ndarray, counts: np.ndarray, seed: int = 3) -> np.ndarray:
-    """First parameters: small random embeddings, and the classes' frequencies as bias."""
+def start(classes: WordColumn, counts: DataFrame, seed: int = 3) -> np.ndarray:
+    """First parameters: small random embeddings, and the frequencies of groups and leaves as bias."""
     rng = np.random.default_rng(seed)
-    total = np.bincount(classes, counts, CLASSES) + _SMOOTH
-    parts = [rng.normal(0, 0.3, (ROWS + 1) * WIDTH), np.ones(len(SIDES) * WIDTH), rng.normal(0, 0.1, WIDTH * CLASSES), np.log(total / total.sum())]
+    total = _leaf_totals(counts.select("word", "n").join(classes.table.select("word", "leaf"), "word")).reshape(GROUPS, LEAVES) + _SMOOTH
+    parts = [
+        rng.normal(0, 0.3, (ROWS + 1) * WIDTH), np.ones(len(SIDES) * WIDTH), rng.normal(0, 0.1, WIDTH * GROUPS), np.log(total.sum(axis=1) / total.sum()),
+        rng.normal(0, 0.1, WIDTH * CLASSES), np.log(total / total.sum(axis=1, keepdims=True)).reshape(-1)]
     return np.concatenate(parts).astype(np.float32)
 
 
@@ -80,7 +111,7 @@ def words(texts: pa.Array):
 
 
 def contexts(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """Embedding row of the word at each side of each place, the padding row beyond the ends of the text."""
+    """Embedding row (the bits from 40 on) of the word at each side of each place, the padding row beyond the ends of the text."""
     rows = (hashes >> np.uint64(40)).astype(np.int64) & (ROWS - 1)
     lengths = np.diff(firsts)
     begin, end = np.repeat(firsts[:-1], lengths), np.repeat(firsts[1:], lengths)
@@ -93,79 +124,277 @@ def contexts(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 
 def _hidden(parameters: np.ndarray, around: np.ndarray) -> np.ndarray:
-    embed, sides, _, _ = _split(parameters)
+    embed, sides = _split(parameters)[:2]
     return np.tanh(sum(embed[around[i]] * sides[i] for i in range(len(SIDES))))
 
 
+def _softmax(scores: np.ndarray) -> np.ndarray:
+    scores = np.exp(scores - scores.max(axis=1, keepdims=True))
+    return scores / scores.sum(axis=1, keepdims=True)
+
+
+def _log_softmax(scores: np.ndarray, truth: np.ndarray) -> np.ndarray:
+    scores -= scores.max(axis=1, keepdims=True)
+    return scores[np.arange(len(scores)), truth] - np.log(np.exp(scores).sum(axis=1))
+
+
+def _grouped(group: np.ndarray):
+    """Order of places by group, and (group, first, end) of the groups that occur."""
+    order = np.argsort(group, kind="stable")
+    ends = np.cumsum(np.bincount(group, minlength=GROUPS))
+    begins = np.concatenate([[0], ends[:-1]])
+    return order, [(g, begins[g], ends[g]) for g in np.flatnonzero(ends > begins).tolist()]
+
+
 def log_probabilities(parameters: np.ndarray, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log probability of the class at each place."""
-    _, _, weights, bias = _split(parameters)
+    """Log probability of the leaf at each place."""
+    _, _, weights, bias, leaf_weights, leaf_bias = _split(parameters)
     out = np.empty(len(target))
-    for a in range(0, len(target), 4 * _BATCH):
-        z = slice(a, a + 4 * _BATCH)
-        scores = _hidden(parameters, around[:, z]) @ weights
-        scores += bias
-        scores -= scores.max(axis=1, keepdims=True)
-        out[z] = scores[np.arange(len(scores)), target[z]] - np.log(np.exp(scores).sum(axis=1))
+    for a in range(0, len(target), 16 * _BATCH):
+        z = slice(a, a + 16 * _BATCH)
+        order, present = _grouped(target[z] // LEAVES)
+        truth = target[z][order]
+        hidden = _hidden(parameters, around[:, z][:, order])
+        logs = _log_softmax(hidden @ weights + bias, truth // LEAVES)
+        for g, first, end in present:
+            logs[first:end] += _log_softmax(hidden[first:end] @ leaf_weights[g] + leaf_bias[g], truth[first:end] % LEAVES)
+        out[a + order] = logs
     return out
 
 
 def descend(parameters: np.ndarray, seen: np.ndarray, around: np.ndarray, target: np.ndarray) -> None:
     """One gradient step per batch of masked places, in place; steps shrink with the gradients `seen` so far."""
-    embed, sides, weights, bias = _split(parameters)
-    seen_embed, seen_sides, seen_weights, seen_bias = _split(seen)
+    embed, sides, weights, bias, leaf_weights, leaf_bias = _split(parameters)
+    seen_embed, seen_sides, seen_weights, seen_bias, seen_leaf_weights, seen_leaf_bias = _split(seen)
+
+    def step(values, known, gradient, rate=0.3):
+        known += gradient * gradient
+        values -= rate * RATE * gradient / np.sqrt(known + 1e-8)
+
     for a in range(0, len(target), _BATCH):
-        near, truth = around[:, a:a + _BATCH], target[a:a + _BATCH]
+        order, present = _grouped(target[a:a + _BATCH] // LEAVES)
+        near, truth = around[:, a:a + _BATCH][:, order], target[a:a + _BATCH][order]
         n = len(truth)
         hidden = _hidden(parameters, near)
-        error = hidden @ weights + bias
-        error = np.exp(error - error.max(axis=1, keepdims=True))
-        error /= error.sum(axis=1, keepdims=True)
-        error[np.arange(n), truth] -= 1
+        error = _softmax(hidden @ weights + bias)
+        error[np.arange(n), truth // LEAVES] -= 1
         error /= n
-        back = (error @ weights.T) * (1 - hidden * hidden)
-        for values, known, gradient in ((weights, seen_weights, hidden.T @ error), (bias, seen_bias, error.sum(axis=0))):
-            known += gradient * gradient
-            values -= 0.3 * RATE * gradient / np.sqrt(known + 1e-8)
+        back = error @ weights.T
+        step(weights, seen_weights, hidden.T @ error)
+        step(bias, seen_bias, error.sum(axis=0))
+        for g, first, end in present:
+            own = hidden[first:end]
+            error = _softmax(own @ leaf_weights[g] + leaf_bias[g])
+            error[np.arange(end - first), truth[first:end] % LEAVES] -= 1
+            error /= n
+            back[first:end] += error @ leaf_weights[g].T
+            step(leaf_weights[g], seen_leaf_weights[g], own.T @ error)
+            step(leaf_bias[g], seen_leaf_bias[g], error.sum(axis=0))
+        back *= 1 - hidden * hidden
         for i in range(len(SIDES)):
             gradient = (back * embed[near[i]]).sum(axis=0)
-            rows, inverse = np.unique(near[i], return_inverse=True)
-            step = np.zeros((len(rows), WIDTH), np.float32)
-            np.add.at(step, inverse, back * sides[i])
-            seen_embed[rows] += step * step
-            embed[rows] -= 0.3 * RATE * step / np.sqrt(seen_embed[rows] + 1e-8)
-            seen_sides[i] += gradient * gradient
-            sides[i] -= 0.1 * RATE * gradient / np.sqrt(seen_sides[i] + 1e-8)
-
+            by_row = np.argsort(near[i], kind="stable")
+            rows, firsts = np.unique(near[i][by_row], return_index=True)
+            change = np.add.reduceat((back * sides[i])[by_row], firsts, axis=0)
+            seen_embed[rows] += change * change
+            embed[rows] -= 0.3 * RATE * change / np.sqrt(seen_embed[rows] + 1e-8)
+            step(sides[i], seen_sides[i], gradient, 0.1)
+
+
+def _company(hashes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of a slice, and per word its count and the sums of the signs of the words on its left and on its right."""
+    found, at, n = np.unique(hashes, return_inverse=True, return_counts=True)
+    bits = mix(found + np.uint64(0x5163))
+    signs = (((bits[:, None] >> np.arange(2 * SIGNS, dtype=np.uint64)) & np.uint64(1)).astype(np.float32) * 2 - 1)
+    signs = np.concatenate([signs, np.zeros((1, 2 * SIGNS), np.float32)])
+    text = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+    sums = np.zeros((len(found), 1 + 2 * SIGNS), np.int64)
+    sums[:, 0] = n
+    for half, sides in ((0, SIDES[:2]), (SIGNS, SIDES[2:])):
+        whose = []
+        for side in sides:
+            there = np.full(len(hashes), len(found))
+            if abs(side) < len(hashes):
+                here, other = (slice(-side, None), slice(None, side)) if side < 0 else (slice(None, -side), slice(side, None))
+                there[here] = np.where(text[here] == text[other], at[other], len(found))
+            whose.append(there)
+        for j in range(half, half + SIGNS):
+            own = np.ascontiguousarray(signs[:, j])
+            sums[:, 1 + j] = np.bincount(at, own[whose[0]] + own[whose[1]], len(found))
+    return found, sums
+
+
+_SUMS = [f"s{j}" for j in range(2 * SIGNS)]
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """word, n and the sums of its neighbours' signs for every word of the whole table."""
+    def run(batches):
+        kept, size = [], 0
 
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
+        def merged() -> list[tuple]:
+            word, sums = np.concatenate([w for w, _ in kept]), np.concatenate([v for _, v in kept])
+            order = np.argsort(word, kind="stable")
+            found, first = np.unique(word[order], return_index=True)
+            return [(found, np.add.reduceat(sums[order], first, axis=0))]
 
+        def row_batch(found, sums):
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *[pa.array(c) for c in sums.T]], names=["word", "n", *_SUMS])
 
-def count_words(docs: DataFrame) -> np.ndarray:
-    """Occurrences of each bucket of words in the whole table."""
-    def run(batches):
-        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for _first, _firsts, hashes in words(batch["text"]):
-                total += np.bincount(_bucket(hashes), minlength=BUCKETS)
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["bucket", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(BUCKETS, np.int64)
-    counts[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    return counts
+            for _first, firsts, hashes in words(batch["text"]):
+                if len(hashes):
+                    kept.append(_company(hashes, firsts))
+                    size += len(kept[-1][0])
+                if size > 500_000:
+                    kept = merged()
+                    size = len(kept[0][0])
+                    if size > 250_000:
+                        yield row_batch(*kept[0])
+                        kept, size = [], 0
+        if kept:
+            yield row_batch(*merged()[0])
+
+    counted = docs.select("text").mapInArrow(run, ", ".join(f"{c} long" for c in ["word", "n", *_SUMS]))
+    return settle(counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in ["n", *_SUMS]]), "lm-words")
+
+
+def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return np.argmin((centers * centers).sum(axis=1) - 2 * x @ centers.T, axis=1)
+
+
+def _centers(x: np.ndarray, k: int) -> np.ndarray:
+    """At most `k` means that vectors gather around; the first vectors begin."""
+    _, first = np.unique(x, axis=0, return_index=True)
+    centers = x[np.sort(first)[:k]].copy()
+    for _ in range(10):
+        own = _nearest(x, centers)
+        n = np.bincount(own, minlength=len(centers))
+        sums = np.stack([np.bincount(own, c, len(centers)) for c in x.T], axis=1)
+        centers = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centers)
+    return centers
+
+
+def _leaf_totals(table: DataFrame) -> np.ndarray:
+    rows = table.groupBy("leaf").agg(F.sum("n").alias("n")).toArrow()
+    totals = np.zeros(CLASSES, np.int64)
+    totals[rows["leaf"].to_numpy()] = rows["n"].to_numpy()
+    return totals
+
+
+def word_classes(counts: DataFrame) -> tuple[WordColumn, WordColumn]:
+    """Leaf of each word, and the log of its share in its leaf."""
+    def vectors(rows) -> np.ndarray:
+        return np.stack([rows[c].to_numpy() for c in _SUMS], axis=1) / rows["n"].to_numpy()[:, None]
+
+    # A count of words per class of frequency says from where on they fit; of the class that fits in part, a hash picks.
+    step = F.floor(F.log2("n") * 8)
+    left, most, share = LAYOUT, 1 << 10, 0.0
+    for row in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        most, share = row["step"], min(1.0, left / row["count"])
+        left -= row["count"]
+        if left <= 0:
+            break
+    picked = (step > most) | ((step == most) & (F.pmod(F.xxhash64("word"), F.lit(1_000_000)) < int(share * 1_000_000)))
+    top = counts.where(picked).toArrow().combine_chunks()
+    top = top.sort_by([("n", "descending"), ("word", "ascending")])
+    x = vectors(top) if top.num_rows else np.zeros((1, 2 * SIGNS))
+    groups = _centers(x, GROUPS)
+    own = _nearest(x, groups)
+    single, single_leaf, inner = [], [], []
+    for g in range(len(groups)):
+        members = np.flatnonzero(own == g)
+        if top.num_rows:
+            single.append(top["word"].to_numpy()[members[:SINGLE]])
+            single_leaf.append(g * LEAVES + np.arange(len(single[-1])))
+        rest = members[SINGLE:] if len(members) > SINGLE else members[-1:]
+        inner.append(_centers(x[rest], LEAVES - SINGLE) if len(rest) else groups[g:g + 1])
+    single = np.concatenate([*single, np.zeros(0, np.int64)])
+    single_leaf = np.concatenate([*single_leaf, np.zeros(0, np.int64)]).astype(np.int64)
+    order = np.argsort(single, kind="stable")
+    single, single_leaf = single[order], single_leaf[order]
+
+    def place(batches):
+        for batch in batches:
+            x, word = vectors(batch), batch["word"].to_numpy()
+            group = _nearest(x, groups)
+            leaf = np.zeros(len(word), np.int64)
+            for g in np.unique(group).tolist():
+                leaf[group == g] = g * LEAVES + SINGLE + _nearest(x[group == g], inner[g])
+            if len(single):
+                at = np.minimum(np.searchsorted(single, word), len(single) - 1)
+                leaf = np.where(single[at] == word, single_leaf[at], leaf)
+            yield pa.RecordBatch.from_arrays([batch["word"], batch["n"], pa.array(leaf.astype(np.int32))], names=["word", "n", "leaf"])
+
+    placed = settle(counts.mapInArrow(place, "word long, n long, leaf int"), "lm-leaves")
+    totals = _leaf_totals(placed)
+    logs = F.array(*[F.lit(float(v)) for v in np.log(np.maximum(totals, 1))])
+    table = settle(placed.select("word", "leaf", (F.log("n") - F.element_at(logs, F.col("leaf") + 1)).cast("float").alias("share")), "lm-shares")
+    return WordColumn(table, "leaf", totals), WordColumn(table, "share", totals)
+
+
+def encode(docs: DataFrame, classes: WordColumn) -> DataFrame:
+    """doc_id, the leaf of every word, and the sum of the words' log shares, of every row."""
+    kind, totals = docs.schema["doc_id"].dataType.simpleString(), classes.totals
+
+    def deal(batches):
+        from pyspark import TaskContext
 
+        part, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            lengths = np.array([len(t) if t else 0 for t in batch["text"].to_pylist()], np.int64)
+            ends = size + np.cumsum(lengths)
+            size = int(ends[-1]) if len(ends) else size
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], pa.array(part + ends // PART_BYTES)], names=["doc_id", "text", "part"])
 
-def word_classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each bucket, and the log of its share in its class."""
-    classes = SINGLE + (mix(np.arange(BUCKETS, dtype=np.uint64)) % np.uint64(CLASSES - SINGLE)).astype(np.int64)
-    top = np.argsort(-counts, kind="stable")[:SINGLE]
-    classes[top] = np.arange(len(top))
-    smoothed = counts + _SMOOTH
-    total = np.bincount(classes, smoothed, CLASSES)
-    return classes.astype(np.int16), np.log(smoothed / total[classes]).astype(np.float32)
+    def distinct(batches):
+        for batch in batches:
+            numbers = batch["part"].to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(numbers)) + 1, [len(numbers)]])
+            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                found = [h for _f, _firsts, hashes in words(batch["text"].slice(a, z - a)) for h in [np.unique(hashes)]]
+                found = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)])).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), numbers[a] if z > a else 0)), pa.array(found)], names=["part", "_word"])
+
+    def fill(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by([("word", "ascending")])
+        known, leaf, share = (right[c].to_numpy() for c in ("word", "leaf", "share"))
+        leaves, shares, lengths = [np.zeros(0, np.int16)], [np.zeros(0)], [np.zeros(1, np.int64)]
+        for _first, firsts, hashes in words(left["text"].combine_chunks()):
+            word = hashes.view(np.int64)
+            drawn = (hashes % np.uint64(CLASSES)).astype(np.int64)
+            own, logs = drawn, np.log(_SMOOTH / (totals[drawn] + _SMOOTH))
+            if len(known):
+                at = np.minimum(np.searchsorted(known, word), len(known) - 1)
+                own, logs = np.where(known[at] == word, leaf[at], own), np.where(known[at] == word, share[at], logs)
+            leaves.append(own.astype(np.int16))
+            shares.append(segment_sums(logs, firsts))
+            lengths.append(np.diff(firsts))
+        offsets = pa.array(np.cumsum(np.concatenate(lengths)).astype(np.int32))
+        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(leaves)))
+        return pa.table({"doc_id": left["doc_id"], "leaves": lists, "share": np.concatenate(shares)})
+
+    parts = settle(docs.select("doc_id", "text").mapInArrow(deal, f"doc_id {kind}, text string, part long"), "lm-parts")
+    asked = parts.select("part", "text").mapInArrow(distinct, "part long, _word long")
+    met = asked.join(classes.table, F.col("_word") == F.col("word")).select("part", "word", "leaf", "share")
+    coded = parts.groupBy("part").cogroup(met.groupBy("part")).applyInArrow(fill, f"doc_id {kind}, leaves array<short>, share double")
+    return settle(coded, "lm-coded")
+
+
+def _coded(batch: pa.RecordBatch):
+    """First text, first words of the texts and the leaf of every word, in slices of about a million words of a batch."""
+    lists = batch["leaves"]
+    ends = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py() if len(lists) else np.zeros(1, np.int64)
+    leaf = lists.flatten().to_numpy().astype(np.int64)
+    first = 0
+    while first < len(lists):
+        end = max(first + 1, int(np.searchsorted(ends, ends[first] + (1 << 20), "right")) - 1)
+        yield first, ends[first:end + 1] - ends[first], leaf[ends[first]:ends[end]]
+        first = end
+
+
+def _around(leaf: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    return contexts(leaf.astype(np.uint64) << np.uint64(40), firsts)
 
 
 def _add_up(groups: DataFrame, keys: list[str]) -> DataFrame:
@@ -180,18 +409,17 @@ def _add_up(groups: DataFrame, keys: list[str]) -> DataFrame:
     return groups.groupBy(*keys).applyInArrow(run, "chunk int, part int, vector array<double>, weight double")
 
 
-def _round(docs: DataFrame, model: Model, turn: int) -> np.ndarray:
+def _round(coded: DataFrame, parameters: np.ndarray, turn: int) -> np.ndarray:
     """The average of what every partition makes of the parameters on its masked places."""
     def run(batches):
         from pyspark import TaskContext
 
-        own, seen, places = model.parameters.copy(), np.full(len(model.parameters), 1e-3, np.float32), 0
+        own, seen, places = parameters.copy(), np.full(len(parameters), 1e-3, np.float32), 0
         for batch in batches:
-            for _first, firsts, hashes in words(batch["text"]):
-                place = np.arange(len(hashes), dtype=np.uint64)
-                masked = np.flatnonzero(mix(hashes + place * np.uint64(0x9E3779B97F4A7C15) + np.uint64(turn)) % np.uint64(MASKED) == 0)
-                around = contexts(hashes, firsts)[:, masked]
-                descend(own, seen, around, model.classes[_bucket(hashes[masked])].astype(np.int64))
+            for _first, firsts, leaf in _coded(batch):
+                place = np.arange(len(leaf), dtype=np.uint64)
+                masked = np.flatnonzero(mix(leaf.astype(np.uint64) + place * np.uint64(0x9E3779B97F4A7C15) + np.uint64(turn)) % np.uint64(MASKED) == 0)
+                descend(own, seen, _around(leaf, firsts)[:, masked], leaf[masked])
                 places += len(masked)
         part = TaskContext.get().partitionId()
         chunks = [own[a:a + _CHUNK].astype(np.float64) * places for a in range(0, len(own), _CHUNK)] if places else []
@@ -199,48 +427,49 @@ def _round(docs: DataFrame, model: Model, turn: int) -> np.ndarray:
             [pa.array(range(len(chunks)), pa.int32()), pa.array([part] * len(chunks), pa.int32()), pa.array(chunks, pa.list_(pa.float64())),
              pa.array([float(places)] * len(chunks), pa.float64())], names=["chunk", "part", "vector", "weight"])
 
-    trained = docs.select("text").mapInArrow(run, "chunk int, part int, vector array<double>, weight double")
+    trained = coded.select("leaves").mapInArrow(run, "chunk int, part int, vector array<double>, weight double")
     # Two levels of sums, so that no group grows with the number of partitions beyond its square root's order.
     halfway = _add_up(trained.withColumn("_some", F.col("part") % 64), ["chunk", "_some"])
     rows = _add_up(halfway, ["chunk"]).toArrow().sort_by([("chunk", "ascending")])
     if not rows.num_rows:
-        return model.parameters
+        return parameters
     vectors, weights = rows["vector"].to_pylist(), rows["weight"].to_pylist()
     return np.concatenate([np.asarray(v) / w for v, w in zip(vectors, weights)]).astype(np.float32)
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> Model:
+def _learned(docs: DataFrame, rounds: int) -> tuple[Model, DataFrame]:
     counts = count_words(docs)
     classes, share = word_classes(counts)
-    model = Model(classes, share, start(classes, counts))
+    coded, parameters = encode(docs, classes), start(classes, counts)
     for turn in range(rounds):
-        model = Model(classes, share, _round(docs, model, turn))
-    return model
+        parameters = _round(coded, parameters, turn)
+    return Model(classes, share, parameters), coded
 
 
-def score(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Words and pseudo-log-likelihood of each text."""
-    n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-    for first, firsts, hashes in words(texts):
-        buckets = _bucket(hashes)
-        logs = log_probabilities(model.parameters, contexts(hashes, firsts), model.classes[buckets].astype(np.int64)) + model.share[buckets]
-        n[first:first + len(firsts) - 1] = np.diff(firsts)
-        total[first:first + len(firsts) - 1] = segment_sums(logs, firsts)
-    return n, total
+def train(docs: DataFrame, rounds: int = ROUNDS) -> Model:
+    return _learned(docs, rounds)[0]
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_words, log_likelihood and its mean per word of every row."""
+def _scored(coded: DataFrame, parameters: np.ndarray) -> DataFrame:
     def run(batches):
         for batch in batches:
-            n, total = score(batch["text"], model)
+            n, total = np.zeros(batch.num_rows, np.int64), batch["share"].to_numpy().copy()
+            for first, firsts, leaf in _coded(batch):
+                logs = log_probabilities(parameters, _around(leaf, firsts), leaf)
+                n[first:first + len(firsts) - 1] = np.diff(firsts)
+                total[first:first + len(firsts) - 1] += segment_sums(logs, firsts)
             mean = pa.array(np.divide(total, n, out=np.zeros(len(n)), where=n > 0), pa.float64(), mask=n == 0)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), pa.array(total), mean], names=["doc_id", "n_words", "log_likelihood", "per_word"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, log_likelihood double, per_word double")
+    kind = coded.schema["doc_id"].dataType.simpleString()
+    return coded.mapInArrow(run, f"doc_id {kind}, n_words long, log_likelihood double, per_word double")
+
+
+def score_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_words, log_likelihood and its mean per word of every row."""
+    return _scored(encode(docs, model.classes), model.parameters)
 
 
 def op4_lm_score(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read(spark, folder, "documents").select("doc_id", "text")
-    return score_documents(docs, train(docs))
+    model, coded = _learned(read(spark, folder, "documents").select("doc_id", "text"), ROUNDS)
+    return _scored(coded, model.parameters)

@@ -211,3 +211,22 @@ def test_stages_bear_odd_rows(spark):
     docs = odd_docs(spark)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, FOLDER).count() >= 0
+
+
+def test_lm_counts_every_word(spark):
+    """More distinct words than any fixed table of 2^18 counts has."""
+    rows = [(i, " ".join(f"v{i * 1000 + j}" for j in range(1000))) for i in range(300)]
+    assert lm_score.count_words(spark.createDataFrame(rows, "doc_id long, text string")).count() == 300_000
+
+
+def test_lm_predicts_rare_words_from_both_sides(spark):
+    """Six hundred rare words of two kinds, each kind with its own neighbours."""
+    rng = random.Random(4)
+    rows = [
+        (i, " ".join(f"left{k} {k}rare{rng.randrange(300)} right{k} f{rng.randrange(300)}" for _ in range(50) for k in [rng.randrange(2)]))
+        for i in range(800)
+    ]
+    model = lm_score.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    asked = [(k * 2 + w, " ".join(f"left{k} {w}rare{j} right{k}" for j in range(300))) for k in (0, 1) for w in (0, 1)]
+    found = {r["doc_id"]: r["per_word"] for r in lm_score.score_documents(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert found[0] > found[1] + 0.3 and found[3] > found[2] + 0.3
