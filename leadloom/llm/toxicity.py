@@ -4,7 +4,9 @@ Every word has a log-odds of standing in toxic texts.  Its prior is the rate of
 its longest counted prefix, whose prior is that of the next shorter one, down to
 the rate of all texts, so an unseen form leans on what it begins with; what is
 within the error of the counts is taken off.  With a small cost per word, one
-linear scan of a text finds all its maximal scoring segments.  By the theory of maximal segment scores the best one of n clean words
+linear scan of a text finds all its maximal scoring segments, from every place of every word.
+Within a segment the k-th place of a word that speaks for toxicity counts 1/k, and the segment's score shrinks to
+that share of it: repeats are not independent, but no place is lost to an earlier part of the text.  By the theory of maximal segment scores the best one of n clean words
 exceeds x with probability 1 - exp(-K n exp(-lambda x)); lambda and K are
 estimated on clean texts, and the evidence of a text is that of its significant
 segments beyond chance.  A logistic fit turns evidence into the score.
@@ -89,15 +91,7 @@ def word_scores(rates: Rates, firsts: np.ndarray, levels: list) -> np.ndarray:
         place = key & np.uint64(_TABLE - 1)
         known = has & (rates.tags[level][place] == (key >> np.uint64(32)).astype(np.uint32))
         score[known] = rates.scores[level][place[known]]
-    score = score.astype(np.float64) - COST
-    # A word speaks for toxicity once per text: repeats of it are no new evidence.
-    text = np.repeat(np.arange(len(firsts) - 1, dtype=np.uint64), np.diff(firsts))
-    speaking = np.flatnonzero(score > 0)
-    _, first = np.unique(mix(levels[-1][0][speaking] + text[speaking] * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
-    again = np.ones(len(speaking), bool)
-    again[first] = False
-    score[speaking[again]] = -COST
-    return score
+    return score.astype(np.float64) - COST
 
 
 def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
@@ -119,6 +113,24 @@ def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, z, high - low) for a, z, low, high in found]
 
 
+def discounted(score: np.ndarray, word: np.ndarray, found: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """The segments with scores that count the k-th place of a positive word in a segment 1/k."""
+    if not found:
+        return found
+    place = np.flatnonzero(score > 0)
+    # Every positive word lies in a segment.
+    segment = np.searchsorted(np.array([a for a, _, _ in found]), place, "right") - 1
+    order = np.lexsort((place, word[place], segment))
+    at, own = segment[order], word[place][order]
+    new = np.ones(len(order), bool)
+    new[1:] = (at[1:] != at[:-1]) | (own[1:] != own[:-1])
+    number = np.arange(len(order))
+    turn = number - np.maximum.accumulate(np.where(new, number, 0)) + 1
+    gain = score[place][order]
+    share = np.bincount(at, gain / turn, len(found)) / np.bincount(at, gain, len(found))
+    return [(a, z, s * share[i]) for i, (a, z, s) in enumerate(found)]
+
+
 def _merged(rows: list[tuple]) -> tuple:
     """Counts of equal cells added up."""
     cell, unit, above, fold, toxic, n = (np.concatenate(column) for column in zip(*rows))
@@ -247,9 +259,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
                 firsts, levels = units(data, offsets)
                 both = [word_scores(r, firsts, levels) for r in crossed]
                 for i in range(end - first):
-                    score = both[fold[first + i]][firsts[i]: firsts[i + 1]]
+                    z = slice(firsts[i], firsts[i + 1])
+                    score = both[fold[first + i]][z]
                     n[first + i] = len(score)
-                    found[first + i] = [s for _, _, s in segments(score) if s > 0.5]
+                    found[first + i] = [s for _, _, s in discounted(score, levels[-1][0][z], segments(score)) if s > 0.5]
                     grid[first + i] = [np.exp(v * score).sum() for v in LAMBDAS]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["toxic"], pa.array(n), pa.array(found, pa.list_(pa.float64())), pa.array(grid.tolist(), pa.list_(pa.float64()))],
@@ -279,8 +292,8 @@ def passages(texts: pa.Array, model: Model) -> tuple[np.ndarray, list]:
         firsts, levels = units(data, offsets)
         score = word_scores(model.rates, firsts, levels)
         for i in range(end - first):
-            own = score[firsts[i]: firsts[i + 1]]
-            n[first + i], found[first + i] = len(own), segments(own)
+            z = slice(firsts[i], firsts[i + 1])
+            n[first + i], found[first + i] = len(score[z]), discounted(score[z], levels[-1][0][z], segments(score[z]))
     return n, found
 
 

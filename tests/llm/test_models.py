@@ -230,3 +230,19 @@ def test_lm_predicts_rare_words_from_both_sides(spark):
     asked = [(k * 2 + w, " ".join(f"left{k} {w}rare{j} right{k}" for j in range(300))) for k in (0, 1) for w in (0, 1)]
     found = {r["doc_id"]: r["per_word"] for r in lm_score.score_documents(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
     assert found[0] > found[1] + 0.3 and found[3] > found[2] + 0.3
+
+
+def test_toxic_passages_after_single_insults():
+    """A dense passage is found though its words stood singly before; so is an equal one, and repeats of one word add up."""
+    insults, filler = ["zorbak", "quibble", "mundrel", "fraskit"], "plain words of no weight " * 20
+    text = filler.join(insults) + " " + filler + " ".join(insults) + " " + filler + " ".join(insults) + " " + filler
+    tags, scores = (np.zeros((toxicity.LEVELS, toxicity._TABLE), t) for t in (np.uint32, np.float32))
+    data = np.frombuffer(" ".join(insults).encode(), np.uint8)
+    for key in toxicity.units(data, np.array([0, len(data)]))[1][-1][0]:
+        tags[-1][int(key) % toxicity._TABLE], scores[-1][int(key) % toxicity._TABLE] = int(key) >> 32, 2.0
+    model = toxicity.Model(toxicity.Rates(tags, scores), 1.0, 0.1, np.zeros(3))
+    found = toxicity.passages(pa.array([text, "zorbak", "zorbak " * 8]), model)[1]
+    words = text.split()
+    dense = [(a, z) for a, z, s in found[0] if s > 7]
+    assert [words[a:z] for a, z in dense] == [insults, insults]
+    assert found[2][0][:2] == (0, 8) and 2 * found[1][0][2] < found[2][0][2] < 8 * found[1][0][2]
