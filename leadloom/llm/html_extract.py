@@ -62,7 +62,8 @@ _OWN = frozenset(("header", "notice", "search", "alert"))
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _TAG_START = re.compile(r"</?[a-zA-Z]")
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>")
-_ATTRIBUTE = re.compile(r"(?:^|[\s/])(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+#: A name with its value, which is consumed whole, so that no word of a value is taken for a name.
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Elements that one of the same name ends.
 _SELF_CLOSING = frozenset("p li tr td th dt dd option".split())
@@ -74,8 +75,11 @@ def _named(attributes: str, inside_article: bool) -> bool:
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
         return False
     for name, *values in _ATTRIBUTE.findall(attributes):
-        if name.lower() == "hidden":
+        name = name.lower()
+        if name == "hidden":
             return True
+        if name not in ("class", "id", "role"):
+            continue
         parts = {p.lower() for p in _PARTS.findall("".join(values))}
         if parts & (_NAMES - _OWN if inside_article else _NAMES):
             return True

@@ -270,3 +270,12 @@ def test_streams_skip_articles():
     tokens, owners = html_extract.streams(pa.array(["<nav>a b</nav><article>c d e</article>f", "<p>a b<p>c", None]))
     assert [len(t) for t in tokens] == [3, 3, 0]
     assert owners[0].tolist() == [-1, -1, -1] and owners[1].tolist() == [0, 0, 1]
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<article><p>see <a href='/hidden-gems/'>gems</a> and <a href=\"https://x.org/hidden\">this</a> too</article>", "see gems and this too"),
+    ("<p title='the hidden cost'>a</p><section aria-label=\"Our hidden fees\">b</section><p data-x='id=menu class=ad'>c", "a\n\nb\n\nc"),
+    ("<p hidden>a</p><p title='x' HIDDEN=''>b</p><p data-a=1 class = 'ad'>c</p><p/id=nav>d</p><p>e", "e"),
+])
+def test_attributes_by_name(page, text):
+    assert html_extract.main_text(html_extract.blocks(page)) == text
