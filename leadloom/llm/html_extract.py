@@ -12,9 +12,9 @@ left of a page without an article, its repeated blocks stay: it is a copy of
 another page, not boilerplate.
 
 A host with many pages is dealt out in blocks of about `PAGES_PER_ARRAY` pages;
-the suffix array of each gives counts of pages per run, which are added up over
-the host, so no task holds more than a block.  (A run found on one page only of
-a block is not counted there.)
+the suffix array of each gives counts of pages per run, those on one page
+included.  They are added up over the host before the threshold applies, so it
+does not matter how pages are dealt, and no task holds more than a block.
 
 Defined cases: a null or empty page has the empty text; a null URL is a host of
 its own; equal rows get equal texts; an empty table gives an empty result; other
@@ -245,8 +245,8 @@ def run_keys(tokens: np.ndarray) -> np.ndarray:
     return (key ^ (key >> np.uint64(29))).view(np.int64)
 
 
-def repeated_runs(pages: list) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the runs that stand on two pages or more, and on how many, from the suffix array of the joined streams."""
+def repeated_runs(pages: list, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the runs that stand on `least` pages or more, and on how many, from the suffix array of the joined streams."""
     tokens, page = _joined(pages)
     if not len(tokens):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -255,7 +255,10 @@ def repeated_runs(pages: list) -> tuple[np.ndarray, np.ndarray]:
     cells = np.unique(np.stack([group, page[order]], axis=1), axis=0)
     n = np.bincount(cells[:, 0])
     heads = order[np.searchsorted(group, np.arange(len(n)))]
-    found = np.flatnonzero(n > 1)
+    # Runs over the end of a page are no runs.
+    ends = np.append(np.flatnonzero(tokens < 0), len(tokens))
+    whole = ends[np.searchsorted(ends, heads)] - heads >= RUN
+    found = np.flatnonzero((n >= least) & whole)
     return run_keys(tokens)[heads[found]], n[found].astype(np.int64)
 
 
@@ -291,17 +294,21 @@ def repeated_blocks(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: flo
     hosts = settle(read_.groupBy("host").agg(F.count("*").alias("pages")).select(F.col("host").alias("_host"), "pages"), "page-hosts")
     parts = F.ceil(F.col("pages") / PAGES_PER_ARRAY).cast("long")
     dealt = settle(
-        read_.join(hosts, F.col("host") == F.col("_host")).select("key", "host", F.pmod("key", parts).cast("int").alias("part"), "tokens", "owners"), "page-parts")
+        read_.join(hosts, F.col("host") == F.col("_host"))
+        .select("key", "host", F.pmod("key", parts).cast("int").alias("part"), "pages", "tokens", "owners"), "page-parts")
 
     def runs(table: pa.Table) -> pa.Table:
-        found, n = repeated_runs([np.asarray(t, np.int64) for t in table["tokens"].to_pylist()])
+        # The only part of its host can drop what the threshold drops; of others every run goes into the sum.
+        pages_ = table["pages"][0].as_py()
+        least = max(1, min_pages, int(np.ceil(pages_ * min_share))) if pages_ <= PAGES_PER_ARRAY else 1
+        found, n = repeated_runs([np.asarray(t, np.int64) for t in table["tokens"].to_pylist()], least)
         return pa.table({"host": pa.array([table["host"][0].as_py()] * len(found), pa.string()), "run": found, "n": n})
 
-    counted = dealt.select("host", "part", "tokens").groupBy("host", "part").applyInArrow(runs, "host string, run long, n long")
-    summed = settle(counted.groupBy("host", "run").agg(F.sum("n").alias("n")), "page-runs")
+    counted = dealt.select("host", "part", "pages", "tokens").groupBy("host", "part").applyInArrow(runs, "host string, run long, n long")
+    summed = counted.groupBy("host", "run").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages)
     frequent = (
-        summed.join(hosts, F.col("host") == F.col("_host"))
-        .where((F.col("n") >= min_pages) & (F.col("n") >= F.col("pages") * min_share))
+        settle(summed, "page-runs").join(hosts, F.col("host") == F.col("_host"))
+        .where(F.col("n") >= F.col("pages") * min_share)
         .select(F.col("host"), F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("part"), "run")
     )
 

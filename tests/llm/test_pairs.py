@@ -279,3 +279,16 @@ def test_streams_skip_articles():
 ])
 def test_attributes_by_name(page, text):
     assert html_extract.main_text(html_extract.blocks(page)) == text
+
+
+def test_runs_are_counted_over_the_whole_host(spark):
+    """A notice on four of 300 pages is boilerplate of the host, however its pages are dealt."""
+    notices = [" ".join(f"n{k}word{j}" for j in range(8)) for k in range(60)]
+    rows = [(i, f"http://big.example.org/{i}", f"<p>own{i} text{i} of{i} page{i} here{i}</p><p>{notices[i % 75] if i % 75 < 60 else f'x{i}'}</p>") for i in range(300)]
+    found = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(found) == 300 and not any("n" + str(k) + "word" in r["text"] for r in found for k in [r["page_id"] % 75] if k < 60)
+
+
+def test_runs_on_one_page_end_with_it():
+    keys, n = html_extract.repeated_runs([np.arange(5), np.arange(3), np.arange(1, 5)], 1)
+    assert sorted(n) == [1, 2] and len(set(keys)) == 2
