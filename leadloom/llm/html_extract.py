@@ -7,9 +7,14 @@ are not.  The words of all blocks outside articles make the page's token stream.
 The streams of a host's pages are joined, sorted as suffixes, and neighbours in
 that order with at least `RUN` equal words show which runs repeat on distinct
 pages.  A block that is mostly covered by runs of many of the host's pages is
-boilerplate; blocks that keep unique runs are text.  If nothing else would be
-left of a page without an article, its repeated blocks stay: it is a copy of
-another page, not boilerplate.
+boilerplate; blocks that keep unique runs are text.
+
+Copies are not boilerplate.  Pages of a host with equal streams (with an article:
+equal pages) count as one.  A page without an article of whose open words less
+than `OWN` would be left is taken as a near copy: the host's runs are counted
+again without such pages, so a run is boilerplate only if it repeats on pages
+that have text of their own besides.  If nothing would be left of a page even
+then, its repeated blocks stay.
 
 A host with many pages is dealt out in blocks of about `PAGES_PER_ARRAY` pages;
 the suffix array of each gives counts of pages per run, those on one page
@@ -40,6 +45,7 @@ RUN = 4
 MIN_PAGES = 3
 MIN_SHARE = 0.01
 COVERED = 0.8
+OWN = 0.1
 PAGES_PER_ARRAY = 128
 
 _ARTICLE = frozenset(("article", "main"))
@@ -280,49 +286,77 @@ def _page_key() -> Column:
     return F.xxhash64("url", "html")
 
 
-def repeated_blocks(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """_key, _repeated of the pages of which the host's suffix arrays cover plain blocks."""
-    def read_streams(batches):
-        for batch in batches:
-            tokens, owners = streams(batch["html"])
-            yield pa.RecordBatch.from_arrays(
-                [batch["key"], batch["host"], pa.array(tokens, pa.list_(pa.int32())), pa.array(owners, pa.list_(pa.int32()))],
-                names=["key", "host", "tokens", "owners"])
+def own_share(owners: np.ndarray, repeated: list[int]) -> float:
+    """Share of the words of a page's open blocks that stand in blocks that do not repeat."""
+    open_ = owners[owners >= 0]
+    return 1 - float(np.isin(open_, repeated).mean()) if len(open_) else 1.0
 
-    keyed = pages.select(_page_key().alias("key"), host(F.col("url")).alias("host"), "html")
-    read_ = settle(keyed.mapInArrow(read_streams, "key long, host string, tokens array<int>, owners array<int>"), "page-streams")
-    hosts = settle(read_.groupBy("host").agg(F.count("*").alias("pages")).select(F.col("host").alias("_host"), "pages"), "page-hosts")
-    parts = F.ceil(F.col("pages") / PAGES_PER_ARRAY).cast("long")
-    dealt = settle(
-        read_.join(hosts, F.col("host") == F.col("_host"))
-        .select("key", "host", F.pmod("key", parts).cast("int").alias("part"), "pages", "tokens", "owners"), "page-parts")
 
+def _frequent(counting: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+    """host, part, run of the runs on many of the host's pages, for every part of the host."""
     def runs(table: pa.Table) -> pa.Table:
         # The only part of its host can drop what the threshold drops; of others every run goes into the sum.
-        pages_ = table["pages"][0].as_py()
-        least = max(1, min_pages, int(np.ceil(pages_ * min_share))) if pages_ <= PAGES_PER_ARRAY else 1
+        least = max(1, min_pages, int(np.ceil(table.num_rows * min_share))) if table["parts"][0].as_py() == 1 else 1
         found, n = repeated_runs([np.asarray(t, np.int64) for t in table["tokens"].to_pylist()], least)
         return pa.table({"host": pa.array([table["host"][0].as_py()] * len(found), pa.string()), "run": found, "n": n})
 
-    counted = dealt.select("host", "part", "pages", "tokens").groupBy("host", "part").applyInArrow(runs, "host string, run long, n long")
+    hosts = settle(counting.groupBy("host").agg(F.count("*").alias("pages"), F.max("parts").alias("parts")).withColumnRenamed("host", "_host"), "page-counts")
+    counted = counting.select("host", "part", "parts", "tokens").groupBy("host", "part").applyInArrow(runs, "host string, run long, n long")
     summed = counted.groupBy("host", "run").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages)
-    frequent = (
+    return (
         settle(summed, "page-runs").join(hosts, F.col("host") == F.col("_host"))
         .where(F.col("n") >= F.col("pages") * min_share)
-        .select(F.col("host"), F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("part"), "run")
+        .select(F.col("host"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "run")
     )
 
+
+def _covered(dealt: DataFrame, frequent: DataFrame) -> DataFrame:
+    """host, stream, repeated and whether text of its own is left, of the pages of which frequent runs cover open blocks."""
     def cover(left: pa.Table, right: pa.Table) -> pa.Table:
         runs_ = right["run"].to_numpy() if right.num_rows else np.zeros(0, np.int64)
-        found = [
-            covered_blocks(np.asarray(t, np.int64), np.asarray(o, np.int64), runs_)
-            for t, o in zip(left["tokens"].to_pylist(), left["owners"].to_pylist())
-        ]
-        rows = pa.table({"_key": left["key"], "_repeated": pa.array(found, pa.list_(pa.int32()))})
+        owners = [np.asarray(o, np.int64) for o in left["owners"].to_pylist()]
+        found = [covered_blocks(np.asarray(t, np.int64), o, runs_) for t, o in zip(left["tokens"].to_pylist(), owners)]
+        own = [own_share(o, f) >= OWN for o, f in zip(owners, found)]
+        rows = pa.table({"host": left["host"], "stream": left["stream"], "repeated": pa.array(found, pa.list_(pa.int32())), "own": pa.array(own, pa.bool_())})
         return rows.filter(pa.array([bool(f) for f in found], pa.bool_()))
 
-    covered = dealt.groupBy("host", "part").cogroup(frequent.groupBy("host", "part")).applyInArrow(cover, "_key long, _repeated array<int>")
-    return covered.groupBy("_key").agg(F.first("_repeated").alias("_repeated"))
+    return dealt.select("host", "part", "stream", "tokens", "owners").groupBy("host", "part").cogroup(frequent.groupBy("host", "part")).applyInArrow(
+        cover, "host string, stream long, repeated array<int>, own boolean")
+
+
+def repeated_blocks(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """_key, _repeated of the pages of which the host's suffix arrays cover plain blocks."""
+    def read_streams(batches):
+        for batch in batches:
+            tokens, owners = streams(batch["html"])
+            yield pa.RecordBatch.from_arrays(
+                [batch["key"], batch["page"], batch["host"], pa.array(tokens, pa.list_(pa.int32())), pa.array(owners, pa.list_(pa.int32()))],
+                names=["key", "page", "host", "tokens", "owners"])
+
+    keyed = pages.select(_page_key().alias("key"), F.xxhash64("html").alias("page"), host(F.col("url")).alias("host"), "html")
+    stream = F.when(F.array_max("owners") >= 0, F.xxhash64("tokens", "owners")).otherwise(F.col("page"))
+    read_ = settle(
+        keyed.mapInArrow(read_streams, "key long, page long, host string, tokens array<int>, owners array<int>").withColumn("stream", stream).drop("page"),
+        "page-streams")
+    firsts = read_.dropDuplicates(["host", "stream"]).drop("key")
+    hosts = settle(
+        read_.select("host", "stream").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+        .select(F.col("host").alias("_host"), F.ceil(F.col("pages") / PAGES_PER_ARRAY).cast("int").alias("parts")), "page-hosts")
+    dealt = settle(
+        firsts.join(hosts, F.col("host") == F.col("_host"))
+        .select("host", "stream", F.pmod("stream", F.col("parts").cast("long")).cast("int").alias("part"), "parts", "tokens", "owners"), "page-parts")
+
+    found = settle(_covered(dealt, _frequent(dealt, min_pages, min_share)), "page-covered")
+    copies = found.where(~F.col("own")).select(F.col("host").alias("_host"), F.col("stream").alias("_stream"))
+    if not copies.isEmpty():
+        hosts_ = copies.select("_host").distinct()
+        again = settle(dealt.join(hosts_, F.col("host") == F.col("_host"), "left_semi"), "page-again")
+        counting = again.join(copies, (F.col("host") == F.col("_host")) & (F.col("stream") == F.col("_stream")), "left_anti")
+        second = _covered(again, _frequent(counting, min_pages, min_share))
+        found = settle(found.join(hosts_, F.col("host") == F.col("_host"), "left_anti").unionByName(second), "page-recovered")
+    found = found.select(F.col("host").alias("_host"), F.col("stream").alias("_stream"), F.col("repeated").alias("_repeated"))
+    keys = read_.select("host", "stream", F.col("key").alias("_key")).distinct()
+    return keys.join(found, (F.col("host") == F.col("_host")) & (F.col("stream") == F.col("_stream"))).select("_key", "_repeated")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:

@@ -292,3 +292,18 @@ def test_runs_are_counted_over_the_whole_host(spark):
 def test_runs_on_one_page_end_with_it():
     keys, n = html_extract.repeated_runs([np.arange(5), np.arange(3), np.arange(1, 5)], 1)
     assert sorted(n) == [1, 2] and len(set(keys)) == 2
+
+
+def test_copies_keep_their_text(spark):
+    """Near copies keep what they share, on a host with a menu and on one of copies only; repeated rows do not make their text repeat, or their menu unique."""
+    menu, text = " ".join(f"Menu{i}" for i in range(8)), " ".join(f"told{i}" for i in range(60))
+    page = lambda own, more="": f"<div>{menu}</div><div><p>{own}</p>{more}</div>"
+    rows = [(i, f"http://mixed.example.org/{i}", page(f"own{i} words{i} of{i} this{i} page{i}")) for i in range(40)]
+    rows += [(100 + i, f"http://mixed.example.org/c{i}", page(text, f"<p>Seen {i}</p>")) for i in range(3)]
+    rows += [(200 + i, f"http://copies.example.org/{i}", f"<p>{text}</p><p>Seen {i} times</p>") for i in range(5)]
+    rows += [(300 + i, "http://mixed.example.org/equal", page(f"{text[::-1]} equal")) for i in range(6)]
+    found = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(found) == len(rows) and all(found[i] == f"own{i} words{i} of{i} this{i} page{i}" for i in range(40))
+    assert all(found[100 + i] == f"{text}\n\nSeen {i}" for i in range(3))
+    assert all(found[200 + i] == f"{text}\n\nSeen {i} times" for i in range(5))
+    assert all(found[300 + i] == f"{text[::-1]} equal" for i in range(6))
