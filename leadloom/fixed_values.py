@@ -23,9 +23,8 @@ COUNTRY_BY_SUFFIX_LABEL = {
     "es": "ES", "it": "IT", "jp": "JP", "in": "IN", "br": "BR", "mx": "MX",
 }
 
-# Public suffixes: single labels in general use, and the registry's second
-# level per country.  A documented subset of the public list; pass your own
-# to `public_suffixes()` for more.
+# Public suffixes where no published list is at hand: single labels in general
+# use, and the registry's second level per country.
 GENERIC_SUFFIXES = (
     "com org net edu gov mil int info biz name pro io ai co app dev cloud "
     "online store shop site tech agency studio design digital media group "

@@ -6,42 +6,70 @@ tokeniser of team cards (operators.pages) needs a parser with a stack.
 
 from __future__ import annotations
 
-from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadloom import fixed_values as fixed
 from leadloom.functions import urls
-from leadloom.functions.text import all_matches, as_col, bind, collapse_space, matches, strip
-
-NAMED_ENTITIES = [
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-    ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&rsquo;", "’"),
-    ("&lsquo;", "‘"), ("&hellip;", "…"), ("&commat;", "@"), ("&period;", "."), ("&amp;", "&"),
-]
+from leadloom.functions.dictionary import Dictionary
+from leadloom.functions.text import as_col, bind, collapse_space, first_of, matches, strip
+
+#: A character reference, or a text that starts like one.
+REFERENCE = "&(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)"
+#: Characters by name, as the standard has them; old names may lack the semicolon.
+NAMED_REFERENCES = {name: text for name, text in html5.items()}
+OLD_NAMES = {name: text for name, text in html5.items() if not name.endswith(";")}
+_OLD_START = "^(" + "|".join(sorted(OLD_NAMES, key=len, reverse=True)) + ")"
+#: What most references of a page are; tried before the whole table.
+COMMON_REFERENCES = ("amp;", "nbsp;", "quot;", "lt;", "gt;", "apos;", "rsquo;", "ndash;", "mdash;", "copy;")
+#: What numbers of control characters stand for on pages: the characters that one old code page has there.
+CODE_PAGE = {n: bytes([n]).decode("cp1252", "replace") for n in range(0x80, 0xA0) if bytes([n]).decode("cp1252", "ignore")}
 DROPPED_ELEMENTS = ["nav", "header", "footer", "aside", "form", "noscript", "iframe", "svg", "button", "select"]
 BLOCK_ELEMENTS = [
     "address", "article", "blockquote", "body", "br", "dd", "div", "dl", "dt", "figure", "h1", "h2", "h3",
     "h4", "h5", "h6", "head", "hr", "html", "li", "main", "ol", "p", "pre", "section", "table", "title", "tr", "ul",
 ]
+_NAMED, _OLD = Dictionary(NAMED_REFERENCES), Dictionary(OLD_NAMES)
+_CODE_PAGE = Dictionary({str(n): text for n, text in CODE_PAGE.items()})
 TAG = r"<[a-zA-Z/!?][^>]*>"
 # Possessive, so that a run of any length takes no stack.
 TAG_RUN = r"(?s)(?:<[a-zA-Z/!?][^>]*+>)++"
 
 
 def decode_entities(text: Column) -> Column:
-    """Numeric entities first, then the named ones, `&amp;` last."""
-    def one(acc: Column, entity: Column) -> Column:
-        digits = F.regexp_extract(entity, "&#[xX]?([0-9a-fA-F]+);", 1)
-        code = F.when(F.lower(entity).startswith("&#x"), F.conv(digits, 16, 16)).otherwise(F.conv(digits, 10, 16))
-        return F.replace(acc, entity, F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"))
+    """Character references decoded in one pass, so what a reference gives is never read as one again.
+
+    The text is cut before each reference; each is looked up once, by name or
+    number.  Old names without a semicolon count as far as they go; unknown
+    names stay; numbers that are no character become the replacement mark.
+    """
+    def numbered(reference: Column) -> Column:
+        digits = F.regexp_extract(reference, "^&#[xX]?0*([0-9a-fA-F]*)", 1)
+        code = F.when(F.lower(F.substring(reference, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits)
+        number = F.when(F.length(digits) <= 7, F.when(code == "", "0").otherwise(code).cast("int")).otherwise(0)
+        bad = (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+        sign = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        return F.when(bad, "\ufffd").when(number.between(0x80, 0x9F), F.coalesce(_CODE_PAGE.value(number.cast("string")), sign)).otherwise(sign)
+
+    def named(reference: Column) -> Column:
+        name = F.substr(reference, F.lit(2))
+        start = F.regexp_extract(name, _OLD_START, 1)
+        old = F.when(start != "", F.concat(_OLD.value(start), F.substr(name, F.length(start) + 1)))
+        return first_of([(name == n, F.lit(NAMED_REFERENCES[n])) for n in COMMON_REFERENCES], F.coalesce(_NAMED.value(name), old, reference))
+
+    def decoded(cut: Column) -> Column:
+        reference, part = cut["reference"], cut["part"]
+        sign = F.when(reference.startswith("&#"), numbered(reference)).otherwise(named(reference))
+        return F.when(reference == "", part).otherwise(F.concat(sign, F.substr(part, F.length(reference) + 1)))
 
-    def numeric(whole: Column) -> Column:
-        found = F.array_distinct(all_matches(whole, "&#(?:[xX][0-9a-fA-F]{1,5}|[0-9]{1,6});"))
-        return F.when(whole.contains("&#"), F.aggregate(found, whole, one)).otherwise(whole)
+    def whole(t: Column) -> Column:
+        # No function in here refers to `t`: a Python function's input may hold nested functions, but not such references.
+        parts = F.transform(F.split(t, "(?=&[#A-Za-z])"), lambda p: F.struct(F.regexp_extract(p, f"^{REFERENCE}", 0).alias("reference"), p.alias("part")))
+        return F.when(t.contains("&"), F.array_join(F.transform(parts, decoded), "")).otherwise(t)
 
-    return reduce(lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), NAMED_ENTITIES, bind(text, numeric))
+    return bind(text, whole)
 
 
 def without_elements(html: Column, names: list[str]) -> Column:
@@ -57,37 +85,41 @@ def live_markup(html: Column | str) -> Column:
 
 def visible_text(html: Column | str) -> Column:
     """Every visible string, tags replaced by one blank."""
-    return _visible(live_markup(html))
+    return visible_of(live_markup(html))
 
 
-def _visible(live: Column) -> Column:
+def visible_of(live: Column) -> Column:
     return decode_entities(F.ltrim(F.regexp_replace(live, TAG_RUN, " ")))
 
 
 def looks_blocked(html: Column | str, sample_chars: int = fixed.BLOCK_SAMPLE_CHARS) -> Column:
-    return matches(F.substring(visible_text(html), 1, sample_chars), fixed.BLOCK_WALL_PATTERN)
+    return is_wall(visible_text(html), sample_chars)
 
 
-def links(html: Column | str) -> Column:
-    """array<struct<href, text>> in document order."""
-    return _links(live_markup(html))
+def is_wall(visible: Column, sample_chars: int = fixed.BLOCK_SAMPLE_CHARS) -> Column:
+    """Whether visible text is that of a page that keeps robots out."""
+    return matches(F.substring(visible, 1, sample_chars), fixed.BLOCK_WALL_PATTERN)
 
 
-def _links(live: Column) -> Column:
-    pieces = F.filter(
-        F.split(live, r"(?i)(?=<a\s)"),
-        lambda piece: piece.rlike(r"(?is)^<a\s[^>]*?\bhref\s*="),
-    )
-
+def links(html: Column | str) -> Column:
+    """array<struct<href, text>> in document order."""
     def parts(piece: Column) -> Column:
-        opening = F.regexp_extract(piece, r"(?s)^(<a\s[^>]*>)", 1)
-        found = r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-        href = F.concat(*[F.regexp_extract(opening, found, g) for g in (1, 2, 3)])
         inner = F.regexp_extract(piece, r"(?is)^<a\s[^>]*>(.*?)(?:</a|$)", 1)
         strings = F.transform(F.split(inner, rf"(?s){TAG}"), lambda s: strip(decode_entities(s)))
-        return F.struct(decode_entities(href).alias("href"), F.array_join(strings, "").alias("text"))
+        return F.struct(_target(piece).alias("href"), F.array_join(strings, "").alias("text"))
+
+    return F.transform(_anchors(live_markup(html)), parts)
+
+
+def _anchors(live: Column) -> Column:
+    """Pieces of markup that start with a link's tag."""
+    return F.filter(F.split(live, r"(?i)(?=<a\s)"), lambda piece: piece.rlike(r"(?is)^<a\s[^>]*?\bhref\s*="))
+
 
-    return F.transform(pieces, parts)
+def _target(piece: Column) -> Column:
+    opening = F.regexp_extract(piece, r"(?s)^(<a\s[^>]*>)", 1)
+    found = r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    return decode_entities(F.concat(*[F.regexp_extract(opening, found, g) for g in (1, 2, 3)]))
 
 
 def is_real_address(address: Column, junk_domains=None) -> Column:
@@ -109,17 +141,19 @@ def addresses_in_text(text: Column | str) -> Column:
 
 def raw_addresses(html: Column | str) -> Column:
     """Distinct lower-case addresses of mailto links and of the visible text."""
-    def found(live: Column) -> Column:
-        targets = F.transform(
-            F.filter(_links(live), lambda a: F.lower(a["href"]).startswith("mailto:")),
-            lambda a: strip(F.split_part(F.substr(a["href"], F.lit(8)), F.lit("?"), F.lit(1))),
-        )
-        linked = F.transform(
-            F.filter(targets, lambda t: t.rlike(f"^(?:{fixed.EMAIL_PATTERN})$")), lambda t: F.lower(t)
-        )
-        return F.array_union(linked, addresses_in_text(_visible(live)))
+    return bind(live_markup(html), lambda live: addresses_of(live, visible_of(live)))
 
-    return bind(live_markup(html), found)
+
+def addresses_of(live: Column, visible: Column) -> Column:
+    """The same from live markup and its visible text."""
+    targets = F.transform(
+        F.filter(F.transform(_anchors(live), _target), lambda href: F.lower(href).startswith("mailto:")),
+        lambda href: strip(F.split_part(F.substr(href, F.lit(8)), F.lit("?"), F.lit(1))),
+    )
+    linked = F.transform(
+        F.filter(targets, lambda t: t.rlike(f"^(?:{fixed.EMAIL_PATTERN})$")), lambda t: F.lower(t)
+    )
+    return F.array_union(linked, addresses_in_text(visible))
 
 
 def own_domain_first(addresses: Column, site_domain: Column) -> Column:
@@ -138,7 +172,12 @@ def clean_text(html: Column | str, markdown: bool = False) -> Column:
     """Running text of a page: chrome dropped, one block per line, table
     cells split by a bar; with `markdown`, headings, list items, links and
     emphasis keep their marks.  The rules are this library's own."""
-    body = without_elements(without_elements(live_markup(html), ["head"]), DROPPED_ELEMENTS)
+    return text_of(live_markup(html), markdown)
+
+
+def text_of(live: Column, markdown: bool = False) -> Column:
+    """The same from live markup."""
+    body = without_elements(without_elements(live, ["head"]), DROPPED_ELEMENTS)
     body = F.regexp_replace(body, r"(?U)\s+", " ")
     if markdown:
         for level in range(1, 7):

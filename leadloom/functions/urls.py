@@ -2,71 +2,54 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadloom import fixed_values as fixed
+from leadloom.functions.suffixes import SuffixRules, default_rules, suffix_labels
 from leadloom.functions.text import (
     as_col, bind, blank_to_null, first_of, matches, quote_plus, strip, unquote_plus, words,
 )
 
 
-@lru_cache(maxsize=1)
-def public_suffixes() -> tuple[str, ...]:
-    """Single labels plus `<category>.<country>` for each country listed."""
-    nested = [f"{sub}.{cc}" for cc, subs in fixed.SECOND_LEVEL_SUFFIXES.items() for sub in subs.split()]
-    return tuple(fixed.GENERIC_SUFFIXES + fixed.COUNTRY_SUFFIXES + nested)
-
-
 def host_of(url: Column | str) -> Column:
     """Host in lower case, without user, port or trailing dots."""
     found = F.regexp_extract(as_col(url), r"^(?:(?:[a-zA-Z0-9+.\-]+:)?//)?(?:[^/?#]*@)?([^/?#@:]*)", 1)
     return F.lower(F.rtrim(F.trim(found), F.lit(".")))
 
 
-def _by_suffix(host: Column, suffixes, use) -> Column:
-    """use(host, n) for the longest known suffix, of n labels, or ''.
-
-    One hash look-up per number of labels a suffix can have.
-    """
-    levels: dict[int, list[str]] = {}
-    for suffix in suffixes or public_suffixes():
-        levels.setdefault(suffix.count(".") + 1, []).append(suffix)
-
-    def longest(h: Column) -> Column:
-        return first_of(
-            [(F.substring_index(h, ".", -n).isin(levels[n]), use(h, n)) for n in sorted(levels, reverse=True)], F.lit("")
-        )
+def _last_labels(host: Column, n: Column) -> Column:
+    """The last n labels of a host; an empty string for none."""
+    labels = F.split(host, r"\.")
+    return F.when(n > 0, F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".")).otherwise("")
 
-    return bind(host, longest)
 
+def suffix_of(host: Column, rules: SuffixRules | None = None) -> Column:
+    """Longest public suffix of a host, or an empty string."""
+    return bind(host, lambda h: bind(suffix_labels(h, rules or default_rules()), lambda n: _last_labels(h, n)))
 
-def suffix_of(host: Column, suffixes=None) -> Column:
-    """Longest known public suffix of a host, or an empty string."""
-    return _by_suffix(host, suffixes, lambda h, n: F.substring_index(h, ".", -n))
 
-
-def registrable_domain(raw: Column | str, suffixes=None) -> Column:
+def registrable_domain(raw: Column | str, rules: SuffixRules | None = None) -> Column:
     """The domain a lead is keyed by; an empty string when there is none.
 
     A text that does not start with "http" gets a scheme in front.
     """
     text = strip(as_col(raw))
 
-    def with_label(h: Column, n: int) -> Column:
-        domain = F.substring_index(h, ".", -n - 1)
-        return F.when((domain != F.substring_index(h, ".", -n)) & ~domain.startswith("."), domain).otherwise("")
+    def with_label(h: Column) -> Column:
+        def cut(n: Column) -> Column:
+            domain = _last_labels(h, n + 1)
+            return F.when((n > 0) & (F.size(F.split(h, r"\.")) > n) & ~domain.startswith("."), domain).otherwise("")
+
+        return bind(suffix_labels(h, rules or default_rules()), cut)
 
-    host = host_of(F.when(text.startswith("http"), text).otherwise(F.concat(F.lit("https://"), text)))
-    return _by_suffix(host, suffixes, with_label)
+    return bind(host_of(F.when(text.startswith("http"), text).otherwise(F.concat(F.lit("https://"), text))), with_label)
 
 
-def geo_tag(domain: Column | str, suffixes=None, countries: dict | None = None) -> Column:
+def geo_tag(domain: Column | str, rules: SuffixRules | None = None, countries: dict | None = None) -> Column:
     countries = countries or fixed.COUNTRY_BY_SUFFIX_LABEL
     table = F.create_map(*[F.lit(x) for pair in countries.items() for x in pair])
-    tags = F.transform(F.split(suffix_of(host_of(domain), suffixes), r"\."), lambda label: table[label])
+    tags = F.transform(F.split(suffix_of(host_of(domain), rules), r"\."), lambda label: table[label])
     return F.coalesce(F.get(F.filter(tags, lambda t: t.isNotNull()), F.lit(0)), F.lit("unknown"))
 
 

@@ -9,7 +9,7 @@ from leadloom import fixed_values as fixed
 from leadloom.functions import prompts as P
 from leadloom.functions import responses as R
 from leadloom.functions.text import first_of
-from leadloom.operators.ordering import keep_first, running_before
+from leadloom.operators.ordering import keep_first, spent_before
 from leadloom.schemas import ANALYSIS_FIELDS
 
 QUOTED_FIELDS = ["recent_events", "pains", "hooks"]
@@ -29,8 +29,8 @@ def prompt_chunks(pages: DataFrame, max_chars: int = fixed.MAX_PROMPT_CHARS) ->
     24 characters, so a domain keeps at most max_chars / 24 chunks.
     """
     chunk = F.concat(P.page_header(F.col("url"), F.col("page_type")), F.coalesce("text", F.lit("")))
-    sized = pages.withColumn("chunk", chunk)
-    spent = running_before(sized, ["domain"], "pos", F.length("chunk"), "spent")
+    sized = pages.select("domain", "pos", "url", chunk.alias("chunk"))
+    spent = spent_before(sized, "pos", "chunk", "spent")
     return (
         spent.where(F.col("spent") < max_chars)
         .withColumn("chunk", F.expr(f"substring(chunk, 1, cast({max_chars} - spent as int))"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadloom.session import settle
+
 BUCKET_WIDTH = 4096
 INDEX_WIDTH = 1 << 20
 
@@ -55,6 +57,18 @@ def running_before(df: DataFrame, keys: list[str], pos: str, value: Column, name
     )
 
 
+def spent_before(rows: DataFrame, pos: str, text: str, name: str) -> DataFrame:
+    """Characters of `text` in the rows of the same domain with a lower position.
+
+    The rows are written once.  Sums are formed on an index of domain, position
+    and length, and joined back by position, so texts cross one shuffle at most.
+    """
+    written = settle(rows.withColumn("__length", F.length(F.coalesce(F.col(text), F.lit("")))), "sized")
+    index = running_before(written.select(F.col("domain").alias("__id"), F.col(pos).alias("__ip"), "__length"), ["__id"], "__ip", F.col("__length"), name)
+    same = F.col("domain").eqNullSafe(F.col("__id")) & (F.col(pos) == F.col("__ip"))
+    return written.drop("__length").join(index.drop("__length"), same, "left").drop("__id", "__ip")
+
+
 def global_sum(df: DataFrame, pos: str, value: Column, name: str, width: int = INDEX_WIDTH) -> DataFrame:
     """Sum of `value` over all rows with a lower `pos`, a distinct whole number.
 

@@ -10,7 +10,8 @@ from leadloom.functions import html as H
 from leadloom.functions import urls
 from leadloom.functions.own_text import short_own_texts
 from leadloom.functions.text import as_col, bind, first_of, matches, strip, words
-from leadloom.operators.ordering import first_k, keep_first, running_before
+from leadloom.operators.ordering import first_k, keep_first, spent_before
+from leadloom.session import settle
 
 # --------------------------------------------------------------------------
 # People on a page
@@ -34,8 +35,8 @@ def card_candidates(texts: Column) -> Column:
     return F.filter(F.transform(texts, tagged), lambda c: c["kind"].isNotNull())
 
 
-def pair_cards(candidates: Column, max_people: int = fixed.MAX_PEOPLE_PER_PAGE) -> Column:
-    """Name and title pairs of a page.
+def followed_by_titles(candidates: Column) -> Column:
+    """Each name with the title that comes next.
 
     The look-ahead for a title stops at the next name, and candidates are
     names or titles only, so a name is paired exactly when a title follows.
@@ -48,7 +49,12 @@ def pair_cards(candidates: Column, max_people: int = fixed.MAX_PEOPLE_PER_PAGE)
         pairs = F.filter(following, lambda c: (c["kind"] == "name") & (c["next"]["kind"] == "title"))
         return F.transform(pairs, lambda c: F.struct(c["name"].alias("name"), c["next"]["text"].alias("title")))
 
-    return F.slice(distinct_people(bind(candidates, paired)), 1, max_people)
+    return bind(candidates, paired)
+
+
+def pair_cards(candidates: Column, max_people: int = fixed.MAX_PEOPLE_PER_PAGE) -> Column:
+    """Name and title pairs of a page, the first of each name."""
+    return F.slice(distinct_people(followed_by_titles(candidates)), 1, max_people)
 
 
 def distinct_people(people: Column) -> Column:
@@ -110,26 +116,12 @@ def robots_verdicts(pages: DataFrame, rules: DataFrame, agent: str) -> DataFrame
     """Add `allowed`.  Of one site's rules for the agent (or, without any, for
     `*`), the first whose path starts the URL's path decides; none allows.
 
-    Every prefix of a path is an equi-join key, so no page meets rules that
-    do not apply to it, whatever the size of a site's rule list.
+    The lengths that a site's rules have come first; a URL gives one key per
+    such length, so it has no more rows than its site's rules have lengths.
     """
-    named = rules.where(F.lower("agent") == agent.lower()).withColumn("__own", F.lit(True))
-    own_sites = named.select(F.col("domain").alias("__od")).distinct()
-    general = rules.where(F.col("agent") == "*").join(own_sites, F.col("domain") == F.col("__od"), "left_anti")
-    chosen = named.drop("__own").unionByName(general).select(
-        F.col("domain").alias("__rd"),
-        F.col("path").alias("__prefix"),
-        F.struct(F.col("pos").alias("pos"), (F.col("allow") | (F.col("path") == "")).alias("allow")).alias("__rule"),
-    )
-    target = F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?(?://[^/?#]*)?([^#]*)", 1)
-    target = F.when(target == "", "/").otherwise(target)
-    keyed = pages.select("domain", "url").distinct().withColumn("__t", target)
-    prefixes = keyed.select(
-        F.col("domain").alias("__d"), F.col("url").alias("__u"),
-        F.explode(F.transform(F.sequence(F.lit(0), F.length("__t")), lambda n: F.substring(F.col("__t"), 1, n))).alias("__p"),
-    )
     first_rule = (
-        prefixes.join(chosen, (F.col("__d") == F.col("__rd")) & (F.col("__p") == F.col("__prefix")))
+        rule_keys(pages, rules, agent).join(
+            chosen_rules(rules, agent), (F.col("__d") == F.col("__rd")) & (F.col("__p") == F.col("__prefix")))
         .groupBy("__d", "__u")
         .agg(F.min("__rule").alias("__first"))
     )
@@ -140,6 +132,29 @@ def robots_verdicts(pages: DataFrame, rules: DataFrame, agent: str) -> DataFrame
     )
 
 
+def chosen_rules(rules: DataFrame, agent: str) -> DataFrame:
+    """The rules that hold for the agent, by site and path."""
+    named = rules.where(F.lower("agent") == agent.lower())
+    own_sites = named.select(F.col("domain").alias("__od")).distinct()
+    general = rules.where(F.col("agent") == "*").join(own_sites, F.col("domain") == F.col("__od"), "left_anti")
+    return named.unionByName(general).select(
+        F.col("domain").alias("__rd"),
+        F.col("path").alias("__prefix"),
+        F.struct(F.col("pos").alias("pos"), (F.col("allow") | (F.col("path") == "")).alias("allow")).alias("__rule"),
+    )
+
+
+def rule_keys(pages: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
+    """Each URL's starts of the lengths that its site's rules have: (__d, __u, __p)."""
+    lengths = chosen_rules(rules, agent).groupBy(F.col("__rd").alias("__ld")).agg(F.collect_set(F.length("__prefix")).alias("__lengths"))
+    target = F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?(?://[^/?#]*)?([^#]*)", 1)
+    target = F.when(target == "", "/").otherwise(target)
+    keyed = pages.select("domain", "url").distinct().withColumn("__t", target).join(lengths, F.col("domain") == F.col("__ld"))
+    fitting = F.filter("__lengths", lambda n: n <= F.length("__t"))
+    return keyed.select(
+        F.col("domain").alias("__d"), F.col("url").alias("__u"), F.explode(F.transform(fitting, lambda n: F.left(F.col("__t"), n))).alias("__p"))
+
+
 def nav_picks(home_pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """Pages picked from each home page's links:
     (domain, page_type, type_pos, slot, url)."""
@@ -211,6 +226,50 @@ def visit_list(home: DataFrame, picks: DataFrame, max_pages: int = fixed.MAX_PAG
     return ordered.select("domain", "visit_pos", "page_type", "url")
 
 
+def home_pages(domains: DataFrame, stored: DataFrame) -> DataFrame:
+    """One home page per domain: (domain, page_type, url, html) and what else is stored.
+
+    Rows marked as home come first, then the root URL, its www form and its
+    plain form, each only if fetched; a domain without any has its root URL and
+    no HTML, with the error of the first try.
+    """
+    bare = F.regexp_replace("url", "[/?#]+$", "")
+    domain = F.col("domain")
+    forms = [urls.root_url(domain), urls.root_url(F.concat(F.lit("www."), domain)), urls.root_url(domain, "http")]
+    marked = F.col("page_type") == "home" if "page_type" in stored.columns else F.lit(False)
+    form = first_of([(F.coalesce(marked, F.lit(False)), F.lit(0)), *[(bare == f, F.lit(i)) for i, f in enumerate(forms, 1)]], F.lit(None).cast("int"))
+    tries = stored.withColumn("__form", form).where(F.col("__form").isNotNull())
+    best = keep_first(tries, ["domain"], [F.col("html").isNull(), F.col("__form"), F.col("url")]).drop("__form")
+    found = domains.join(best, "domain", "left")
+    return found.withColumn("url", F.coalesce("url", urls.root_url(domain))).withColumn("page_type", F.lit("home"))
+
+
+def visited_pages(domains: DataFrame, stored: DataFrame, robots: DataFrame, agent: str, sitemap: DataFrame | None = None,
+                  max_pages: int = fixed.MAX_PAGES_PER_DOMAIN) -> DataFrame:
+    """The pages a crawl of the domains visits, in order of discovery.
+
+    The home page's links, topped up from the sitemap, choose the pages; the
+    stored page with that URL is what a fetch gives, and a URL that is not
+    stored is a page that was not fetched.  A home page that robots rules
+    refuse, that is missing, or that is a wall is the only row of its domain.
+    """
+    homes = settle(robots_verdicts(home_pages(domains, stored), robots, agent), "homes")
+    open_ = homes.where(F.col("allowed") & F.col("html").isNotNull() & ~H.looks_blocked("html"))
+    picks = nav_picks(open_)
+    if sitemap is not None:
+        listed = sitemap_picks(sitemap.join(open_.select("domain"), "domain", "left_semi"))
+        picks = merge_picks(picks, listed)
+    else:
+        picks = merge_picks(picks, picks.limit(0))
+    visits = visit_list(homes, picks, max_pages)
+    held = [c for c in stored.columns if c not in ("domain", "url", "page_type", "visit_pos")]
+    copies = keep_first(stored, ["domain", "url"], [F.col("html").isNull(), *[F.col(c) for c in ("pos",) if c in stored.columns]])
+    others = visits.where(F.col("page_type") != "home").join(copies.select("domain", "url", *held), ["domain", "url"], "left")
+    others = robots_verdicts(others, robots, agent)
+    first = homes.withColumn("visit_pos", F.lit(1))
+    return first.unionByName(others, allowMissingColumns=True).withColumn("fetched", F.col("html").isNotNull())
+
+
 def cap_pages(pages: DataFrame, max_pages: int = fixed.MAX_PAGES_PER_DOMAIN) -> DataFrame:
     """First pages per domain, the home page before the rest."""
     home_first = F.when(F.col("page_type") == "home", 0).otherwise(1)
@@ -224,9 +283,12 @@ def apply_text_budget(pages: DataFrame, budget: int = fixed.MAX_CHARS_PER_DOMAIN
                       text: str = "text") -> DataFrame:
     """Cut each domain's text at `budget` characters in page order: the page
     that crosses it is shortened.  Adds `chars` and `budget_left`; pages
-    reached with nothing left have budget_left <= 0."""
-    length = F.length(F.coalesce(F.col(text), F.lit("")))
-    spent = running_before(pages, ["domain"], pos, length, "__spent")
+    reached with nothing left have budget_left <= 0.
+
+    The pages are written once; what was spent before a page comes from an
+    index of lengths, so no text is extracted or shuffled for it.
+    """
+    spent = spent_before(pages, pos, text, "__spent")
     return (
         spent.withColumn("budget_left", F.lit(budget) - F.col("__spent"))
         .withColumn(text, F.expr(f"substring({text}, 1, cast(greatest(budget_left, 0) as int))"))
@@ -239,26 +301,23 @@ def read_pages(visited: DataFrame, markdown: bool = False) -> DataFrame:
     """Extract everything one page holds.  Expects domain, url, page_type,
     visit_pos, html, content_type, allowed; HTML that is a wall or a page
     robots rules forbid gives nothing; documents arrive as text."""
-    is_document = urls.is_pdf("url")
-    blocked = ~is_document & H.looks_blocked("html")
-    readable = F.col("allowed") & ~blocked & F.col("html").isNotNull()
-    as_html = readable & ~is_document
     people_page = F.col("page_type").isin("team", "about")
     no_people = F.array().cast("array<struct<name:string,title:string>>")
-    flagged = visited.withColumn("__doc", is_document).withColumn("blocked", F.col("allowed") & F.coalesce(blocked, F.lit(False)))
-    texts = short_own_texts(F.when(as_html & people_page, F.col("html")))
+    # Each step is a projection that the next reads several times, so markup is cut and decoded once.
+    pages = visited.withColumn("__doc", urls.is_pdf("url")).withColumn("__live", H.live_markup("html")).withColumn("__visible", H.visible_of(F.col("__live")))
+    pages = pages.withColumn("__wall", ~F.col("__doc") & H.is_wall(F.col("__visible")))
+    pages = pages.withColumn("blocked", F.col("allowed") & F.coalesce("__wall", F.lit(False)))
+    readable = F.col("allowed") & ~F.col("__wall") & F.col("html").isNotNull()
+    pages = pages.withColumn("__document", readable & F.col("__doc")).withColumn("__page", readable & ~F.col("__doc"))
+    pages = pages.withColumn("__own", short_own_texts(F.when(F.col("__page") & people_page, F.col("html"))))
     return (
-        flagged.withColumn("__own", texts)
-        .withColumn(
-            "text",
-            first_of([(readable & F.col("__doc"), F.col("html")), (as_html, H.clean_text("html", markdown))], F.lit("")),
-        )
+        pages.withColumn("text", first_of([(F.col("__document"), F.col("html")), (F.col("__page"), H.text_of(F.col("__live"), markdown))], F.lit("")))
         .withColumn(
             "emails",
             first_of(
                 [
-                    (as_html, H.real_addresses(H.raw_addresses("html"))),
-                    (readable & F.col("__doc"), H.real_addresses(F.array_distinct(H.addresses_in_text("html")))),
+                    (F.col("__page"), H.real_addresses(H.addresses_of(F.col("__live"), F.col("__visible")))),
+                    (F.col("__document"), H.real_addresses(F.array_distinct(H.addresses_in_text("html")))),
                 ],
                 F.array().cast("array<string>"),
             ),
@@ -266,12 +325,12 @@ def read_pages(visited: DataFrame, markdown: bool = False) -> DataFrame:
         .withColumn(
             "people",
             F.concat(
-                F.when(as_html & people_page, pair_cards(card_candidates(F.col("__own")))).otherwise(no_people),
-                F.when(as_html, jsonld_people("html")).otherwise(no_people),
+                F.when(F.col("__page") & people_page, pair_cards(card_candidates(F.col("__own")))).otherwise(no_people),
+                F.when(F.col("__page"), jsonld_people("html")).otherwise(no_people),
             ),
         )
         .withColumn("source_type", F.when(F.col("__doc"), "pdf"))
-        .drop("__own", "__doc", "html")
+        .drop("__own", "__doc", "__live", "__visible", "__wall", "__document", "__page", "html")
     )
 
 
@@ -283,10 +342,13 @@ def crawl_results(read: DataFrame, as_of: Column, max_people: int = fixed.MAX_PE
                   budget: int = fixed.MAX_CHARS_PER_DOMAIN) -> DataFrame:
     """One row per domain in the shape of a crawl result.
 
-    Groups hold at most the page cap's rows, so the lists stay small.
+    Groups hold at most the page cap's rows, so the lists stay small.  Pages
+    may carry `fetch_sec` and `fetch_error`.  Addresses of a document are those
+    of the text within the budget.
     """
-    spent = apply_text_budget(read, budget)
-    reached = spent.where(F.col("budget_left") > 0)
+    reached = with_document_addresses(apply_text_budget(read, budget).where(F.col("budget_left") > 0))
+    seconds = F.sum("fetch_sec") if "fetch_sec" in read.columns else F.lit(0.0)
+    cause = F.max(F.when(F.col("page_type") == "home", F.col("fetch_error"))) if "fetch_error" in read.columns else F.lit(None).cast("string")
     page = F.struct(
         "visit_pos", "url", "page_type", "text", "chars",
         low_content(F.col("page_type"), F.col("chars"), F.col("source_type").isNotNull()).alias("low_content"),
@@ -308,10 +370,18 @@ def crawl_results(read: DataFrame, as_of: Column, max_people: int = fixed.MAX_PE
         F.bool_or(homes & ~F.col("allowed")).alias("__refused"),
         F.bool_or(homes & F.col("blocked")).alias("__walled"),
         F.bool_or(homes & F.col("fetched")).alias("__home"),
+        F.round(F.coalesce(seconds.cast("double"), F.lit(0.0)), 2).alias("duration_sec"),
+        cause.alias("__cause"),
     )
     return rows.select("domain", as_of.alias("crawled_at"), *_result_columns(max_people))
 
 
+def with_document_addresses(reached: DataFrame) -> DataFrame:
+    """A document's addresses are taken from what the budget leaves of its text."""
+    found = H.real_addresses(F.array_distinct(H.addresses_in_text("text")))
+    return reached.withColumn("emails", F.when(F.col("source_type").isNotNull(), found).otherwise(F.col("emails")))
+
+
 def _result_columns(max_people: int) -> list[Column]:
     """A refused, walled or missing home page leaves the result empty."""
     usable = ~F.col("__refused") & ~F.col("__walled") & F.col("__home")
@@ -333,9 +403,24 @@ def _result_columns(max_people: int) -> list[Column]:
         F.when(usable, F.col("total_chars")).otherwise(0).alias("total_chars"),
         F.when(usable, F.col("blocked_pages")).otherwise(F.slice("blocked_pages", 1, 0)).alias("blocked_pages"),
         F.when(usable, F.col("robots_skipped")).otherwise(F.slice("robots_skipped", 1, 0)).alias("robots_skipped"),
+        F.col("duration_sec"),
+        crawl_error(status, F.col("__home"), F.col("__cause")).alias("error"),
     ]
 
 
+def crawl_error(status: Column, home_fetched: Column, cause: Column) -> Column:
+    """What went wrong, in words; NULL for a good result."""
+    return first_of(
+        [
+            (status == "robots_disallowed", F.lit("robots rules refuse the home page")),
+            (status == "blocked", F.lit("home page is behind a bot wall")),
+            ((status == "crawl_failed") & ~home_fetched, F.concat(F.lit("home page not fetched: "), F.coalesce(cause, F.lit("unknown")))),
+            (status == "crawl_failed", F.lit("no text, address or person on any page")),
+        ],
+        F.lit(None).cast("string"),
+    )
+
+
 def crawl_status(refused: Column, walled: Column, home_fetched: Column, has_content: Column) -> Column:
     return first_of(
         [

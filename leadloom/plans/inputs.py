@@ -34,6 +34,11 @@ def _minutes(start: str, count: str) -> str:
 
 _FIRST = "jane,john,mary,peter,laura,oscar,nina,adam,ruth,carl,elsa,hugo"
 _LAST = "diaz,smith,brown,fried,levi,meyer,novak,olsen,perez,quinn,reyes,stone,turner,urban,vogel,weber,young"
+#: Hosts under wildcard and exception rules, under long and new suffixes, in other scripts, and under no suffix at all.
+_ODD_HOSTS = (
+    "www.acme.com.ua,shop.acme.co.ck,www.ck,a.www.ck,acme.gg,acme.bank,bit.ly,x.acme.foo.kawasaki.jp,a.city.kawasaki.jp,foo.kawasaki.jp,"
+    "acme.pvt.k12.ma.us,www.acme.com.pl,acme.xn--p1ai,www.acme.рф,acme.unlisted,com.ua"
+)
 _TITLES = (
     "Founder,CEO,Head of Sales,Engineer,VP of Marketing,Director,Analyst,Co-Founder,Sales Manager,Chief Data Officer,"
     "Vice President,Advocate,Marketing Manager"
@@ -62,12 +67,13 @@ VIEWS = {
                {_email('c_custkey')} AS email,
                c_name AS name, c_nationkey AS nation, c_acctbal AS balance, c_mktsegment AS segment
         FROM <<customer>>""",
-    "v_leads_raw": """
+    "v_leads_raw": f"""
         SELECT k AS pos, name AS company, segment,
                CASE WHEN k % 41 = 7 THEN '   '
                     WHEN k % 43 = 5 THEN 'localhost'
                     WHEN k % 47 = 3 THEN concat('HTTP://WWW.', upper(domain))
                     WHEN k % 53 = 2 THEN concat('http://user:pw@192.168.', k % 200, '.1/x')
+                    WHEN k % 59 = 4 THEN concat('https://', {_pick(_ODD_HOSTS, _floor('k', 59))}, '/x')
                     WHEN k % 5 = 0 THEN concat(domain, '/a?ref=1&id=', k)
                     WHEN k % 5 = 1 THEN concat(' https://www.', domain, '/?utm_source=x&id=', k, '&q=a+b%20c')
                     WHEN k % 5 = 2 THEN concat('http://Shop.', upper(domain), ':8080/p?UTM_Campaign=z&fbclid=1#frag')
@@ -377,6 +383,7 @@ VIEWS = {
                             '<a href="//', host, '/news/1">News</a><a href="https://', host, '/random">we wrote about our team and services here</a>',
                             '<a href="https://', host, '/x/y?a=1">Jobs</a><a href="/blog/two">two</a><a href="/insights/">three</a>',
                             '<table><tr><td>cell one</td><td>cell two</td></tr></table>',
+                            '<p>caf&eacute; &euro;5 &#38;lt;b &amp;lt; &NotEqualTilde; &notit; &copy2024 &#x80; &#0; &#1114112; &bogus; AT&T &;</p>',
                             CASE WHEN page_id % 3 = 0 THEN concat('<script type="application/ld+json">{{"@type":"Organization","employees":[{{"@type":"Person","name":"', person, ' Ld","jobTitle":"CTO"}},{{"@type":"Thing","name":"No"}}],"founder":{{"@type":"Person","name":" Ann Solo "}}}}</script>')
                                  WHEN page_id % 3 = 1 THEN '<script type="application/ld+json">{{"@graph":[{{"member":{{"@type":"Person","name":"Gil Graph"}}}}]}}</script>'
                                  ELSE '<script type="application/ld+json">{{broken</script>' END) AS extra
@@ -384,6 +391,20 @@ VIEWS = {
                            concat(upper(substr({_pick(_FIRST, 'page_id')}, 1, 1)), substr({_pick(_FIRST, 'page_id')}, 2, 20), ' ',
                                   upper(substr({_pick(_LAST, 'page_id')}, 1, 1)), substr({_pick(_LAST, 'page_id')}, 2, 20)) AS person
                     FROM <<v_site>>) s) t""",
+    "v_store": """
+        SELECT p.domain, p.pos, CASE WHEN p.page_type = 'home' THEN 'home' END AS page_type,
+               CASE WHEN p.page_type = 'home' THEN p.url
+                    ELSE concat(split_part(p.url, ':', 1), '://', p.domain,
+                                CASE p.pos % 9 WHEN 0 THEN '/about-us' WHEN 1 THEN '/contact' WHEN 2 THEN '/news/1' WHEN 3 THEN '/x/y' WHEN 4 THEN '/about/1'
+                                     WHEN 5 THEN '/our-team/news0' WHEN 6 THEN '/blog/2' WHEN 7 THEN '/about_us' ELSE concat('/files/d', p.pos, '.pdf') END) END AS url,
+               CASE WHEN p.pos % 23 <> 4 THEN p.html END AS html,
+               CASE WHEN p.pos % 23 = 4 THEN 'timeout' END AS fetch_error,
+               CAST(p.pos % 40 AS DOUBLE) / 4 AS fetch_sec
+        FROM <<v_site_pages>> p
+        WHERE p.page_type <> 'home' OR length(p.domain) % 7 <> 3""",
+    "v_wanted": """
+        SELECT host AS domain FROM <<v_site>>
+        UNION ALL SELECT concat('gone', page_id % 50, '.com') AS domain FROM <<v_site>>""",
     "v_robots": """
         SELECT host AS domain, '*' AS agent, 1 AS pos, true AS allow, '/en/1' AS path FROM <<v_site>> WHERE page_type = 'home'
         UNION ALL

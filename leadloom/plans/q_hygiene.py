@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leadloom import fixed_values as fixed
 from leadloom.functions import urls
+from leadloom.functions.suffixes import default_rules
 from leadloom.operators import hygiene, sending
 from leadloom.plans.catalog import Inputs, query
 
@@ -38,9 +39,6 @@ def _in(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
-SUFFIX_LIST = _in(urls.public_suffixes())
-
-
 def host_sql(url: str) -> str:
     return (
         f"lower(rtrim(trim(split_part(regexp_extract(regexp_extract(regexp_replace({url}, "
@@ -48,13 +46,27 @@ def host_sql(url: str) -> str:
     )
 
 
+RULES = default_rules()
+
+
+def _rules_in(kind: str, n: int) -> str:
+    """The names of n labels with rules of a kind, as SQL; none is no name."""
+    return _in(name for name in RULES.named(kind) if name.count(".") + 1 == n) or "'-'"
+
+
 def suffix_sql(host: str) -> str:
+    """One case per number of labels, the longest first; exceptions before all."""
     labels = f"string_split({host}, '.')"
-    return (
-        rf"CASE WHEN regexp_matches({host}, '^\d+(\.\d+){{3}}$') THEN '' "
-        f"WHEN len({labels}) >= 2 AND array_to_string({labels}[-2:], '.') IN ({SUFFIX_LIST}) THEN array_to_string({labels}[-2:], '.') "
-        f"WHEN {labels}[-1] IN ({SUFFIX_LIST}) THEN {labels}[-1] ELSE '' END"
-    )
+    cases = [rf"CASE WHEN regexp_matches({host}, '^\d+(\.\d+){{3}}$') THEN ''"]
+
+    def tail(n: int) -> str:
+        return f"array_to_string({labels}[-{n}:], '.')" if n else "''"
+
+    for n in range(RULES.depth, 0, -1):
+        cases.append(f"WHEN len({labels}) >= {n} AND {tail(n)} IN ({_rules_in('x', n)}) THEN {tail(n - 1)}")
+    for n in range(RULES.depth + 1, 0, -1):
+        cases.append(f"WHEN len({labels}) >= {n} AND ({tail(n)} IN ({_rules_in('p', n)}) OR {tail(n - 1)} IN ({_rules_in('w', n - 1)})) THEN {tail(n)}")
+    return " ".join(cases) + " ELSE '' END"
 
 
 def domain_sql(source: str, raw: str) -> str:

@@ -9,6 +9,7 @@ from leadloom.functions import html as H
 from leadloom.functions import urls
 from leadloom.functions.own_text import short_own_texts
 from leadloom.operators import pages as P
+from leadloom.plans import stages
 from leadloom.plans.catalog import Inputs, query
 from leadloom.plans.inputs import AS_OF
 from leadloom.plans.q_functions import type_case
@@ -20,11 +21,26 @@ TYPE_ORDER = "[" + ", ".join(f"'{n}'" for n, _ in fixed.PAGE_TYPE_PATTERNS) + "]
 
 
 # --------------------------------------------------------------------- SQL
+def _map_sql(entries: dict) -> str:
+    quoted = ", ".join("'{}': '{}'".format(k, v.replace("'", "''")) for k, v in entries.items())
+    return f"MAP {{{quoted}}}"
+
+
+_OLD_NAMES = "|".join(sorted(H.OLD_NAMES, key=len, reverse=True))
+
+
 def decode_sql(text: str) -> str:
-    text = f"replace({text}, '&#64;', '@')"
-    for entity, plain in H.NAMED_ENTITIES:
-        text = f"replace({text}, '{entity}', '{plain.replace(chr(39), chr(39) * 2)}')"
-    return text
+    """The text as a list of references and what lies between, each reference looked up once."""
+    number = "try_cast(regexp_extract(p, '^&#([0-9]+)', 1) AS BIGINT)"
+    hexed = "try_cast(concat('0x', regexp_extract(p, '^&#[xX]([0-9a-fA-F]+)', 1)) AS BIGINT)"
+    code = f"coalesce(CASE WHEN lower(p[3]) = 'x' THEN {hexed} ELSE {number} END, 0)"
+    sign = f"""CASE WHEN {code} = 0 OR {code} > 1114111 OR {code} BETWEEN 55296 AND 57343 THEN chr(65533)
+                    ELSE coalesce({_map_sql({str(n): t for n, t in H.CODE_PAGE.items()})}[CAST({code} AS VARCHAR)], chr(CAST({code} AS INT))) END"""
+    old = f"regexp_extract(p, '^&({_OLD_NAMES})', 1)"
+    named = f"coalesce({_map_sql(H.NAMED_REFERENCES)}[p[2:]], CASE WHEN {old} <> '' THEN concat({_map_sql(H.OLD_NAMES)}[{old}], p[length({old}) + 2:]) END, p)"
+    pieces = f"regexp_extract_all({text}, '{H.REFERENCE}|[^&]+|&')"
+    one = f"CASE WHEN starts_with(p, '&#') THEN {sign} WHEN regexp_full_match(p, '{H.REFERENCE}') THEN {named} ELSE p END"
+    return f"array_to_string(list_transform({pieces}, lambda p : {one}), '')"
 
 
 def drop_sql(text: str, names) -> str:
@@ -167,6 +183,31 @@ CRAWL = f"""
                 FROM o_domains d LEFT JOIN (SELECT domain, count(DISTINCT name) AS people FROM o_page_people GROUP BY 1) n ON n.domain = d.domain)
 """
 
+# The stage: which pages are read follows from the home page's links and the sitemap.
+_READ_ON = CRAWL[CRAWL.index("    o_read AS"):]
+CRAWL_STAGE = f"""
+    {ADDRESSES}, {MERGED.replace(PAGES + ",", "")}, {CARDS}, {LD},
+    o_rules AS (SELECT r.* FROM <<v_robots>> r WHERE r.agent = 'LeadBot' OR (r.agent = '*' AND NOT EXISTS (SELECT 1 FROM <<v_robots>> x WHERE x.domain = r.domain AND x.agent = 'LeadBot'))),
+    o_wanted AS (SELECT DISTINCT domain FROM <<v_wanted>>),
+    o_first AS (SELECT w.domain, h.pos, coalesce(h.url, concat('https://', w.domain)) AS url, h.html IS NOT NULL AS fetched, coalesce({BLOCKED}, false) AS walled
+                FROM o_wanted w LEFT JOIN o_visible h ON h.domain = w.domain AND h.page_type = 'home'),
+    o_home AS (SELECT f.domain, f.pos, f.url, f.fetched, f.walled, coalesce((SELECT arg_min(r.allow OR r.path = '', r.pos) FROM o_rules r WHERE r.domain = f.domain AND starts_with({RULE_PATH.replace("p.url", "f.url")}, r.path)), true) AS allowed FROM o_first f),
+    o_open AS (SELECT domain FROM o_home WHERE allowed AND fetched AND NOT walled),
+    o_list AS (SELECT domain, page_type, url, visit_pos FROM (
+                   SELECT domain, page_type, url, 1 + row_number() OVER (PARTITION BY domain ORDER BY src, f, o, n) AS visit_pos FROM o_placed WHERE domain IN (SELECT domain FROM o_open)) x WHERE visit_pos <= 8),
+    o_copy AS (SELECT domain, url, arg_min(pos, row(html IS NULL, pos)) AS pos FROM <<v_store>> GROUP BY domain, url),
+    o_targets AS (SELECT l.*, c.pos FROM o_list l LEFT JOIN o_copy c ON c.domain = l.domain AND c.url = l.url),
+    o_targets_allowed AS (SELECT t.domain, t.page_type, t.url, t.visit_pos, t.pos, coalesce(arg_min(r.allow OR r.path = '', r.pos), true) AS allowed
+                          FROM o_targets t LEFT JOIN o_rules r ON r.domain = t.domain AND starts_with({RULE_PATH.replace("p.url", "t.url")}, r.path) GROUP BY ALL),
+    o_visit AS (SELECT a.domain, a.page_type, a.url, a.visit_pos, a.allowed, a.pos, lower(a.url) LIKE '%.pdf' AS doc, e.html IS NOT NULL AS fetched, e.html, e.live, e.visible, coalesce(e.emails, []) AS emails,
+                       s.fetch_sec, s.fetch_error
+                FROM (SELECT domain, 'home' AS page_type, url, 1 AS visit_pos, allowed, pos FROM o_home
+                      UNION ALL SELECT domain, page_type, url, visit_pos, allowed, pos FROM o_targets_allowed) a
+                LEFT JOIN o_emails e ON e.pos = a.pos LEFT JOIN <<v_store>> s ON s.pos = a.pos),
+    {_READ_ON.strip()},
+    o_times AS (SELECT domain, round(coalesce(sum(fetch_sec), 0), 2) AS duration_sec, max(fetch_error) FILTER (WHERE page_type = 'home') AS cause FROM o_cut GROUP BY domain)
+""".replace("<<v_site_pages>>", "<<v_store>>")
+
 SMALL_CRAWL = CRAWL.replace(f"{BUDGET} - coalesce", f"{SMALL_BUDGET} - coalesce")
 
 
@@ -224,10 +265,10 @@ def ex_07(t):
     return P.sitemap_picks(t("v_sitemap")).select("domain", "page_type", "url", "slot")
 
 
-@query("sl_06_sitemap_limit", "SELECT domain, count(*) AS locations FROM <<v_sitemap>> WHERE pos <= 40 GROUP BY domain")
+@query("sl_06_sitemap_limit", f"WITH {SITEMAP.replace('pos <= 300', 'pos <= 2')} SELECT domain, page_type, url, slot FROM o_site")
 def sl_06(t):
-    picked = t("v_sitemap").where(F.col("pos") <= 40)
-    return picked.groupBy("domain").agg(F.count(F.lit(1)).alias("locations"))
+    """A limit so low that it leaves out picks of most sites."""
+    return P.sitemap_picks(t("v_sitemap"), max_locations=2).select("domain", "page_type", "url", "slot")
 
 
 def merged(t: Inputs):
@@ -268,11 +309,13 @@ def ex_10(t):
         "pos", F.explode(people).alias("p")).select("pos", "p.name", "p.title")
 
 
-@query("wn_07_look_ahead", f"WITH {PAGES}, {CARDS} SELECT pos, kind, count(*) AS candidates FROM o_kinds WHERE kind IS NOT NULL GROUP BY 1, 2")
+@query("wn_07_look_ahead", f"""
+    WITH {PAGES}, {CARDS}, o_names AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY i) AS at FROM o_kinds WHERE kind IS NOT NULL)
+    SELECT n.pos, n.run AS name, t.run AS title FROM o_names n JOIN o_names t ON t.pos = n.pos AND t.at = n.at + 1 WHERE n.kind = 'name' AND t.kind = 'title'""")
 def wn_07(t):
-    found = html_pages(t).select("pos", short_own_texts("html").alias("texts")).select(
-        "pos", F.explode(P.card_candidates(F.col("texts"))).alias("c"))
-    return found.groupBy("pos", "c.kind").agg(F.count(F.lit(1)).alias("candidates"))
+    """Pairs before repeated names are dropped: a name goes with the next candidate, if that is a title."""
+    found = html_pages(t).select("pos", short_own_texts("html").alias("texts"))
+    return found.select("pos", F.explode(P.followed_by_titles(P.card_candidates(F.col("texts")))).alias("p")).select("pos", "p.name", "p.title")
 
 
 @query("sl_07_people_cap", f"""
@@ -307,10 +350,13 @@ def ex_14(t):
     return P.robots_verdicts(site(t), t("v_robots"), "LeadBot").select("pos", "allowed")
 
 
-@query("jn_19_rule_prefix", f"WITH {ROBOTS} SELECT allowed, count(*) AS pages FROM o_allowed GROUP BY allowed")
+@query("jn_19_rule_prefix", f"""
+    WITH {ROBOTS}, o_lengths AS (SELECT DISTINCT domain, length(path) AS n FROM o_rules),
+    o_urls AS (SELECT DISTINCT p.domain, p.url, {RULE_PATH} AS target FROM <<v_site_pages>> p)
+    SELECT u.domain, u.url, left(u.target, l.n) AS prefix FROM o_urls u JOIN o_lengths l ON l.domain = u.domain AND l.n <= length(u.target)""")
 def jn_19(t):
-    verdicts = P.robots_verdicts(site(t), t("v_robots"), "LeadBot")
-    return verdicts.groupBy("allowed").agg(F.count(F.lit(1)).alias("pages"))
+    """The keys that meet rules: per URL one for each length its site's rules have."""
+    return P.rule_keys(site(t), t("v_robots"), "LeadBot").select(F.col("__d").alias("domain"), F.col("__u").alias("url"), F.col("__p").alias("prefix"))
 
 
 @query("wn_04_page_cap", f"WITH {CRAWL} SELECT pos, domain, visit_pos FROM o_visit WHERE visit_pos <= 8")
@@ -381,11 +427,25 @@ def ag_02(t):
     WITH {CRAWL} SELECT domain, status, CASE WHEN usable THEN pages ELSE 0 END AS pages, CASE WHEN usable THEN total_chars ELSE 0 END AS total_chars,
                         CASE WHEN usable THEN len(emails) ELSE 0 END AS emails_found FROM o_crawl""")
 def ag_03(t):
-    results = crawl(t).withColumn("duration_sec", F.lit(0.0)).withColumn("error", F.lit(None).cast("string"))
-    rows = P.run_summary(results)
+    rows = P.run_summary(crawl(t))
     return rows.select("domain", "status", F.col("pages").cast("long"), F.col("total_chars").cast("long"), F.col("emails_found").cast("long"))
 
 
+@query("crawl_stage", f"""
+    WITH RECURSIVE {CRAWL_STAGE}
+    SELECT c.domain, c.status, CASE WHEN usable THEN pages ELSE 0 END AS pages, CASE WHEN usable THEN total_chars ELSE 0 END AS total_chars,
+           CASE WHEN usable THEN len(emails) ELSE 0 END AS emails_found, t.duration_sec,
+           CASE WHEN status = 'robots_disallowed' THEN 'robots rules refuse the home page' WHEN status = 'blocked' THEN 'home page is behind a bot wall'
+                WHEN status = 'crawl_failed' AND NOT home THEN concat('home page not fetched: ', coalesce(t.cause, 'unknown'))
+                WHEN status = 'crawl_failed' THEN 'no text, address or person on any page' ELSE '' END AS error
+    FROM o_crawl c JOIN o_times t ON t.domain = c.domain""")
+def crawl_stage(t):
+    """Wanted domains with and without stored pages; the summary runs on the stage's own output."""
+    done = stages.run_crawl(stages.Settings(F.lit(AS_OF).cast("timestamp"), agent="LeadBot"), t("v_wanted"), t("v_store"), t("v_robots"), sitemap=t("v_sitemap"))
+    return P.run_summary(done).select(
+        "domain", "status", F.col("pages").cast("long"), F.col("total_chars").cast("long"), F.col("emails_found").cast("long"), "duration_sec", "error")
+
+
 @query("ag_20_domain_addresses", f"WITH {CRAWL} SELECT domain, CASE WHEN usable THEN array_to_string({OWN_FIRST}, ',') ELSE '' END AS emails FROM o_crawl")
 def ag_20(t):
     return crawl(t).select("domain", F.array_join("emails", ",").alias("emails"))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from leadloom.operators import contacts as C
 from leadloom.operators import hygiene
-from leadloom.operators import inbound as I
 from leadloom.operators import state as ST
+from leadloom.plans import stages
 from leadloom.plans.catalog import Inputs, query
 from leadloom.plans.inputs import AS_OF
 from leadloom.plans.q_analysis import counted, drafted, offer, QUEUE, ANALYSES, analyses
@@ -16,12 +16,14 @@ from leadloom.plans.q_hygiene import TAGGED_SQL, URL, tagged
 from leadloom.plans.q_pages import CRAWL, crawl
 from leadloom.plans.q_quality import VERDICTS, judged_queue
 from leadloom.plans.q_reports import FEW, examples
-from leadloom.plans.q_sending import FOLD, MATCHED, messages, now, sql_time, text_time
+from leadloom.plans.q_sending import FOLD, MATCHED, POLL, RETURN, SQL_NOW, messages, now, sql_time, text_time
 from leadloom.session import new_work_path
 from leadloom.sources import readers as RD
 from leadloom.sources import writers as WR
 from leadloom.streaming import inbound_stream as IS
 from leadloom.streaming import send_stream as SS
+from leadloom.streaming.keyed_table import KeyedTable
+from leadloom import fixed_values as fixed
 from leadloom import schemas
 
 
@@ -173,7 +175,7 @@ def snk_01(t):
 @query("snk_02_run_summary", f"WITH {CRAWL} SELECT domain, status, CAST(CASE WHEN usable THEN pages ELSE 0 END AS VARCHAR) AS pages FROM o_crawl")
 def snk_02(t):
     out = path(t, "run-summary")
-    WR.write_run_summary(crawl(t).withColumn("duration_sec", F.lit(0.0)).withColumn("error", F.lit("")), out)
+    WR.write_run_summary(crawl(t), out)
     return RD.read_csv(t.spark, out).select("domain", "status", "pages")
 
 
@@ -234,28 +236,115 @@ def run(start, *args):
     handle.awaitTermination()
 
 
-def mail_stream(t: Inputs):
-    """Every message twice, some without a sender."""
-    rows = messages(t).withColumn(
-        "from_addr", F.when(F.col("subject") == "Automatic reply: hello", F.lit(None)).otherwise(F.col("from_addr"))
-    )
-    return as_stream(t, rows.unionByName(rows), "inbox")
+#: Mail comes in three runs.  Some of it cannot be fetched at first; half of that comes again, whole, in the last run.
+#: The last run has the oldest mail too, and all of the first run once more.
+RUNS = f"""
+    {MATCHED},
+    o_runs AS (SELECT *, subject = 'Automatic reply: hello' AS fails, CAST(uid AS BIGINT) % 2 = 0 AS comes_again, 1 + CAST(uid AS BIGINT) % 3 AS run FROM o_outcome),
+    o_done AS (SELECT *, CASE WHEN fails THEN 3 ELSE run END AS done_run,
+                      CASE classification WHEN 'bounce_hard' THEN 'bounced' WHEN 'unsubscribe' THEN 'unsubscribed' WHEN 'reply' THEN 'replied' ELSE 'rescheduled' END AS event,
+                      CASE classification WHEN 'bounce_soft' THEN {SQL_NOW} + INTERVAL 2 DAY WHEN 'ooo' THEN coalesce({RETURN}, {SQL_NOW} + INTERVAL 7 DAY) END AS resume_at
+               FROM o_runs WHERE NOT fails OR comes_again)
+"""
+
+
+def mail_runs(t: Inputs):
+    """The rows that come in each run."""
+    number = F.col("uid").cast("long")
+    fails = F.col("subject") == "Automatic reply: hello"
+    rows = messages(t)
+    broken = [F.when(fails, F.lit(None).cast("string")).otherwise(F.col(c)).alias(c) for c in ("from_addr", "subject", "body")]
+    kept = [c for c in rows.columns if c not in ("from_addr", "subject", "body")]
+    first = rows.select(*kept, *broken, F.when(fails, F.lit("timeout")).alias("fetch_error")).withColumn("run", 1 + number % 3)
+    again = rows.where(fails & (number % 2 == 0)).withColumn("fetch_error", F.lit(None).cast("string")).withColumn("run", F.lit(3).cast("long"))
+    repeated = first.where("run = 1").withColumn("run", F.lit(3).cast("long"))
+    return first.unionByName(again).unionByName(repeated)
+
+
+def polled(t: Inputs, days: int = 30):
+    """The tables after three runs over one growing folder of mail."""
+    out, rows = path(t, "poll"), mail_runs(t)
+    tables = IS.inbound_tables(t.spark, f"{out}/tables", rows.drop("run").schema, t("v_leads").schema, fold_every=2)
+    tables.load(t("v_leads"), t("v_suppression"))
+    for number in (1, 2, 3):
+        rows.where(F.col("run") == number).drop("run").write.mode("append").parquet(f"{out}/inbox")
+        run(IS.start_poll, t.spark.readStream.schema(rows.drop("run").schema).parquet(f"{out}/inbox"), tables, now(), f"{out}/checkpoint", days)
+    return tables
+
+
+@query("st_01_poll_stream", f"WITH {RUNS} SELECT uid, classification FROM o_done")
+def st_01_stream(t):
+    return polled(t).done.read().select("uid", "classification")
 
 
-def polled(t: Inputs):
-    out = path(t, "poll")
-    run(IS.start_poll, mail_stream(t), t("v_leads"), now(), f"{out}/tables", f"{out}/checkpoint")
-    return f"{out}/tables"
+@query("st_12_dead_letters", f"WITH {RUNS} SELECT uid, 'timeout' AS error FROM o_runs WHERE fails AND NOT comes_again")
+def st_12(t):
+    return polled(t).pending.read().select("uid", "error")
 
 
-@query("st_01_poll_stream", f"WITH {MATCHED} SELECT uid, classification FROM o_outcome WHERE subject <> 'Automatic reply: hello'")
-def st_01_stream(t):
-    return IS.stored(t.spark, polled(t), "done").select("uid", "classification")
+@query("jn_15_marks_of_runs", f"WITH {RUNS} SELECT uid, classification, {sql_time('received_at')} AS received_at FROM o_done")
+def jn_15_runs(t):
+    return polled(t).marks.read().select("uid", "classification", text_time("received_at").alias("received_at"))
 
 
-@query("st_12_dead_letters", "SELECT uid, 'no sender' AS error FROM <<v_inbound>> WHERE subject = 'Automatic reply: hello'")
-def st_12(t):
-    return IS.stored(t.spark, polled(t), "dead").select("uid", "error")
+@query("st_12_rows_of_runs", f"""
+    WITH {RUNS}
+    SELECT fate, CAST(sum(n) AS BIGINT) AS rows FROM (
+        SELECT 'failed' AS fate, CASE WHEN comes_again THEN 3 - run ELSE 4 - run END AS n FROM o_runs WHERE fails
+        UNION ALL SELECT 'repeat' AS fate, CASE WHEN run = 1 THEN 1 ELSE 0 END + CASE WHEN fails AND comes_again THEN 1 ELSE 0 END AS n FROM o_runs) x
+    GROUP BY fate HAVING sum(n) > 0""")
+def st_12_rows(t):
+    """Rows that came to nothing, over all runs; pending rows count in each run that tries them."""
+    return polled(t).skipped.read().groupBy("fate").agg(F.sum("rows").alias("rows"))
+
+
+@query("inbound_lead_state", f"""
+    WITH {RUNS}, o_last AS (
+        SELECT lead_email, arg_max(event, row(done_run, received_at, uid)) FILTER (WHERE event <> 'rescheduled') AS status,
+               arg_max(resume_at, row(done_run, received_at, uid)) FILTER (WHERE event = 'rescheduled') AS next_at
+        FROM o_done WHERE lead_email IS NOT NULL GROUP BY lead_email)
+    SELECT l.email, coalesce(o.status, l.status) AS status, l.sequence_step, {sql_time('coalesce(o.next_at, l.next_send_at)')} AS next_send_at
+    FROM <<v_leads>> l LEFT JOIN o_last o ON o.lead_email = l.email""")
+def inbound_lead_state(t):
+    return polled(t).leads.read().select("email", "status", "sequence_step", text_time("next_send_at").alias("next_send_at"))
+
+
+@query("inbound_suppression", f"""
+    WITH {RUNS}, o_stops AS (
+        SELECT lead_email AS value, 'email' AS scope, event AS reason, done_run, received_at, uid FROM o_done WHERE event IN ('bounced', 'unsubscribed')
+        UNION ALL SELECT split_part(lead_email, '@', -1) AS value, 'domain' AS scope, '{fixed.DOMAIN_STOP_REASON}' AS reason, done_run, received_at, uid
+        FROM o_done WHERE event = 'unsubscribed'),
+    o_new AS (SELECT value, scope, arg_max(reason, row(done_run, received_at, uid)) AS reason FROM o_stops WHERE value IS NOT NULL GROUP BY value, scope)
+    SELECT value, scope, reason FROM o_new
+    UNION ALL SELECT value, scope, reason FROM <<v_suppression>> s WHERE NOT EXISTS (SELECT 1 FROM o_new n WHERE n.value = s.value AND n.scope = s.scope)""")
+def inbound_suppression(t):
+    return polled(t).suppression.read().select("value", "scope", "reason")
+
+
+STAGE = f"""
+    {MATCHED},
+    o_fate AS (SELECT *, CASE WHEN received_at < CAST(CAST({SQL_NOW} AS DATE) - INTERVAL 10 DAY AS TIMESTAMP) THEN 'old'
+                              WHEN uid IN (SELECT uid FROM <<v_processed>>) THEN 'repeat' ELSE 'done' END AS fate FROM o_outcome)
+"""
+
+
+def polled_once(t: Inputs):
+    settings = stages.Settings(now())
+    none = messages(t).limit(0)
+    return stages.run_inbound(settings, messages(t), none, t("v_processed"), t("v_leads"), t("v_suppression"))
+
+
+@query("inbound_stage_fates", f"WITH {STAGE} SELECT uid, CASE WHEN fate = 'done' THEN classification ELSE fate END AS fate FROM o_fate")
+def inbound_stage_fates(t):
+    found = polled_once(t)
+    return found["done"].select("uid", F.col("classification").alias("fate")).unionByName(found["skipped"].select("uid", "fate"))
+
+
+@query("inbound_stage_summary", f"""
+    WITH {STAGE} SELECT {POLL}, count(*) FILTER (WHERE classification LIKE '%:unmatched') AS skipped_unknown_lead, CAST(0 AS BIGINT) AS errors
+    FROM o_fate WHERE fate = 'done'""")
+def inbound_stage_summary(t):
+    return polled_once(t)["summary"]
 
 
 @query("st_02_lead_state_stream", f"""
@@ -263,35 +352,58 @@ def st_12(t):
     SELECT e.email, coalesce(s.status, '-') AS status, coalesce(x.step, -1) AS step, {sql_time('n.next_at')} AS next_send_at
     FROM o_emails e LEFT JOIN o_status s ON s.email = e.email LEFT JOIN o_sent x ON x.email = e.email LEFT JOIN o_next n ON n.email = e.email""")
 def st_02(t):
-    out = path(t, "lead-state")
-    run(IS.start_event_state, as_stream(t, t("v_lead_events"), "lead-events"), f"{out}/table", f"{out}/checkpoint")
-    return IS.latest_state(t.spark, f"{out}/table").select(
+    out, events = path(t, "lead-state"), t("v_lead_events")
+    table = KeyedTable(t.spark, f"{out}/table", ST.event_state(events).schema, ["email"])
+    run(IS.start_event_state, as_stream(t, events, "lead-events"), table, f"{out}/checkpoint")
+    return table.read().select(
         "email", F.coalesce("new_status", F.lit("-")).alias("status"), F.coalesce("new_step", F.lit(-1)).alias("step"),
         text_time("new_next").alias("next_send_at"),
     )
 
 
+def in_batches(t: Inputs, rows, number, table, start, batches: int = 7):
+    """Run a job once per batch of rows, all into one table that is folded on the way."""
+    out = path(t, "batches")
+    schema = rows.schema
+    for n in range(batches):
+        rows.where(F.pmod(number, F.lit(batches)) == n).write.mode("append").parquet(f"{out}/rows")
+        run(start, t.spark.readStream.schema(schema).parquet(f"{out}/rows"), table, f"{out}/checkpoint")
+    return table
+
+
 @query("st_08_daily_counts_stream", "SELECT mailbox, CAST(CAST(sent_at AS DATE) AS VARCHAR) AS day, count(*) AS count FROM <<v_send_log>> WHERE status = 'sent' GROUP BY 1, 2")
 def st_08(t):
-    out = path(t, "daily-counts")
-    run(SS.start_daily_counts, as_stream(t, t("v_send_log"), "send-log"), f"{out}/table", f"{out}/checkpoint")
-    rows = t.spark.read.parquet(f"{out}/table").drop("batch")
-    return SS.latest_counts(rows).withColumn("day", F.col("day").cast("string"))
+    """Counters over seven runs, folded after every third."""
+    sends = t("v_send_log")
+    table = KeyedTable(t.spark, path(t, "daily-counts"), SS.daily_counts(sends).schema, ["mailbox", "day"], "add", fold_every=3)
+    return in_batches(t, sends, F.col("id"), table, SS.start_daily_counts).read().withColumn("day", F.col("day").cast("string"))
 
 
-@query("snk_09_upsert_stream", "SELECT value, scope, reason FROM <<v_suppression>>")
-def snk_09(t):
+def entries_twice(t: Inputs):
     """Every entry twice, the older one with another reason."""
     current = t("v_suppression")
     older = current.withColumn("reason", F.lit("older")).withColumn("suppressed_at", F.col("suppressed_at") - F.expr("INTERVAL 1 DAY"))
-    out = path(t, "upserts")
-    run(IS.start_upserts, as_stream(t, older.unionByName(current), "entries"), ["value", "scope"], "suppressed_at", f"{out}/table", f"{out}/checkpoint")
-    return IS.latest_rows(t.spark, f"{out}/table", ["value", "scope"]).select("value", "scope", "reason")
+    return older.unionByName(current)
+
+
+@query("snk_09_upsert_stream", "SELECT value, scope, reason FROM <<v_suppression>>")
+def snk_09(t):
+    rows = entries_twice(t)
+    table = KeyedTable(t.spark, path(t, "upserts"), rows.schema, ["value", "scope"], "replace", "suppressed_at", fold_every=2)
+    return in_batches(t, rows, F.dayofyear("suppressed_at"), table, IS.start_upserts, 1).read().select("value", "scope", "reason")
+
+
+@query("snk_09_insert_stream", "SELECT value, scope, CASE WHEN scope = 'email' THEN 'older' ELSE reason END AS reason FROM <<v_suppression>>")
+def snk_09_insert(t):
+    """The first row of a key stays: for addresses the older one, for domains the one that is there before the stream starts."""
+    rows = entries_twice(t)
+    table = KeyedTable(t.spark, path(t, "inserts"), rows.schema, ["value", "scope"], "insert", "suppressed_at", fold_every=2)
+    table.load(t("v_suppression").where("scope = 'domain'"))
+    return in_batches(t, rows, F.length("value"), table, IS.start_upserts, 3).read().select("value", "scope", "reason")
 
 
 @query("st_05_reply_stream", f"""
-    WITH {MATCHED} SELECT o.uid, o.lead_email AS email, l.sequence_step AS step FROM o_outcome o JOIN <<v_leads>> l ON l.email = o.lead_email
-    WHERE o.classification = 'reply' AND o.subject <> 'Automatic reply: hello'""")
+    WITH {RUNS} SELECT o.uid, o.lead_email AS email, l.sequence_step AS step FROM o_done o JOIN <<v_leads>> l ON l.email = o.lead_email
+    WHERE o.classification = 'reply'""")
 def st_05_stream(t):
-    done = IS.stored(t.spark, polled(t), "done")
-    return I.captured_replies(done).select("uid", "email", "step")
+    return polled(t).replies.read().select("uid", "email", "step")

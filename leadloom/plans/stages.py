@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom import fixed_values as fixed
-from leadloom.operators import analysis, contacts, drafting, feedback, gate, hygiene, pages, people, sending
+from leadloom.operators import analysis, contacts, drafting, feedback, gate, hygiene, inbound, pages, people, sending, state
 from leadloom.session import settle
 
 
@@ -36,14 +36,19 @@ def run_hygiene(s: Settings, leads: DataFrame, dns_facts: DataFrame, suppression
     return hygiene.kept_leads(tagged, s.url_column), hygiene.dropped_leads(tagged, s.url_column)
 
 
-def run_crawl(s: Settings, wanted: DataFrame, stored: DataFrame, robots: DataFrame, cached: DataFrame | None = None) -> DataFrame:
-    """Crawl results of the wanted domains from stored pages; domains with a
-    fresh result keep it."""
+def run_crawl(s: Settings, wanted: DataFrame, stored: DataFrame, robots: DataFrame, cached: DataFrame | None = None,
+              sitemap: DataFrame | None = None) -> DataFrame:
+    """One crawl result per wanted domain, from stored pages; domains with a fresh result keep it.
+
+    stored: domain, url, html, and if known page_type 'home', fetch_sec and
+    fetch_error.  Which pages are read follows from the links of the home page
+    and the sitemap; a domain without a stored home page fails with its cause.
+    """
     domains = wanted.select("domain").distinct()
     todo = pages.stale_domains(domains, cached, s.as_of) if cached is not None else domains
     mine = stored.join(todo, "domain", "left_semi")
-    allowed = pages.robots_verdicts(mine, robots, s.agent).withColumn("fetched", F.col("html").isNotNull())
-    results = pages.crawl_results(pages.read_pages(pages.cap_pages(allowed)), s.as_of)
+    visited = pages.visited_pages(todo, mine, robots, s.agent, sitemap)
+    results = pages.crawl_results(pages.read_pages(visited), s.as_of)
     if cached is not None:
         kept = cached.join(domains, "domain", "left_semi").join(todo, "domain", "left_anti")
         results = results.unionByName(kept, allowMissingColumns=True)
@@ -96,3 +101,29 @@ def run_send_plan(s: Settings, queue: DataFrame, leads: DataFrame, suppression:
         queue, leads, suppression, mailboxes, counts_today, s.as_of, limit=s.send_limit, enforce_due=s.enforce_due
     )
     return settle(plan, "plan")
+
+
+def run_inbound(s: Settings, messages: DataFrame, pending: DataFrame, processed: DataFrame, leads: DataFrame, suppression: DataFrame,
+                days: int = fixed.LOOK_BACK_DAYS) -> dict[str, DataFrame]:
+    """One poll: what came of every message, and the tables after it.
+
+    done, skipped (fate and error of the others), pending (to try again),
+    marks, leads, suppression, replies, and the summary in one row.
+    """
+    polled = settle(inbound.fates(messages, pending, processed, s.as_of, days), "poll")
+    found = inbound.stage(polled.where(F.col("fate") == "done"), leads, s.as_of)
+    done = settle(found.done, "polled")
+    events = settle(inbound.lead_events(done), "poll-events")
+    failed = polled.where(F.col("fate") == "failed")
+    return {
+        "done": done,
+        "skipped": polled.where(F.col("fate") != "done"),
+        "pending": failed.where(F.coalesce("uid", F.lit("")) != "").drop("fate", "was_pending"),
+        "marks": processed.unionByName(inbound.processed_marks(done, s.as_of), allowMissingColumns=True),
+        "leads": settle(state.apply_events(leads, events), "leads"),
+        "suppression": settle(state.replace_by_key(
+            suppression, state.suppression_entries(events), ["value", "scope"], "suppressed_at"), "suppression"),
+        "replies": inbound.captured_replies(done),
+        "summary": inbound.poll_summary(done.withColumn("error", F.lit(None).cast("string")).unionByName(
+            failed.withColumn("classification", F.lit(None).cast("string")), allowMissingColumns=True)),
+    }

@@ -69,3 +69,19 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = new_work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def child_numbers(spark: SparkSession, folder: str, finished: bool) -> list[int]:
+    """Numbers n of the folders `<name>=<n>` in a folder; with `finished`, of those that Spark has written to the end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    children = [status.getPath() for status in files.listStatus(path) if "=" in status.getPath().getName()]
+    done = [c for c in children if not finished or files.exists(spark._jvm.org.apache.hadoop.fs.Path(c, "_SUCCESS"))]
+    return [int(c.getName().rsplit("=", 1)[1]) for c in done]
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

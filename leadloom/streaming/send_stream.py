@@ -6,33 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from leadloom.streaming.inbound_stream import start_upserts
+from leadloom.streaming.keyed_table import KeyedTable
 
-def daily_counts(sends: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Sent messages per mailbox and calendar day (tumbling window)."""
-    return (
-        sends.where(F.col("status") == "sent")
-        .withWatermark("sent_at", delay)
-        .groupBy("mailbox", F.window("sent_at", "1 day").alias("w"))
-        .agg(F.count(F.lit(1)).alias("count"))
-        .select("mailbox", F.to_date("w.start").alias("day"), "count")
-    )
 
+def daily_counts(sends: DataFrame) -> DataFrame:
+    """One row per sent message: mailbox, its calendar day, and a count of 1, to be added up."""
+    return sends.where(F.col("status") == "sent").select("mailbox", F.to_date("sent_at").alias("day"), F.lit(1).cast("long").alias("count"))
 
-def start_daily_counts(sends: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Write changed counters per batch; the last batch of a key holds."""
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return (
-        daily_counts(sends)
-        .writeStream.outputMode("update")
-        .foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def latest_counts(rows: DataFrame) -> DataFrame:
-    last = F.max_by("count", "batch_id")
-    return rows.groupBy("mailbox", "day").agg(last.alias("count"))
+def start_daily_counts(sends: DataFrame, table: KeyedTable, checkpoint: str) -> StreamingQuery:
+    """Add each batch to the counters of mailbox and day; late sends count, and a batch that runs twice adds once."""
+    return start_upserts(daily_counts(sends), table, checkpoint)

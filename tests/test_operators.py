@@ -1,6 +1,7 @@
 """Operators on small fixtures, and order-dependent parts by brute force."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -11,6 +12,7 @@ from leadloom.operators import analysis, contacts, feedback, gate, hygiene, inbo
 from leadloom.plans import stages
 from leadloom.sources import readers, writers
 from leadloom.streaming import inbound_stream as IS
+from leadloom.streaming.keyed_table import KeyedTable
 
 T0 = dt.datetime(2026, 3, 1)
 
@@ -270,19 +272,91 @@ def test_last_event_wins(spark):
     assert lead.meeting_booked_at == T0 + dt.timedelta(minutes=5)
 
 
-def test_streams_survive_a_second_run(spark, tmp_path):
-    """A second run with the same checkpoint takes only new files, and a
-    message that comes again is not handled again."""
-    leads = spark.createDataFrame([("j@a.com", "a.com", None, 1, "active", None, None, T0, T0, None)], schemas.LEADS)
-    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
-    one = spark.createDataFrame([("1", "j@a.com", "s", "hello", "", T0)], schemas.INBOUND)
-    two = spark.createDataFrame([("1", "j@a.com", "s", "hello", "", T0), ("2", "j@a.com", "s", "please unsubscribe", "", T0)], schemas.INBOUND)
-    for batch in (one, two):
-        batch.write.mode("append").parquet(source)
-        stream = spark.readStream.schema(schemas.INBOUND).parquet(source)
-        IS.start_poll(stream, leads, as_of(), out, mark).awaitTermination()
-    rows = IS.stored(spark, out, "done").collect()
-    assert sorted((r.uid, r.classification) for r in rows) == [("1", "reply"), ("2", "unsubscribe")]
+def mail(spark, *rows):
+    """Rows of (uid, from, subject, body, received_at, fetch_error)."""
+    return spark.createDataFrame([(u, f, s, b, b, at, e) for u, f, s, b, at, e in rows],
+                                 "uid string, from_addr string, subject string, body string, full_text string, received_at timestamp, fetch_error string")
+
+
+def active(spark, *emails):
+    return spark.createDataFrame([(e, e.split("@")[1], None, 1, "active", None, None, T0, T0, None) for e in emails], schemas.LEADS)
+
+
+def test_mail_over_three_runs(spark, tmp_path):
+    """Every row ends in one place: repeats, late and too old mail, mail that fails, then comes again or never does."""
+    leads = active(spark, "j@a.com", "k@b.com", "m@c.com")
+    source, mark = str(tmp_path / "in"), str(tmp_path / "mark")
+    now, late, old = T0, T0 - dt.timedelta(days=9), T0 - dt.timedelta(days=30)
+    runs = [
+        [("1", "j@a.com", "s", "hello", now, None), ("2", None, None, None, now, "timeout"), ("3", None, None, None, now, None), ("", "x@y.z", "s", "b", now, None),
+         (None, "x@y.z", "s", "b", now, None)],
+        [("1", "j@a.com", "s", "hello", now, None), ("2", "k@b.com", "s", "please unsubscribe", now, None), ("4", None, "s", "about k@b.com", now, None)],
+        [("5", "m@c.com", "s", "out of the office", late, None), ("6", "m@c.com", "s", "hello", old, None), ("2", "k@b.com", "s", "hello", now, None),
+         ("7", "m@c.com", "s", "hello", None, None), ("7", "m@c.com", "s", "hello", None, None)],
+    ]
+    schema = mail(spark, *runs[0]).schema
+    tables = IS.inbound_tables(spark, str(tmp_path / "out"), schema, leads.schema, fold_every=2)
+    tables.load(leads)
+    seen = []
+    for rows in runs:
+        mail(spark, *rows).write.mode("append").parquet(source)
+        IS.start_poll(spark.readStream.schema(schema).parquet(source), tables, as_of(), mark).awaitTermination()
+        seen.append((tables.done.read().count(), sorted(r.uid for r in tables.pending.read().collect()), sum(r["rows"] for r in tables.skipped.read().collect())))
+    assert {r.uid: r.classification for r in tables.done.read().collect()} == {"1": "reply", "2": "unsubscribe", "4": "reply", "5": "ooo", "7": "reply"}
+    # Rows of a run and what was pending before it: 5, 3 + 2, 5 + 1; each is done or counted as skipped.
+    assert seen == [(1, ["2", "3"], 4), (3, ["3"], 7), (5, ["3"], 11)]
+    assert [done + skipped for done, _, skipped in seen] == [5, 5 + 5, 5 + 5 + 6]
+    skipped = {(r.uid, r.fate): r["rows"] for r in tables.skipped.read().collect()}
+    assert skipped == {("2", "failed"): 1, ("3", "failed"): 3, ("", "failed"): 1, (None, "failed"): 1, ("1", "repeat"): 1, ("2", "repeat"): 1, ("6", "old"): 1, ("7", "repeat"): 1}
+    assert {r.email: r.status for r in tables.leads.read().collect()} == {"j@a.com": "replied", "k@b.com": "replied", "m@c.com": "replied"}
+    assert {r.value for r in tables.suppression.read().collect()} == {"k@b.com", "b.com"}
+    assert sorted(r.uid for r in tables.replies.read().collect()) == ["1", "4", "7"]
+    assert sorted(r.uid for r in tables.marks.read().collect()) == ["1", "2", "4", "5", "7"]
+
+
+def test_a_batch_that_runs_twice_changes_nothing_twice(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 5)], "k string, n long")
+    for kind, wanted in (("add", {"a": 30, "b": 50}), ("replace", {"a": 2, "b": 5}), ("insert", {"a": 1, "b": 5})):
+        table = KeyedTable(spark, str(tmp_path / kind), rows.schema, ["k"], kind, None if kind == "add" else "n", fold_every=3)
+        for batch in range(10):
+            table.change(rows, batch)
+            table.change(rows, batch)
+        assert {r.k: r.n for r in table.read().collect()} == wanted
+        assert table.read(9).count() == 2
+
+
+def test_a_table_with_a_long_history_reads_little(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 5)], "k string, n long")
+    table = KeyedTable(spark, str(tmp_path / "t"), rows.schema, ["k"], "add", fold_every=4)
+    for batch in range(30):
+        table.change(rows, batch)
+    parts = [p.rsplit("/", 1)[1] for p in table._parts(None)]
+    assert parts == ["upto=27", "batch=28", "batch=29"]
+    assert {r.k: r.n for r in table.read().collect()} == {"a": 30, "b": 150}
+    assert len(os.listdir(tmp_path / "t" / "delta")) <= 8 and len(os.listdir(tmp_path / "t" / "base")) == 2
+
+
+def test_rows_that_are_gone_leave_the_base(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), spark.createDataFrame([], "k string, closed boolean").schema, ["k"], "replace", fold_every=2, gone="closed")
+    table.change(spark.createDataFrame([("a", False), ("b", False)], "k string, closed boolean"), 0)
+    table.change(spark.createDataFrame([("a", True)], "k string, closed boolean"), 1)
+    assert [r.k for r in table.read().collect()] == ["b"]
+    assert spark.read.parquet(str(tmp_path / "t" / "base" / "upto=1")).count() == 1
+
+
+def test_the_inbound_stage(spark):
+    s = stages.Settings(as_of())
+    leads = active(spark, "j@a.com", "k@b.com")
+    rows = mail(spark, ("1", "j@a.com", "s", "please unsubscribe", T0, None), ("2", "k@b.com", "s", "hi", T0, None), ("3", None, None, None, T0, "lost"))
+    pending = mail(spark, ("9", "k@b.com", "s", "hi again", T0, None))
+    found = stages.run_inbound(s, rows, pending, spark.createDataFrame([("2", "reply")], "uid string, classification string"), leads, suppression(spark))
+    assert sorted(r.uid for r in found["done"].collect()) == ["1", "9"]
+    assert sorted((r.uid, r.fate) for r in found["skipped"].collect()) == [("2", "repeat"), ("3", "failed")]
+    assert [r.uid for r in found["pending"].collect()] == ["3"]
+    assert {r.email: r.status for r in found["leads"].collect()} == {"j@a.com": "unsubscribed", "k@b.com": "replied"}
+    summary = found["summary"].first()
+    assert (summary.unsubscribe, summary.reply, summary.errors) == (1, 1, 1)
+    assert sorted(r.uid for r in found["marks"].collect()) == ["1", "2", "9"]
 
 
 # ------------------------------------------------------- reports and feedback
