@@ -1,6 +1,8 @@
 """Column functions on single cases."""
 
 import datetime as dt
+from html import unescape
+from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,8 @@ from leadloom.functions import mail as M
 from leadloom.functions import quality as Q
 from leadloom.functions import responses as R
 from leadloom.functions import schedule as S
-from leadloom.functions import urls
+from leadloom.functions import suffixes, urls
+from leadloom.functions.dictionary import Dictionary
 from leadloom.functions.text import strip, words
 from leadloom.operators import contacts as C
 from leadloom.operators import pages as P
@@ -240,3 +243,68 @@ def test_word_sets(spark):
 def test_judges_may_grade_with_fractions(spark, answer, passes):
     read = spark.createDataFrame([(answer, None)], "raw_text string, error string").select(R.read_judge("raw_text", "error").alias("s"))
     assert read.select(Q.judge_passes(F.col("s.grounding"), F.col("s.overall"), F.col("s.error")).alias("p")).first()["p"] is passes
+
+
+# -------------------------------------------------- suffixes and references
+RULES = """// a comment
+com
+ua
+com.ua
+*.ck
+!www.ck
+jp
+*.kawasaki.jp
+!city.kawasaki.jp
+бг
+us
+k12.ma.us
+pvt.k12.ma.us
+// ===BEGIN PRIVATE DOMAINS===
+blog.com
+"""
+
+
+def rules(tmp_path, private=False):
+    path = tmp_path / "list.dat"
+    path.write_text(RULES, encoding="utf-8")
+    return suffixes.read_rules(str(path), private)
+
+
+HOSTS = [
+    ("acme.com", "acme.com"), ("a.b.acme.com.ua", "acme.com.ua"), ("com.ua", ""), ("com", ""), ("acme.co.ck", "acme.co.ck"), ("co.ck", ""), ("a.www.ck", "www.ck"),
+    ("www.ck", "www.ck"), ("ck", ""), ("x.city.kawasaki.jp", "city.kawasaki.jp"), ("city.kawasaki.jp", "city.kawasaki.jp"), ("a.b.foo.kawasaki.jp", "b.foo.kawasaki.jp"),
+    ("foo.kawasaki.jp", ""), ("kawasaki.jp", "kawasaki.jp"), ("acme.бг", "acme.бг"), ("acme.xn--90ae", "acme.xn--90ae"), ("x.pvt.k12.ma.us", "x.pvt.k12.ma.us"),
+    ("k12.ma.us", ""), ("ma.us", "ma.us"), ("acme.unlisted", ""), ("me.blog.com", "blog.com"), ("localhost", ""), ("10.0.0.1", ""), ("", ""), ("..com", ""), ("acme.com.", "acme.com"),
+]
+
+
+def test_suffix_rules(spark, tmp_path):
+    known = rules(tmp_path)
+    assert column(spark, [h for h, _ in HOSTS], lambda h: urls.registrable_domain(h, known)) == [d for _, d in HOSTS]
+
+
+def test_private_suffixes_on_demand(spark, tmp_path):
+    df = spark.createDataFrame([("me.blog.com",)], "h string")
+    assert df.select(urls.registrable_domain(F.col("h"), rules(tmp_path, True))).first()[0] == "me.blog.com"
+
+
+def test_a_large_dictionary(spark):
+    entries = {f"w{i}é": f"v{i}" for i in range(5000)}
+    table = Dictionary(entries)
+    df = spark.createDataFrame([(w,) for w in [*list(entries)[::97], "w1", "", "w5000é", "v1"]], "w string")
+    found = {r.w: r.v for r in df.select("w", table.value(F.col("w")).alias("v")).collect()}
+    assert found == {w: entries.get(w) for w in found}
+
+
+REFERENCES = ["&#38;lt;b", "&amp;lt;", "&eacute;&euro;", "&NotEqualTilde;", "&notit;", "&not;", "&copy2024", "&#x80;&#150;", "&#0;&#1114112;&#xD800;&#99999999999;", "&bogus; AT&T &; & &&amp;",
+              "&ampamp;", "&#65&#x42;&#x;", "&lt;&gt;&quot;&apos;&nbsp;", "a&b=c&amp=d", "&Aacute&aacute;x", "", "plain", "&sup1;&sup;", "&frac12x"]
+
+
+def test_references_in_one_pass(spark):
+    assert column(spark, REFERENCES, H.decode_entities) == [unescape(text) for text in REFERENCES]
+
+
+def test_every_named_reference(spark):
+    names = [f"&{name}" for name in html5]
+    df = spark.createDataFrame([("|".join(names),)], "t string")
+    assert df.select(H.decode_entities(F.col("t"))).first()[0] == unescape("|".join(names))

@@ -380,6 +380,76 @@ def test_reports_and_variants(spark):
     assert [(s.subject, s.grounding, s.reply_text) for s in shot] == [("quick q", "q1; q2", "yes")]
 
 
+# --------------------------------------------------------------------- crawl
+def stored_pages(spark, *rows):
+    """Rows of (domain, url, page_type, html, fetch_sec, fetch_error)."""
+    return spark.createDataFrame(list(rows), "domain string, url string, page_type string, html string, fetch_sec double, fetch_error string")
+
+
+def test_the_crawl_follows_the_home_page(spark):
+    """Links choose the pages; stored pages that nothing links to are not read, wanted domains without pages fail with their cause."""
+    text = "<p>We run a pricing desk for shops of every size, and we have done so for years.</p>"
+    home = text + '<a href="/about-us">About us</a><a href="/team">Our team</a>'
+    stored = stored_pages(
+        spark, ("a.com", "https://www.a.com/", None, home, 1.5, None), ("a.com", "https://www.a.com/about-us", None, "<p>About</p> x@a.com", 0.25, None),
+        ("a.com", "https://www.a.com/hidden", None, "<p>y@a.com</p>", 9.0, None), ("b.com", "https://b.com", None, None, 3.0, "timeout"),
+        ("c.com", "https://c.com", None, "<p>Checking your browser before access</p>", 0.5, None), ("d.com", "http://d.com", None, text, 0.5, None),
+        ("f.com", "https://f.com", None, "<p></p>", 0.5, None))
+    robots = spark.createDataFrame([("d.com", "*", 1, False, "/"), ("a.com", "*", 1, False, "/team")], "domain string, agent string, pos int, allow boolean, path string")
+    wanted = spark.createDataFrame([(d,) for d in ("a.com", "b.com", "c.com", "d.com", "e.com", "f.com", "a.com")], "domain string")
+    done = stages.run_crawl(stages.Settings(as_of()), wanted, stored, robots)
+    rows = {r.domain: r for r in done.collect()}
+    assert {d: (r.status, r.error) for d, r in rows.items()} == {
+        "a.com": ("ok", None), "b.com": ("crawl_failed", "home page not fetched: timeout"), "c.com": ("blocked", "home page is behind a bot wall"),
+        "d.com": ("robots_disallowed", "robots rules refuse the home page"), "e.com": ("crawl_failed", "home page not fetched: unknown"),
+        "f.com": ("crawl_failed", "no text, address or person on any page")}
+    assert [p.url for p in rows["a.com"].pages] == ["https://www.a.com/", "https://www.a.com/about-us"]
+    assert rows["a.com"].emails == ["x@a.com"] and rows["a.com"].robots_skipped == ["https://www.a.com/team"] and rows["a.com"].duration_sec == 1.75
+    summary = {r.domain: r for r in pages.run_summary(done).collect()}
+    assert summary["b.com"].duration_sec == 3.0 and summary["e.com"].pages == 0
+
+
+def test_the_sitemap_tops_up_the_links(spark):
+    home = '<p>Hello there, this is home.</p><a href="/about">About</a>'
+    stored = stored_pages(spark, ("a.com", "https://a.com", "home", home, None, None), ("a.com", "https://a.com/pricing", None, "<p>Prices are low.</p>", None, None))
+    sitemap = spark.createDataFrame([("a.com", 1, "/pricing"), ("z.com", 1, "/about")], "domain string, pos long, loc string")
+    none = spark.createDataFrame([], "domain string, agent string, pos int, allow boolean, path string")
+    done = stages.run_crawl(stages.Settings(as_of()), stored.select("domain"), stored, none, sitemap=sitemap)
+    assert [p.url for p in done.first().pages] == ["https://a.com", "https://a.com/pricing"]
+
+
+def test_a_document_gives_the_addresses_within_the_budget(spark):
+    read = spark.createDataFrame(
+        [("a.com", 1, "https://a.com", "home", "0123456789", ["h@a.com"], None), ("a.com", 2, "https://a.com/x.pdf", "about", "in@a.com and out@a.com", ["in@a.com", "out@a.com"], "pdf")],
+        "domain string, visit_pos int, url string, page_type string, text string, emails array<string>, source_type string")
+    rest = read.selectExpr("*", "true as allowed", "false as blocked", "true as fetched", "cast(array() as array<struct<name:string,title:string>>) as people")
+    assert pages.crawl_results(rest, as_of(), budget=20).first().emails == ["h@a.com", "in@a.com"]
+
+
+def test_robots_keys_follow_rule_lengths(spark):
+    site = spark.createDataFrame([("a.com", f"https://a.com/{'x' * n}") for n in range(200)], "domain string, url string")
+    listed = [("a.com", "*", i, i % 2 == 0, path) for i, path in enumerate(["/xx", "/xxxx", "/yyyy", "", "/"])]
+    found = spark.createDataFrame(listed, "domain string, agent string, pos int, allow boolean, path string")
+    keys = pages.rule_keys(site, found, "bot")
+    assert keys.count() <= 200 * 4 and keys.groupBy("__u").count().agg(F.max("count")).first()[0] == 4
+    verdicts = {r.url: r.allowed for r in pages.robots_verdicts(site, found, "bot").collect()}
+    for url, allowed in verdicts.items():
+        path = url.removeprefix("https://a.com")
+        first = next((allow or not rule for _, _, _, allow, rule in listed if path.startswith(rule)), True)
+        assert allowed == first
+
+
+def test_text_is_extracted_once(spark):
+    """The plan that writes the pages holds the text's last step once, and the budget reads what was written."""
+    visited = spark.createDataFrame(
+        [("a.com", "https://a.com", "home", 1, "<p>x</p>", True, True)], "domain string, url string, page_type string, visit_pos int, html string, allowed boolean, fetched boolean")
+    read = pages.read_pages(visited)
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("address|article") == 1
+    spent = pages.apply_text_budget(read)._jdf.queryExecution().optimizedPlan().toString()
+    assert "address|article" not in spent
+
+
 # -------------------------------------------------------------- whole stages
 def test_stages_end_to_end(spark):
     s = stages.Settings(as_of())
