@@ -195,12 +195,12 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows whose language is not rejected, with the columns of `docs`."""
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(~predict(batch["text"], model)[2]))
+    """The rows whose language is not rejected, with the columns of `docs`; only texts go to Python, and only verdicts come back."""
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        return pa.array(~predict(texts, model)[2])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(known(F.col("text").cast("string")))
 
 
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Every word has a log-odds of standing in toxic texts.  Its prior is the rate of
 its longest counted prefix, whose prior is that of the next shorter one, down to
-the rate of all texts, so an unseen form leans on what it begins with; what is
-within the error of the counts is taken off.  With a small cost per word, one
+the rate of all texts, so an unseen form leans on what it begins with; a longer
+unit moves away from its prefix only by what is beyond the error of its counts.  With a small cost per word, one
 linear scan of a text finds all its maximal scoring segments, from every place of every word.
 Within a segment the k-th place of a word that speaks for toxicity counts 1/k, and the segment's score shrinks to
 that share of it: repeats are not independent, but no place is lost to an earlier part of the text.  By the theory of maximal segment scores the best one of n clean words
@@ -12,7 +12,9 @@ estimated on clean texts, and the evidence of a text is that of its significant
 segments beyond chance.  A logistic fit turns evidence into the score.
 
 Learning reads about `PER_CLASS` labelled rows of each label (a documented
-bound) that are not held out.  Word rates are cross-fitted: the calibration
+bound) that are not held out.  Of near copies with one label, found by bands of a
+min-max signature, the one with the smallest id counts: the chance words of a
+text that occurs many times would else look like evidence.  Word rates are cross-fitted: the calibration
 scores each half of them with the rates of the other half.
 
 Defined cases: a null or empty text has no words, no evidence and the score of
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 from leadloom.llm.common import (
     byte_slices, held_out, in_shares, letter_words, letterless_table, mix, powers, read, word_bounds, word_hashes,
 )
+from leadloom.llm.near_dedup import band_keys, extremes, shingle_sets
 from leadloom.session import settle
 
 PER_CLASS = 10_000
@@ -49,6 +52,8 @@ TOXIC_FROM = 0.7
 LAMBDAS = np.linspace(0.2, 2.6, 13)
 _TABLE = 1 << 19
 _FOLDS = 2
+#: Bands of a signature and values of each, by which copies among the labelled rows are found.
+_BANDS, _BAND_ROWS = 10, 3
 
 
 @dataclass(frozen=True)
@@ -172,20 +177,21 @@ def _rates(counts: dict, folds, base: float) -> Rates:
     """Hierarchical rates from the counts of some folds, as tables of log-odds against the rate of all texts."""
     tags, scores = np.zeros((LEVELS, _TABLE), np.uint32), np.zeros((LEVELS, _TABLE), np.float32)
     logit = lambda p: np.log(p / (1 - p))
-    above_units, above_rates = np.zeros(0, np.int64), np.zeros(0)
+    above_units, above_rates, above_sure = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
     for level in range(LEVELS):
         at = counts["level"] == level
         unit, above = counts["unit"][at], counts["above"][at]
         n = sum(counts[f"n{f}"][at] for f in folds).astype(float)
         toxic = sum(counts[f"t{f}"][at] for f in folds).astype(float)
-        prior = np.full(len(unit), base)
+        prior, inherited = np.full(len(unit), base), np.zeros(len(unit))
         if len(above_units):
             place = np.minimum(np.searchsorted(above_units, above), len(above_units) - 1)
             prior = np.where(above_units[place] == above, above_rates[place], base)
+            inherited = np.where(above_units[place] == above, above_sure[place], 0.0)
         for_, against = toxic + PRIOR * prior, n - toxic + PRIOR * (1 - prior)
-        odds = np.log(for_ / against) - logit(base)
-        # What is left of the log-odds after `CAUTION` standard errors.
-        sure = np.sign(odds) * np.maximum(0, np.abs(odds) - CAUTION * np.sqrt(1 / for_ + 1 / against))
+        step = np.log(for_ / against) - logit(prior)
+        # A longer unit moves away from its prefix by what is left of the step after `CAUTION` standard errors.
+        sure = inherited + np.sign(step) * np.maximum(0, np.abs(step) - CAUTION * np.sqrt(1 / for_ + 1 / against))
         rate = for_ / (for_ + against)
         keep = np.argsort(n, kind="stable")
         keep = keep[n[keep] > 0]
@@ -194,9 +200,9 @@ def _rates(counts: dict, folds, base: float) -> Rates:
         tags[level][place] = (key >> np.uint64(32)).astype(np.uint32)
         scores[level][place] = np.clip(sure[keep], *RANGE)
         known = np.concatenate([above_units, unit])
-        rates = np.concatenate([above_rates, rate])
+        rates, sures = np.concatenate([above_rates, rate]), np.concatenate([above_sure, sure])
         order = np.argsort(known, kind="stable")
-        above_units, above_rates = known[order], rates[order]
+        above_units, above_rates, above_sure = known[order], rates[order], sures[order]
     return Rates(tags, scores)
 
 
@@ -233,8 +239,30 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
         "doc_id", "text", "toxic", F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(_FOLDS)).cast("int").alias("fold"))
 
 
+def without_copies(rows: DataFrame) -> DataFrame:
+    """The labelled rows without those that share a band with a row of the same label and a smaller id."""
+    def sign(batches):
+        for batch in batches:
+            keys = [None] * len(batch)
+            for first, _end, data, offsets in byte_slices(batch["text"]):
+                values, firsts = shingle_sets(data, offsets)
+                full = np.flatnonzero(np.diff(firsts) > 0)
+                if len(full):
+                    bands = band_keys(extremes(values, firsts, _BANDS * _BAND_ROWS // 2), _BAND_ROWS).view(np.int64)
+                    for i, j in enumerate(full):
+                        keys[first + j] = bands[i]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "toxic", "bands"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    signed = settle(rows.select("doc_id", "toxic", "text").mapInArrow(sign, f"doc_id {kind}, toxic int, bands array<long>")
+                    .select("doc_id", "toxic", F.explode("bands").alias("band")), "toxicity-bands")
+    least = signed.groupBy("toxic", "band").agg(F.min("doc_id").alias("_least"))
+    copies = signed.join(least, ["toxic", "band"]).where(F.col("doc_id") > F.col("_least")).select(F.col("doc_id").alias("_copy")).distinct()
+    return rows.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
-    rows = settle(training_rows(docs, labels, per_class), "toxicity-sample")
+    rows = settle(without_copies(settle(training_rows(docs, labels, per_class), "toxicity-labelled")), "toxicity-sample")
     totals = {(r["fold"], r["toxic"]): r["count"] for r in rows.groupBy("fold", "toxic").count().collect()}
     ones, zeros = (sum(v for (_, t), v in totals.items() if t == x) for x in (1, 0))
     if not ones or not zeros:
@@ -283,29 +311,47 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     return Model(_rates(counts, range(_FOLDS), base), scale, k, weights)
 
 
-def passages(texts: pa.Array, model: Model) -> tuple[np.ndarray, list]:
-    """Words per text, and its segments (first word, word after the last, score)."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    n, found = np.zeros(len(texts), np.int64), [[] for _ in range(len(texts))]
+def scanned(texts: pa.Array, model: Model):
+    """Slices of texts: the first's number, scores, and per text its segments (first word, word after the last, score) and words.
+
+    What is kept of a slice goes with it, so memory follows the slice and not the batch.
+    """
     for first, end, data, offsets in byte_slices(texts):
         firsts, levels = units(data, offsets)
-        score = word_scores(model.rates, firsts, levels)
-        for i in range(end - first):
-            z = slice(firsts[i], firsts[i + 1])
-            n[first + i], found[first + i] = len(score[z]), discounted(score[z], levels[-1][0][z], segments(score[z]))
-    return n, found
+        score, words = word_scores(model.rates, firsts, levels), levels[-1][0]
+        n, found = np.diff(firsts), []
+        for a, z in zip(firsts[:-1], firsts[1:]):
+            found.append(discounted(score[a:z], words[a:z], segments(score[a:z])))
+        x = _evidence(n, [[s for _, _, s in f if s > 0.5] for f in found], model.scale, model.k)
+        yield first, 1 / (1 + np.exp(-(x @ model.weights))), found, n
+
+
+def passages(texts: pa.Array, model: Model) -> tuple[np.ndarray, list]:
+    """Words per text, and all its segments."""
+    counts, found = [], []
+    for _, _, own, n in scanned(texts, model):
+        counts += n.tolist()
+        found += own
+    return np.array(counts, np.int64), found
+
+
+def scores(texts: pa.Array, model: Model | None) -> np.ndarray:
+    """Score per text."""
+    out = np.zeros(len(texts))
+    for first, score, _, _ in scanned(texts, model) if model else ():
+        out[first: first + len(score)] = score
+    return out
 
 
 def predict(texts: pa.Array, model: Model | None) -> tuple[np.ndarray, list]:
     """Score per text, and its significant passages."""
-    if model is None:
-        return np.zeros(len(texts)), [[] for _ in range(len(texts))]
-    n, found = passages(texts, model)
-    x = _evidence(n, [[s for _, _, s in f if s > 0.5] for f in found], model.scale, model.k)
-    level = np.log(np.maximum(model.k * np.maximum(n, 1), 1e-9))
-    shown = [[p for p in f if model.scale * p[2] > level[i]] for i, f in enumerate(found)]
-    return 1 / (1 + np.exp(-(x @ model.weights))), shown
+    out, shown = np.zeros(len(texts)), [[] for _ in range(len(texts))]
+    for first, score, found, n in scanned(texts, model) if model else ():
+        out[first: first + len(score)] = score
+        level = np.log(np.maximum(model.k * np.maximum(n, 1), 1e-9))
+        for i, own in enumerate(found):
+            shown[first + i] = [p for p in own if model.scale * p[2] > level[i]]
+    return out, shown
 
 
 def score_documents(docs: DataFrame, model: Model | None, toxic_from: float = TOXIC_FROM) -> DataFrame:
@@ -326,12 +372,12 @@ def score_documents(docs: DataFrame, model: Model | None, toxic_from: float = TO
 
 
 def drop_toxic(docs: DataFrame, model: Model | None, toxic_from: float = TOXIC_FROM) -> DataFrame:
-    """The rows that are not predicted toxic, with the columns of `docs`."""
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(predict(batch["text"], model)[0] < toxic_from))
+    """The rows that are not predicted toxic, with the columns of `docs`; only texts go to Python, and only verdicts come back."""
+    @F.arrow_udf("boolean")
+    def stays(texts: pa.Array) -> pa.Array:
+        return pa.array(scores(texts, model) < toxic_from)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(stays(F.col("text").cast("string")))
 
 
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
