@@ -1,14 +1,13 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries, one engine per Python worker.
 
-A text is cut into chunks at white space, which never joins two tokens' words;
-each new chunk is cut by the tokenizer's pattern.  The words that are not
+A text is cut into words by the tokenizer's pattern.  The new words that are not
 tokens themselves become token-position rows; a recursive query joins the
 neighbours with the merge table and contracts each word's leftmost pair of the
 smallest rank until no pair is left.  Words over `LONG` bytes take the same step
 in a loop that contracts all places of the smallest pair at once, which gives
 the same tokens in fewer rounds.  Decoding joins the ids with the vocabulary
-and puts the bytes together by ordered aggregation.  Results of chunks are kept
-for the next texts, up to `KEPT` of them, so memory is bounded.
+and puts the bytes together by ordered aggregation.  Results of words are kept
+for the next texts in two generations of about `KEPT`, so memory is bounded.
 
 Defined cases: a null text is empty; an empty text has no tokens and both
 digests are those of nothing; special tokens' names are ordinary text; repeated
@@ -20,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from leadloom.llm.common import read, worker_state
 
 LONG = 256
-KEPT = 400_000
+KEPT = 200_000
 _BATCH_BYTES = 1 << 20
 _SHIFT = 1 << 16
 #: White space as the tokenizer's pattern means it (fixed values of the Unicode property).
@@ -74,7 +72,7 @@ def read_ranks(path: str) -> bytes:
 
 
 class Encoder:
-    """Merge table, vocabulary and results of chunks of one worker."""
+    """Merge table, vocabulary and results of words of one worker."""
 
     def __init__(self, ranks: bytes, pattern: str):
         import duckdb
@@ -93,8 +91,8 @@ class Encoder:
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         exact = pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
         self.words = regex.compile(exact).findall
-        self.chunks = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+").findall
         self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.older: dict[str, tuple[int, str, bytes]] = {}
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.engine.register("given", rows)
@@ -146,37 +144,34 @@ class Encoder:
                 at = end
         return done
 
-    def learn(self, chunks: set[str]) -> None:
-        """Encode the chunks that are not known yet."""
-        new = [c for c in chunks if c not in self.known]
-        if not new:
-            return
-        if len(self.known) + len(new) > KEPT:
-            self.known = {}
-            new = list(chunks)
-        cut = {c: self.words(c) for c in new}
-        words = self._encode_words(sorted({w for parts in cut.values() for w in parts}))
-        for chunk, parts in cut.items():
-            if len(parts) == 1:
-                self.known[chunk] = words[parts[0]]
+    def learn(self, words: set[str]) -> None:
+        """Encode the words that are not known yet."""
+        if len(self.known) > KEPT:
+            self.older, self.known = self.known, {}
+        fresh = []
+        for word in words.difference(self.known):
+            found = self.older.get(word)
+            if found is None:
+                fresh.append(word)
             else:
-                n, ids, data = zip(*map(words.__getitem__, parts))
-                self.known[chunk] = (sum(n), " ".join(ids), b"".join(data))
+                self.known[word] = found
+        if fresh:
+            self.known.update(self._encode_words(fresh))
 
     def texts(self, texts: list):
         """Per text: number of tokens, pieces of the ids as text, pieces of the decoded bytes."""
         at = 0
         while at < len(texts):
             found, seen, size = [], set(), 0
-            while at < len(texts) and size < 4 * _BATCH_BYTES and len(seen) < KEPT // 4:
-                chunks = self.chunks(texts[at] or "")
-                found.append(chunks)
-                seen.update(chunks)
+            while at < len(texts) and size < 4 * _BATCH_BYTES and len(seen) < KEPT // 2:
+                words = self.words(texts[at] or "")
+                found.append(words)
+                seen.update(words)
                 size += len(texts[at] or "")
                 at += 1
             self.learn(seen)
-            for chunks in found:
-                yield [self.known[c] for c in chunks]
+            for words in found:
+                yield list(map(self.known.__getitem__, words))
 
 
 def _encoder(ranks: bytes, pattern: str) -> Encoder:
