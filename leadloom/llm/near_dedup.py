@@ -8,8 +8,10 @@ buckets that it shares most buckets with, and links are confirmed on the full
 sets.  Only where a bucket stays in several parts do the classes outside its
 commonest part meet those of its other parts, so a large group of copies never
 meets itself in all pairs.  There sketches are compared in the join, and pairs
-that they show to be far apart are not confirmed; no number of partners is
-capped.  A sketch deals a set over 384 bins and keeps four bits of the least
+that they show to be far apart are not confirmed.  The others are confirmed in
+rounds: first the pair of each two parts whose sketches are most alike, then
+some more, at last all that still lie in different parts; parts that a link has
+joined need no further pair.  No number of partners is capped.  A sketch deals a set over 384 bins and keeps four bits of the least
 value of each, so a set with fewer values than bins is kept almost whole.
 
 At the least similarity asked for, 0.75, a pair misses all 40 bands of 5 values
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 
 from leadloom.llm.common import byte_slices, letter_words, mix, random_words, read, space_table, word_bounds, word_hashes
 from leadloom.llm.components import components
+from leadloom.operators.ordering import first_k
 from leadloom.session import settle
 
 WIDTH = 5
@@ -48,6 +51,8 @@ FIRST_MET = 4
 BINS = 384
 BITS = 4
 _WORDS = BINS // 64
+#: Pairs of each two parts that a round confirms; the last round confirms all that are left.
+ROUNDS = (1, 8, None)
 #: Deviations above the expected number of differing bins from which on a pair is too far apart.
 DEVIATIONS = 5
 
@@ -210,7 +215,10 @@ def first_met(shared: DataFrame) -> DataFrame:
 
 
 def rest_pairs(shared: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket that `roots` leaves in different parts and whose sizes and sketches allow a link, each pair once."""
+    """Pairs of a bucket that `roots` leaves in different parts and whose sizes and sketches allow a link, each pair once.
+
+    a, b, their parts (low, high) and in how many bins their sketches differ (apart).
+    """
     placed = settle(
         shared.select("key", "node", "size").join(roots.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left")
         .select("key", "node", "size", F.coalesce("root", "node").alias("root")), "near-placed")
@@ -233,7 +241,32 @@ def rest_pairs(shared: DataFrame, roots: DataFrame, classes: DataFrame, percent:
     # A pair may count as one of the main part in one bucket and not in another; what is left of such repeats goes by distinct.
     once = F.col("key") == F.array_min(F.array_intersect("x_bands", "y_bands"))
     met = x.join(y.hint("merge"), (F.col("key") == F.col("_key")) & apart & sizes & alike & once)
-    return settle(met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), "near-rest")
+    return settle(
+        met.select(
+            F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), F.least("x_root", "y_root").alias("low"),
+            F.greatest("x_root", "y_root").alias("high"), differing("x_sketch", "y_sketch").alias("apart")).distinct(), "near-rest")
+
+
+def joined_parts(rest: DataFrame, texts: DataFrame, percent: int) -> list[DataFrame]:
+    """Links (a, b) between parts, confirmed in rounds over the pairs of `rest`."""
+    own = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    found = []
+    for most in ROUNDS:
+        if rest.isEmpty():
+            break
+        chosen = rest if most is None else settle(first_k(rest, ["low", "high"], [F.col("apart"), F.col("a"), F.col("b")], most), "near-chosen")
+        links = settle(confirmed(chosen.select("a", "b").join(own, "a"), texts, percent), "near-links")
+        found.append(links)
+        if most is None:
+            break
+        parts = components(chosen.join(links, ["a", "b"], "left_semi").select(F.col("low").alias("a"), F.col("high").alias("b")))
+        parts = settle(parts, "near-parts")
+        for side in ("low", "high"):
+            rest = rest.join(parts.select(F.col("node").alias("_node"), F.col("root").alias("_root")), F.col(side) == F.col("_node"), "left").withColumn(
+                side, F.coalesce("_root", side)).drop("_node", "_root")
+        open_ = rest.where(F.col("low") != F.col("high")).join(chosen.select("a", "b"), ["a", "b"], "left_anti")
+        rest = settle(open_.select("a", "b", F.least("low", "high").alias("low"), F.greatest("low", "high").alias("high"), "apart"), "near-rest")
+    return found
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -253,10 +286,9 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     met = texts.select(F.col("node").alias("a"), F.explode("partners").alias("b"), F.col("text").alias("text_a"))
     links = settle(confirmed(met, texts, percent), "near-links")
     roots = settle(components(links), "near-roots")
-    rest = rest_pairs(shared, roots, classes, percent).join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    more = settle(confirmed(rest, texts, percent), "near-links")
-    if not more.isEmpty():
-        roots = settle(components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "near-roots")
+    more = joined_parts(rest_pairs(shared, roots, classes, percent), texts, percent)
+    if more and not all(links.isEmpty() for links in more):
+        roots = settle(components(reduce(DataFrame.unionByName, more, roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "near-roots")
     placed = settle(
         classes.select("cls", "node").join(roots.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left")
         .select(F.col("cls").alias("_cls"), F.coalesce("root", "node").alias("_component")), "near-components")
