@@ -70,14 +70,15 @@ def draft_prompts(targets: DataFrame, offer: DataFrame, few_shot: DataFrame | No
                   template: str = P.DRAFT_TEMPLATE) -> DataFrame:
     """(domain, to_email, prompt) per target that is not skipped.
 
-    The offer is one row (of several, the least) and the few-shot list has a
-    fixed length, so both come in as scalar subqueries.
+    The offer is one row (of several, the least) and the few-shot file is as
+    long as its writer's limit, so both come in as scalar subqueries; all
+    examples of the file are used, in the order of their columns.
     """
     chosen = offer.agg(F.min(F.struct(*offer.columns))).scalar()
     few = F.lit("")
     if few_shot is not None:
-        examples = F.collect_list(F.struct(*few_shot.columns))
-        few = few_shot.limit(fixed.FEW_SHOT_LIMIT).agg(examples.alias("x")).select(P.few_shot_block("x")).scalar()
+        examples = F.array_sort(F.collect_list(F.struct(*few_shot.columns)))
+        few = few_shot.agg(examples.alias("x")).select(P.few_shot_block("x")).scalar()
     ready = targets.where(F.col("skip_reason").isNull()).withColumn("__offer", chosen).withColumn("__few", few)
     feedback = F.col("previous_feedback") if "previous_feedback" in targets.columns else F.lit(None).cast("string")
     company = F.coalesce(F.nullif("company_name", F.lit("")), F.col("domain"))

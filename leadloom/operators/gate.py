@@ -86,12 +86,9 @@ def verdicts(items: DataFrame, reviewed_before: int, key: list[Column]) -> DataF
     )
 
 
-def needs_sampling(reviewed_so_far: Column, overall: Column, key: list[Column]) -> Column:
-    return (
-        (reviewed_so_far < fixed.ALWAYS_REVIEWED)
-        | (F.coalesce(overall, F.lit(0)) <= fixed.BORDERLINE_OVERALL)
-        | Q.hash_sampled(*key)
-    )
+def needs_sampling(reviewed_so_far: Column, overall: Column, key: list[Column], always: int = fixed.ALWAYS_REVIEWED,
+                   borderline: float = fixed.BORDERLINE_OVERALL, percent: int = fixed.REVIEW_PERCENT) -> Column:
+    return (reviewed_so_far < always) | (F.coalesce(overall, F.lit(0)) <= borderline) | Q.hash_sampled(*key, percent=percent)
 
 
 def evaluation_order(queue: DataFrame, pos: str = "pos") -> DataFrame:

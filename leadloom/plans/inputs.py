@@ -142,7 +142,7 @@ VIEWS = {
     "v_reply_answers": """
         SELECT id,
                CASE WHEN id % 11 = 0 THEN 'not json'
-                    WHEN id % 3 = 0 THEN concat('```json', chr(10), '{"sentiment": "positive", "confidence": ', 1 + id % 10, '}', chr(10), '```')
+                    WHEN id % 3 = 0 THEN concat('```json', chr(10), '{"sentiment": "positive", "confidence": ', 1 + id % 10, CASE WHEN id % 4 = 1 THEN '.5' ELSE '' END, '}', chr(10), '```')
                     WHEN id % 3 = 1 THEN concat('{"confidence": ', 1 + id % 10, ', "reasoning": "unclear"}')
                     ELSE concat(' {"sentiment": "negative", "confidence": ', 1 + id % 10, '} ') END AS raw_text,
                CASE WHEN id % 13 = 5 THEN '503 overloaded' END AS error

@@ -102,7 +102,8 @@ VERDICTS = f"""
     o_verdicts AS (
         SELECT *, CASE verdict WHEN 'fail_automated' THEN array_to_string(rule_violations, '; ') WHEN 'fail_judge_error' THEN problem
                        WHEN 'fail_judge' THEN coalesce(feedback, '{fixed.DEFAULT_JUDGE_FEEDBACK}') ELSE '' END AS violations,
-               verdict <> 'pass' OR seq + {BEFORE} < 50 OR coalesce(overall, 0) <= 7 AS surely_reviewed
+               verdict <> 'pass' OR seq + {BEFORE} < 50 OR coalesce(overall, 0) <= 7 AS surely_reviewed,
+               CAST(concat('0x', substr(md5(concat(email_key, '|', CAST(step AS VARCHAR))), 1, 8)) AS BIGINT) % 100 < {fixed.REVIEW_PERCENT} AS drawn
         FROM (SELECT r.*, s.problem, s.grounding, s.overall, s.feedback, o.seq,
                      CASE WHEN len(rule_violations) > 0 THEN 'fail_automated' WHEN s.problem IS NOT NULL THEN 'fail_judge_error'
                           WHEN coalesce(s.grounding, 0) >= 8 AND coalesce(s.overall, 0) >= 7 THEN 'pass' ELSE 'fail_judge' END AS verdict
@@ -215,16 +216,15 @@ def qa_13(t):
     return judged_queue(t).select("pos", sure.alias("surely_reviewed"))
 
 
-@query("qa_13_review_draw")
+@query("qa_13_review_draw", f"WITH {VERDICTS} SELECT pos, drawn FROM o_verdicts")
 def qa_13_draw(t):
-    """Share of passes that the repeatable hash draw picks."""
-    drawn = judged_queue(t).withColumn("drawn", Q.hash_sampled(F.col("email_key"), F.col("step")))
-    return drawn.groupBy("verdict").agg(F.count(F.lit(1)).alias("items"), F.count_if("drawn").alias("drawn"))
+    """Which items the repeatable draw picks."""
+    return judged_queue(t).select("pos", Q.hash_sampled(F.col("email_key"), F.col("step")).alias("drawn"))
 
 
-@query("qa_14_verdicts", f"WITH {VERDICTS} SELECT pos, verdict, violations FROM o_verdicts")
+@query("qa_14_verdicts", f"WITH {VERDICTS} SELECT pos, verdict, violations, surely_reviewed OR drawn AS needs_human_review FROM o_verdicts")
 def qa_14(t):
-    return judged_queue(t).select("pos", "verdict", F.array_join("violations", "; ").alias("violations"))
+    return judged_queue(t).select("pos", "verdict", F.array_join("violations", "; ").alias("violations"), "needs_human_review")
 
 
 # ------------------------------------------------------------------ the gate
@@ -285,10 +285,11 @@ def jn_10(t):
 @query("ag_13_gate_summary", f"""
     WITH {VERDICTS}
     SELECT count(*) AS total, count(*) FILTER (WHERE verdict = 'pass') AS passed, count(*) FILTER (WHERE verdict = 'fail_automated') AS failed_automated,
-           count(*) FILTER (WHERE verdict IN ('fail_judge', 'fail_judge_error')) AS failed_judge FROM o_verdicts""")
+           count(*) FILTER (WHERE verdict IN ('fail_judge', 'fail_judge_error')) AS failed_judge,
+           count(*) FILTER (WHERE verdict = 'pass' AND (surely_reviewed OR drawn)) AS needs_review, CAST(0 AS BIGINT) AS redrafted FROM o_verdicts""")
 def ag_13(t):
     summary = G.gate_summary(judged_queue(t), t("v_queue"))
-    return summary.select("total", "passed", "failed_automated", "failed_judge")
+    return summary.select("total", "passed", "failed_automated", "failed_judge", "needs_review", "redrafted")
 
 
 @query("set_04_review_set", f"WITH {VERDICTS} SELECT pos, verdict FROM o_verdicts WHERE surely_reviewed")

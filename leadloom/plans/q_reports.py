@@ -178,7 +178,7 @@ def sl_04(t):
 CLEAN = r"regexp_replace(regexp_replace(trim(raw_text, concat(' ', chr(10))), '^```(json)?\s*', ''), '\s*```$', '')"
 SENTIMENTS = f"""
     o_read AS (SELECT id, problem, CASE WHEN problem IS NULL THEN coalesce(json_extract_string(j, '$.sentiment'), 'neutral') END AS sentiment,
-                      CASE WHEN problem IS NULL THEN CAST(json_extract_string(j, '$.confidence') AS INT) END AS confidence
+                      CASE WHEN problem IS NULL THEN CAST(json_extract_string(j, '$.confidence') AS DOUBLE) END AS confidence
                FROM (SELECT id, CASE WHEN json_valid(body) THEN body END AS j, CASE WHEN error IS NOT NULL THEN error WHEN NOT json_valid(body) THEN 'invalid JSON' END AS problem
                      FROM (SELECT id, error, {CLEAN} AS body FROM <<v_reply_answers>>) a) b)
 """
@@ -186,7 +186,7 @@ SENTIMENTS = f"""
 
 def stored_replies(t: Inputs):
     nothing = F.lit(None)
-    return t("v_replies").withColumn("sentiment_confidence", nothing.cast("int")).withColumn(
+    return t("v_replies").withColumn("sentiment_confidence", nothing.cast("double")).withColumn(
         "classified_at", nothing.cast("timestamp")
     )
 

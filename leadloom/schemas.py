@@ -43,7 +43,7 @@ ANALYSIS = T.StructType(
 )
 DRAFT_ITEMS = rows(step=INT, subject=TEXT, body=TEXT)
 JUDGE_SCORES = row(grounding=SCORE, specificity=SCORE, peer_tone=SCORE, would_reply=SCORE, overall=SCORE, feedback=TEXT)
-SENTIMENT = row(sentiment=TEXT, confidence=INT, reasoning=TEXT)
+SENTIMENT = row(sentiment=TEXT, confidence=SCORE, reasoning=TEXT)
 OFFER = row(
     your_company_name=TEXT, sender_name=TEXT, what_you_sell=TEXT, icp_description=TEXT, cta_style=TEXT,
     proof_points=rows(claim=TEXT, detail=TEXT), example_emails=rows(subject=TEXT, body=TEXT),
@@ -68,7 +68,7 @@ SEND_LOG = row(
 MAILBOX_DAILY_COUNTS = row(mailbox=TEXT, day=DAY, count=LONG)
 REPLIES = row(
     id=LONG, email=TEXT, step=INT, subject=TEXT, body_text=TEXT, received_at=TIME, sentiment=TEXT,
-    sentiment_confidence=INT, classified_at=TIME,
+    sentiment_confidence=SCORE, classified_at=TIME,
 )
 PROCESSED_REPLIES = row(uid=TEXT, processed_at=TIME, classification=TEXT)
 INBOUND = row(uid=TEXT, from_addr=TEXT, subject=TEXT, body=TEXT, full_text=TEXT, received_at=TIME)

@@ -139,7 +139,7 @@ def read_filled_gaps(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Stored pages, the home page before the rest of a domain."""
+    """Stored pages as they lie; `pages.visited_pages` and `pages.cap_pages` put the home page first."""
     return spark.read.parquet(path)
 
 

@@ -38,9 +38,10 @@ def write_contacts_summary(results: DataFrame, path: str) -> None:
 
 def write_artefacts(results: DataFrame, path: str, buckets: int = 64) -> None:
     """One row per domain, in a fixed number of folders: a folder per domain
-    would be millions of small files."""
+    would be millions of small files.  A folder gets as many files as its size
+    asks for, so the number of folders does not bound the number of tasks."""
     bucketed = results.withColumn("bucket", F.pmod(F.xxhash64("domain"), F.lit(buckets)).cast("int"))
-    write_table(bucketed.repartition("bucket"), path, partition_by="bucket")
+    write_table(bucketed.hint("rebalance", "bucket"), path, partition_by="bucket")
 
 
 def write_queue(queue: DataFrame, path: str) -> None:
