@@ -3,6 +3,17 @@
 The stages keep texts of a known language, drop toxic ones, keep one document of
 each near-duplicate group, mix the sources, and encode what is left.  All but
 the last return the columns of `documents`.
+
+Defined cases: texts that are null, empty or without letters are of no known
+language and go at the first stage, so later stages meet none; rows without an
+id are kept by the near-duplicate stage, as nothing names them, and are encoded
+with a null id; repeated rows with one id and text count as copies of each other
+and one of them stays; ties between copies go to the smallest id; a text of any
+length is one row throughout; rows without labels or language teach nothing but
+are judged; a null source is a source of its own and comes last; the mix may
+repeat a row or take none of it; extra columns, also with names that operators
+use, pass through to the last stage, which returns doc_id, n_tokens and the two
+digests; an empty table gives an empty result.
 """
 
 from __future__ import annotations
