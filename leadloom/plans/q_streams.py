@@ -65,24 +65,24 @@ def jn_04(t):
 @query("src_04_crawl_artefacts", f"WITH {CRAWL} SELECT domain, status, CASE WHEN usable THEN pages ELSE 0 END AS pages FROM o_crawl")
 def src_04(t):
     out = path(t, "artefacts")
-    crawl(t).repartition("domain").write.partitionBy("domain").json(out)
-    back = RD.read_crawl_results(t.spark, out, "*.json")
+    WR.write_json_artefacts(crawl(t), out, buckets=8)
+    back = RD.read_crawl_results(t.spark, out, bucketed=True)
     return back.select("domain", "status", F.size("pages").cast("long").alias("pages"))
 
 
 @query("src_05_contacts_artefacts", f"WITH {RESULTS} SELECT domain, status, contacts_found, best_email FROM o_results")
 def src_05(t):
     out = path(t, "contacts")
-    results(t).repartition("domain").write.partitionBy("domain").json(out)
-    back = C.contacts_summary(RD.read_contacts_results(t.spark, out, "*.json"))
+    WR.write_json_artefacts(results(t), out, buckets=8)
+    back = C.contacts_summary(RD.read_contacts_results(t.spark, out, bucketed=True))
     return back.select("domain", "status", F.col("contacts_found").cast("long").alias("contacts_found"), "best_email")
 
 
 @query("src_06_analysis_artefacts", f"WITH {ANALYSES} SELECT domain, status, hooks FROM o_final")
 def src_06(t):
     out = path(t, "analyses")
-    analyses(t).repartition("domain").write.partitionBy("domain").json(out)
-    back = RD.read_analyses(t.spark, out, "*.json")
+    WR.write_json_artefacts(analyses(t), out, buckets=8)
+    back = RD.read_analyses(t.spark, out, bucketed=True)
     return back.select("domain", "status", F.when(F.col("hooks").isNull(), -1).otherwise(F.size("hooks")).alias("hooks"))
 
 

@@ -63,24 +63,27 @@ def only_domains(df: DataFrame, wanted: DataFrame) -> DataFrame:
     return df.join(wanted.select(F.col("domain").alias("__w")), F.col("domain") == F.col("__w"), "left_semi")
 
 
-def read_artefacts(spark: SparkSession, folder: str, files: str, schema) -> DataFrame:
+def read_artefacts(spark: SparkSession, folder: str, files: str, schema, bucketed: bool = False) -> DataFrame:
     """JSON files in one folder per domain; the folder's name is the domain
-    (`acme.com` or `domain=acme.com`)."""
+    (`acme.com` or `domain=acme.com`).  `bucketed`: as `write_json_artefacts`
+    leaves them, one row a line, many domains a file, files that split."""
+    if bucketed:
+        return spark.read.schema(schema).json(folder)
     df = spark.read.schema(schema).option("multiLine", True).json(f"{folder}/*/{files}")
     named = F.regexp_extract(F.col("_metadata.file_path"), r"/(?:domain=)?([^/=]+)/[^/]+$", 1)
     return df.withColumn("domain", F.url_decode(named))
 
 
-def read_crawl_results(spark: SparkSession, folder: str, files: str = "crawl_result.json") -> DataFrame:
-    return read_artefacts(spark, folder, files, schemas.CRAWL_RESULT)
+def read_crawl_results(spark: SparkSession, folder: str, files: str = "crawl_result.json", bucketed: bool = False) -> DataFrame:
+    return read_artefacts(spark, folder, files, schemas.CRAWL_RESULT, bucketed)
 
 
-def read_contacts_results(spark: SparkSession, folder: str, files: str = "contacts.json") -> DataFrame:
-    return read_artefacts(spark, folder, files, schemas.CONTACTS_RESULT)
+def read_contacts_results(spark: SparkSession, folder: str, files: str = "contacts.json", bucketed: bool = False) -> DataFrame:
+    return read_artefacts(spark, folder, files, schemas.CONTACTS_RESULT, bucketed)
 
 
-def read_analyses(spark: SparkSession, folder: str, files: str = "analysis.json") -> DataFrame:
-    return read_artefacts(spark, folder, files, schemas.ANALYSIS)
+def read_analyses(spark: SparkSession, folder: str, files: str = "analysis.json", bucketed: bool = False) -> DataFrame:
+    return read_artefacts(spark, folder, files, schemas.ANALYSIS, bucketed)
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -60,3 +60,9 @@ def write_gaps(results: DataFrame, path: str) -> None:
 
 def write_few_shot(examples: DataFrame, path: str) -> None:
     write_json(examples, path)
+
+
+def write_json_artefacts(results: DataFrame, path: str, buckets: int = 64) -> None:
+    """The same as lines of JSON, for what other programs read."""
+    bucketed = results.withColumn("bucket", F.pmod(F.xxhash64("domain"), F.lit(buckets)).cast("int"))
+    bucketed.hint("rebalance", "bucket").write.mode("error").partitionBy("bucket").json(path)

@@ -480,3 +480,17 @@ def test_stages_end_to_end(spark):
     plan = stages.run_send_plan(s, passed.select("pos", "to_email", "subject", "body", "step"), spark.createDataFrame([], schemas.LEADS), suppression(spark), boxes,
                                 spark.createDataFrame([], "mailbox string, count long"))
     assert [r.decision for r in plan.orderBy("pos").collect()] == ["sent", "sent"]
+
+
+# ----------------------------------------------------------------- artefacts
+def test_artefacts_by_domain_and_by_bucket(spark, tmp_path):
+    """A folder per domain, whose name decides, and buckets of lines read alike."""
+    for domain in ("a.com", "domain=b.com"):
+        (tmp_path / "one" / domain).mkdir(parents=True)
+        (tmp_path / "one" / domain / "crawl_result.json").write_text('{"domain": "other",\n "status": "ok",\n "emails": ["x@y.z"]}')
+    by_domain = readers.read_crawl_results(spark, str(tmp_path / "one"))
+    assert sorted((r.domain, r.status, r.emails) for r in by_domain.collect()) == [("a.com", "ok", ["x@y.z"]), ("b.com", "ok", ["x@y.z"])]
+    rows = spark.createDataFrame([(f"{i}.com", "ok", [f"m@{i}.com"]) for i in range(50)], "domain string, status string, emails array<string>")
+    writers.write_json_artefacts(rows, str(tmp_path / "many"), buckets=4)
+    back = readers.read_crawl_results(spark, str(tmp_path / "many"), bucketed=True)
+    assert sorted((r.domain, r.emails) for r in back.collect()) == sorted((f"{i}.com", [f"m@{i}.com"]) for i in range(50))
