@@ -73,12 +73,12 @@ RULES = f"""
     {CLAIMS}, {GROUNDED}, o_grades AS ({grade_sql('<<v_queue_keyed>>', 'pos')}),
     o_rules AS (
         SELECT q.*, list_filter([
-            CASE WHEN {WORDS} > 90 THEN concat('body exceeds 90 words (', {WORDS}, ' words)') END,
+            CASE WHEN {WORDS} > 90 THEN concat('body over 90 words (', {WORDS}, ' words)') END,
             CASE WHEN step = 1 AND {LINKS} THEN '{fixed.VIOLATION_LINKS}' END,
             CASE WHEN {IMAGES} THEN '{fixed.VIOLATION_IMAGE}' END,
-            CASE WHEN len({leak_list("concat(subject, ' ', body)")}) > 0 THEN concat('merge-tag/template leak detected: ["', array_to_string({leak_list("concat(subject, ' ', body)")}, '", "'), '"]') END,
-            CASE WHEN len({BANNED}) > 0 THEN concat('banned phrase(s) found: [''', array_to_string({BANNED}, ''', '''), ''']') END,
-            CASE WHEN g.grade > 8 THEN concat('reading grade too high (', g.grade, ', max 8)') END,
+            CASE WHEN len({leak_list("concat(subject, ' ', body)")}) > 0 THEN concat('unfilled template parts: ["', array_to_string({leak_list("concat(subject, ' ', body)")}, '", "'), '"]') END,
+            CASE WHEN len({BANNED}) > 0 THEN concat('phrases not allowed: [''', array_to_string({BANNED}, ''', '''), ''']') END,
+            CASE WHEN g.grade > 8 THEN concat('reading grade over the limit (', g.grade, ', max 8)') END,
             CASE WHEN step = 1 AND h.grounded IS NOT NULL AND NOT h.grounded THEN '{fixed.VIOLATION_UNGROUNDED}' END
         ], lambda v : v IS NOT NULL) AS rule_violations
         FROM <<v_queue_keyed>> q JOIN o_grades g ON g.pos = q.pos LEFT JOIN o_hits h ON h.pos = q.pos)
@@ -187,10 +187,10 @@ def qa_09(t):
 
 @query("qa_10_draft_check", f"""
     SELECT pos, array_to_string(list_filter([
-            CASE WHEN {WORDS} > 90 THEN concat('body exceeds 90 words (', {WORDS}, ' words)') END,
+            CASE WHEN {WORDS} > 90 THEN concat('body over 90 words (', {WORDS}, ' words)') END,
             CASE WHEN step = 1 AND {LINKS} THEN '{fixed.VIOLATION_LINKS}' END,
-            CASE WHEN len({leak_list("concat(subject, ' ', body)")}) > 0 THEN concat('merge-tag/template leak detected: ["', array_to_string({leak_list("concat(subject, ' ', body)")}, '", "'), '"]') END,
-            CASE WHEN len({BANNED}) > 0 THEN concat('banned phrase(s) found: [''', array_to_string({BANNED}, ''', '''), ''']') END
+            CASE WHEN len({leak_list("concat(subject, ' ', body)")}) > 0 THEN concat('unfilled template parts: ["', array_to_string({leak_list("concat(subject, ' ', body)")}, '", "'), '"]') END,
+            CASE WHEN len({BANNED}) > 0 THEN concat('phrases not allowed: [''', array_to_string({BANNED}, ''', '''), ''']') END
         ], lambda v : v IS NOT NULL), '; ') AS violations FROM <<v_queue>>""")
 def qa_10(t):
     return t("v_queue").select("pos", F.array_join(Q.draft_violations("subject", "body", "step"), "; ").alias("violations"))

@@ -114,11 +114,11 @@ def jn_16(t):
 
 @query("fb_02_health_warnings", f"""
     WITH {METRICS}
-    SELECT variant, CASE WHEN NOT sufficient_sample THEN concat('sample size (', sent, ') below the 200 minimum -- rates below aren''t trustworthy yet, keep sending before drawing conclusions')
+    SELECT variant, CASE WHEN NOT sufficient_sample THEN concat('only ', sent, ' sent of the 200 that rates need to be reliable')
         ELSE array_to_string(list_filter([
-            CASE WHEN bounce_rate > 0.02 THEN concat('bounce rate ', printf('%.1f%%', bounce_rate * 100), ' exceeds 2.0% -- stop sending this variant and check list quality / mailbox health') END,
-            CASE WHEN reply_rate < 0.05 THEN concat('reply rate ', printf('%.1f%%', reply_rate * 100), ' below healthy floor 5.0%') END,
-            CASE WHEN positive_rate < 0.01 THEN concat('positive-reply rate ', printf('%.1f%%', positive_rate * 100), ' below healthy floor 1.0%') END
+            CASE WHEN bounce_rate > 0.02 THEN concat('bounce rate ', printf('%.1f%%', bounce_rate * 100), ' is over 2.0%: pause this variant, then look at the list and the mailboxes') END,
+            CASE WHEN reply_rate < 0.05 THEN concat('reply rate ', printf('%.1f%%', reply_rate * 100), ' is under 5.0%') END,
+            CASE WHEN positive_rate < 0.01 THEN concat('rate of positive replies ', printf('%.1f%%', positive_rate * 100), ' is under 1.0%') END
         ], lambda w : w IS NOT NULL), '; ') END AS warnings FROM o_metrics""")
 def fb_02(t):
     return B.health_warnings(metrics(t)).select("variant", F.array_join("warnings", "; ").alias("warnings"))
@@ -156,8 +156,8 @@ def jn_17(t):
 
 @query("an_15_few_shot_block", f"""
     WITH {FEW} SELECT concat('Emails that got a positive reply (style only, no facts from them):', chr(10),
-        string_agg(concat(chr(10), '- Company: ', company_name, chr(10), '  Grounded in: ', grounding, chr(10), '  Subject that worked: "', subject, '"', chr(10),
-                          '  They replied: "', substr(reply_text, 1, 150), '"'), chr(10) ORDER BY received_at DESC, id DESC)) AS block FROM o_examples""")
+        string_agg(concat(chr(10), '- For: ', company_name, chr(10), '  Built on: ', grounding, chr(10), '  Subject line: "', subject, '"', chr(10),
+                          '  Answer: "', substr(reply_text, 1, 150), '"'), chr(10) ORDER BY received_at DESC, id DESC)) AS block FROM o_examples""")
 def an_15(t):
     return examples(t).agg(
         P.few_shot_block(F.collect_list(F.struct("domain", "company_name", "subject", "grounding", "reply_text"))).alias("block")

@@ -195,7 +195,7 @@ def test_rule_checks(spark):
     assert column(spark, ["Hi {{x}} NAME null", "Dear name"], Q.leaks) == [
         ["double_curly: '{{x}}'", "literal_null: 'null'", "literal_name_token: 'NAME'"], []]
     assert column(spark, ["Great SYNERGY, just following up"], Q.banned_phrases) == [["just following up", "synergy"]]
-    assert column(spark, ["x " * 91, "x " * 90], Q.length_violation) == ["body exceeds 90 words (91 words)", None]
+    assert column(spark, ["x " * 91, "x " * 90], Q.length_violation) == ["body over 90 words (91 words)", None]
 
 
 def test_message_classes(spark):

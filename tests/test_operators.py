@@ -153,7 +153,7 @@ def test_gate(spark):
     judged = stages.run_gate(stages.Settings(as_of(), reviewed_before=100), queue, known, spark.createDataFrame(scores, "pos int, raw_text string, error string"))
     got = {r.pos: (r.verdict, r.violations) for r in judged.collect()}
     assert got[0] == ("pass", []) and got[1] == ("fail_judge", ["vague"]) and got[4] == ("fail_judge_error", ["503"])
-    assert got[2][1][0] == "email step 1 must not contain links" and got[3] == ("fail_automated", ["no verified detail from analysis.json referenced in body"])
+    assert got[2][1][0] == "the first mail holds a link" and got[3] == ("fail_automated", ["the body refers to no verified detail"])
     summary = gate.gate_summary(judged, queue).first()
     assert (summary.total, summary.passed, summary.failed_automated, summary.failed_judge, summary.redrafted) == (5, 1, 2, 2, 0)
 
@@ -367,14 +367,14 @@ def log_row(i, email, step, subject, status="sent"):
 def test_reports_and_variants(spark):
     log = spark.createDataFrame([log_row(1, "a@x.io", 1, "Quick Q"), log_row(2, "b@x.io", 1, "Other"), log_row(3, "a@x.io", 2, "Re: quick q", "failed")], schemas.SEND_LOG)
     leads = spark.createDataFrame([("a@x.io", "x.io", None, 1, "replied", None, None, T0, T0, None), ("b@x.io", "x.io", None, 1, "active", None, None, T0, T0, None)], schemas.LEADS)
-    replies = spark.createDataFrame([(1, "a@x.io", 1, "Re", "yes", T0, "positive", 9, T0), (2, "b@x.io", 1, "Re", "no", T0, "negative", 9, T0)], schemas.REPLIES)
+    replies = spark.createDataFrame([(1, "a@x.io", 1, "Re", "yes", T0, "positive", 9.0, T0), (2, "b@x.io", 1, "Re", "no", T0, "negative", 9.0, T0)], schemas.REPLIES)
     summary = reports.campaign_summary(leads, log).first()
     assert (summary.reply_rate, summary.total_sent, summary.total_failed) == (0.5, 2, 1)
     assert reports.campaign_summary(leads, log.limit(0)).first().reply_rate == 0.0
     metrics = {r.variant: r for r in feedback.variant_metrics(log, leads, replies).collect()}
     assert metrics["quick q"].positive_rate == 1.0 and metrics["quick q"].reply_rate == 1.0 and not metrics["quick q"].sufficient_sample
     warned = feedback.health_warnings(feedback.variant_metrics(log, leads, replies, min_sample=1)).where("variant = 'other'").first()
-    assert warned.warnings == ["reply rate 0.0% below healthy floor 5.0%", "positive-reply rate 0.0% below healthy floor 1.0%"]
+    assert warned.warnings == ["reply rate 0.0% is under 5.0%", "rate of positive replies 0.0% is under 1.0%"]
     known = spark.createDataFrame([("x.io", "X", [("h", "q1", "u", 8), ("h", "q2", "u", 8)])], "domain string, company_name string, hooks array<struct<hook:string,quote:string,source_url:string,specificity:int>>")
     shot = feedback.few_shot_examples(replies, leads, log, known).collect()
     assert [(s.subject, s.grounding, s.reply_text) for s in shot] == [("quick q", "q1; q2", "yes")]
