@@ -49,6 +49,8 @@ OWN = 0.1
 PAGES_PER_ARRAY = 128
 
 _ARTICLE = frozenset(("article", "main"))
+#: Elements that hold the whole page; their names say what else is on it.
+_PAGE = frozenset(("html", "body"))
 _CHROME = frozenset((
     "head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "textarea", "template", "noscript", "iframe", "svg", "object", "label",
 ))
@@ -171,7 +173,7 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
         counts[name] += 1
         if name in _ARTICLE and not (inside and zone == CHROME):
             zone = ARTICLE
-        elif name in _CHROME and not (name == "header" and zone == ARTICLE) or _named(attributes, inside):
+        elif name in _CHROME and not (name == "header" and zone == ARTICLE) or name not in _PAGE and _named(attributes, inside):
             zone = CHROME
     flush()
     return out

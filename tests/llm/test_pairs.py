@@ -307,3 +307,8 @@ def test_copies_keep_their_text(spark):
     assert all(found[100 + i] == f"{text}\n\nSeen {i}" for i in range(3))
     assert all(found[200 + i] == f"{text}\n\nSeen {i} times" for i in range(5))
     assert all(found[300 + i] == f"{text[::-1]} equal" for i in range(6))
+
+
+def test_names_on_the_whole_page_cost_no_text():
+    page = '<html class="no-js has-search"><body class="home has-sidebar"><div><p>The text.</p></div><div class="sidebar">Menu</div></body></html>'
+    assert html_extract.main_text(html_extract.blocks(page)) == "The text."
