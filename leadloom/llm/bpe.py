@@ -7,7 +7,8 @@ smallest rank until no pair is left.  Words over `LONG` bytes take the same step
 in a loop that contracts all places of the smallest pair at once, which gives
 the same tokens in fewer rounds.  Decoding joins the ids with the vocabulary
 and puts the bytes together by ordered aggregation.  Results of words are kept
-for the next texts in two generations of about `KEPT`, so memory is bounded.
+for the next texts of a task in two generations of about `KEPT`, so memory is
+bounded, and given back at its end.
 
 Defined cases: a null text is empty; an empty text has no tokens and both
 digests are those of nothing; special tokens' names are ordinary text; repeated
@@ -158,6 +159,13 @@ class Encoder:
         if fresh:
             self.known.update(self._encode_words(fresh))
 
+    def forget(self) -> None:
+        """Give back what a task has gathered: workers outlive it, and the operators after it need the memory."""
+        self.known, self.older = {}, {}
+        for name in ("fresh", "long_rows", "next_rows"):
+            self.engine.execute(f"DROP TABLE IF EXISTS {name}")
+        pa.default_memory_pool().release_unused()
+
     def texts(self, texts: list):
         """Per text: number of tokens, pieces of the ids as text, pieces of the decoded bytes."""
         at = 0
@@ -186,6 +194,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
         for batch in batches:
             ids = [[int(i) for _, part, _ in pieces for i in part.split(" ")] for pieces in encoder.texts(batch["text"].to_pylist())]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        encoder.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
@@ -203,6 +212,7 @@ def decode(rows: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
             for i, text in zip(found["word"].to_pylist(), found["hex"].to_pylist()):
                 texts[i] = bytes.fromhex(text)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.binary())], names=["doc_id", "decoded"])
+        encoder.forget()
 
     return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, decoded binary")
 
@@ -220,6 +230,7 @@ def digests(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        encoder.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
