@@ -52,6 +52,8 @@ TOXIC_FROM = 0.7
 LAMBDAS = np.linspace(0.2, 2.6, 13)
 _TABLE = 1 << 19
 _FOLDS = 2
+#: Rows of counts that a task holds per level before it gives them on.
+_HELD = 300_000
 #: Bands of a signature and values of each, by which copies among the labelled rows are found.
 _BANDS, _BAND_ROWS = 10, 3
 
@@ -144,8 +146,19 @@ def _merged(rows: list[tuple]) -> tuple:
     return cells, unit[at], above[at], fold[at], add(toxic), add(n)
 
 
+def _counted(level: int, rows: list[tuple]):
+    """Batches of the merged counts of a level."""
+    _, k, above, fold, t, n = _merged(rows)
+    for a in range(0, len(k), 100_000):
+        z = slice(a, a + 100_000)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(k[z]), level, np.int32)), pa.array(k[z].astype(np.int64)), pa.array(above[z].astype(np.int64)),
+             pa.array(fold[z].astype(np.int32)), pa.array(t[z]), pa.array(n[z])],
+            names=["level", "unit", "above", "fold", "toxic", "n"])
+
+
 def _count(batches):
-    """Texts and toxic texts per fold and unit, with the unit's next shorter prefix."""
+    """Texts and toxic texts per fold and unit, with the unit's next shorter prefix; given on whenever a level has `_HELD` rows."""
     kept: list[list] = [[] for _ in range(LEVELS)]
 
     for batch in batches:
@@ -159,18 +172,13 @@ def _count(batches):
                 k, above, t = key[has][once], parent[has][once], text[has][once] + first
                 cell = mix(k + fold[t].astype(np.uint64))
                 kept[level].append((cell, k, above, fold[t], toxic[t], np.ones(len(t), np.int64)))
-                if sum(len(x[0]) for x in kept[level]) > 1_500_000:
-                    kept[level] = [_merged(kept[level])]
+                if sum(len(x[0]) for x in kept[level]) > _HELD:
+                    yield from _counted(level, kept[level])
+                    kept[level] = []
                 parent = np.where(has, key, parent)
     for level, rows in enumerate(kept):
         if rows:
-            _, k, above, fold, t, n = _merged(rows)
-            for a in range(0, len(k), 100_000):
-                z = slice(a, a + 100_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(k[z]), level, np.int32)), pa.array(k[z].astype(np.int64)), pa.array(above[z].astype(np.int64)),
-                     pa.array(fold[z].astype(np.int32)), pa.array(t[z]), pa.array(n[z])],
-                    names=["level", "unit", "above", "fold", "toxic", "n"])
+            yield from _counted(level, rows)
 
 
 def _rates(counts: dict, folds, base: float) -> Rates:
