@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leadloom import schemas
 from leadloom.operators import analysis, contacts, feedback, gate, hygiene, inbound, ordering, pages, reports, sending, state
 from leadloom.plans import stages
+from leadloom.plans.catalog import load_all
 from leadloom.sources import readers, writers
 from leadloom.streaming import inbound_stream as IS
 from leadloom.streaming.keyed_table import KeyedTable
@@ -439,6 +440,20 @@ def test_robots_keys_follow_rule_lengths(spark):
         assert allowed == first
 
 
+def test_rule_prefix_query_judges_every_page(spark):
+    """jn_19 joins the keys with the rules and gives every page its verdict, also pages that share a URL or meet no rule."""
+    tables = {
+        "v_site_pages": spark.createDataFrame(
+            [(i, d, f"https://{d}{p}") for i, (d, p) in enumerate([("a.com", "/en/1"), ("a.com", "/en/1"), ("a.com", "/en/2"), ("a.com", "/x"), ("b.com", "/en"), ("c.com", "")])],
+            "pos long, domain string, url string"),
+        "v_robots": spark.createDataFrame(
+            [("a.com", "*", 1, True, "/en/1"), ("a.com", "*", 2, False, "/en"), ("b.com", "*", 1, True, "/en"), ("b.com", "LeadBot", 1, False, "/")],
+            "domain string, agent string, pos int, allow boolean, path string"),
+    }
+    found = load_all()["jn_19_rule_prefix"].run(tables.__getitem__)
+    assert sorted(tuple(r) for r in found.collect()) == [(False, 2), (True, 4)]
+
+
 def test_text_is_extracted_once(spark):
     """The plan that writes the pages holds the text's last step once, and the budget reads what was written."""
     visited = spark.createDataFrame(
