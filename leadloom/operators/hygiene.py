@@ -32,7 +32,10 @@ def is_parked(name_servers: Column, markers=None) -> Column:
 
 
 def with_domain(leads: DataFrame, url_column: str) -> DataFrame:
-    return leads.withColumn("domain", urls.registrable_domain(F.coalesce(F.col(url_column), F.lit(""))))
+    """Add `domain`, worked out once per row: conditions on what a generator gives are not
+    moved below it, where they would work it out again."""
+    domain = urls.registrable_domain(F.coalesce(F.col(url_column), F.lit("")))
+    return leads.select("*", F.explode(F.array(domain)).alias("__found")).withColumn("domain", F.col("__found")).drop("__found")
 
 
 def mark_duplicates(leads: DataFrame, pos: str = "pos", key: str = "domain") -> DataFrame:
