@@ -9,6 +9,7 @@ from leadloom import fixed_values as fixed
 from leadloom.functions import urls
 from leadloom.functions.text import all_matches, any_case, as_col, exact_case, strip
 from leadloom.operators.ordering import keep_first
+from leadloom.session import settle
 
 # pattern, case-insensitive?, group of the name, group of the title
 PROSE_PATTERNS = [
@@ -57,10 +58,16 @@ def names_other_company(after: Column, own_key: Column) -> Column:
 
 
 def prose_people(pages: DataFrame, pos: str = "pos") -> DataFrame:
-    """(domain, pos, place, name, title) of every accepted mention."""
+    """(domain, pos, place, name, title) of every accepted mention.
+
+    The outer generator gives a page without mentions one empty row, dropped
+    behind it; the plain one would search every text twice, first for whether
+    there is any.
+    """
     mentions = (
         pages.where(F.col("page_type").isin(fixed.PROSE_PAGE_TYPES))
-        .select("domain", F.col(pos).alias("pos"), F.posexplode(prose_mentions("text")).alias("place", "m"))
+        .select("domain", F.col(pos).alias("pos"), F.posexplode_outer(prose_mentions("text")).alias("place", "m"))
+        .where(F.col("place").isNotNull())
         .select("domain", "pos", "place", F.col("m.name").alias("name"), F.col("m.title").alias("title"),
                 F.col("m.after").alias("after"))
     )
@@ -93,6 +100,7 @@ def named_people(structural: DataFrame, prose: DataFrame, officers: DataFrame |
     structural: domain, pos, name, title; prose: domain, pos, place, name,
     title; officers (only for domains that name nobody): domain, pos, name,
     title.  Result: domain, pos, name, title, where pos is a sortable struct.
+    With officers the others are written once, since they are read twice.
     """
     def rows(df: DataFrame, source: int, place: Column) -> DataFrame:
         order = F.struct(F.lit(source).alias("source"), F.col("pos").cast("long").alias("pos"), place.cast("int").alias("place"))
@@ -100,6 +108,7 @@ def named_people(structural: DataFrame, prose: DataFrame, officers: DataFrame |
 
     found = rows(structural, 0, F.lit(0)).unionByName(rows(prose, 1, F.col("place")))
     if officers is not None:
+        found = settle(found, "found-people")
         with_people = found.select(F.col("domain").alias("__d")).distinct()
         silent = officers.join(with_people, F.col("domain") == F.col("__d"), "left_anti")
         found = found.unionByName(rows(silent, 2, F.lit(0)))
