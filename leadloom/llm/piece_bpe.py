@@ -29,7 +29,7 @@ import hashlib
 import re
 import string
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +42,8 @@ _SLICE = 1 << 20
 _SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _BAD = "�"
+#: Runs of bytes among decoded pieces and the mark of an id that shows nothing, as code points that no text holds.
+_BYTES, _NOTHING = re.compile("[\udc00-\udcff]+"), "\udd00"
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -113,6 +115,21 @@ def _cutting(texts: list[str]) -> str:
     return rf"{_SPACE}*+{letters}++(?![{m}])|{_SPACE}*+{other}++(?![{m}])|{_SPACE}++(?=[0-9\n]|\Z)|[0-9]|\n+|{_SPACE}*[^{_SPACE}]+"
 
 
+class _Shown(dict):
+    """What an id, written in decimal, stands for: pieces with the sign for a space, a byte as one code point of `_BYTES`, `_NOTHING` for controls and ids outside the model: they part bytes."""
+
+    def __init__(self, pieces: list[tuple[str, float, int]]):
+        def shown(text: str, kind: int) -> str:
+            if kind == _BYTE:
+                return chr(0xDC00 + int(text[1:-1], 16))
+            return {_NORMAL: text, _UNKNOWN: " ⁇ "}.get(kind, _NOTHING)
+
+        super().__init__((str(i), shown(text, kind)) for i, (text, _, kind) in enumerate(pieces))
+
+    def __missing__(self, code: str) -> str:
+        return _NOTHING
+
+
 class _Codes(dict):
     """Ids as text by piece; a character that is no piece has those of its bytes."""
 
@@ -148,6 +165,7 @@ class PieceCoder:
             self.automaton.add_word(text, text)
         self.automaton.make_automaton()
         self.codes = _Codes(self.ids, self.byte_ids)
+        self.shown = _Shown(self.pieces)
         self.chunks = re.compile(_cutting([text for text in self.ids if len(text) > 1])).findall
         self.pairs: dict[str, dict[str, bool]] = {text: {} for text in reached}
         self.n_pairs = 0
@@ -274,31 +292,22 @@ class PieceCoder:
 
     def decode(self, ids: list[int]) -> str:
         """The text of any ids; bytes that are no character become one mark each, an id outside the model nothing."""
-        out, run, started = [], bytearray(), False
-
-        def close() -> None:
-            data, at = bytes(run), 0
-            while at < len(data):
-                size = next((n for n in (1, 2, 3, 4) if _is_character(data[at: at + n])), 0)
-                out.append(data[at: at + size].decode() if size else _BAD)
-                at += size or 1
-            run.clear()
-
-        for i in ids:
-            text, _, kind = self.pieces[i] if i is not None and 0 <= i < len(self.pieces) else ("", 0.0, _CONTROL)
-            if kind == _BYTE:
-                run.append(int(text[1:-1], 16))
-                continue
-            close()
-            if kind == _NORMAL:
-                first = not started and not any(out)
-                started = True
-                out.append((text.removeprefix(_SPACE) if first else text).replace(_SPACE, " "))
-            elif kind == _UNKNOWN:
-                started = True
-                out.append(" ⁇ ")
-        close()
-        return "".join(out)
+        return self.spell(map(str, ids))
+
+    def spell(self, codes: Iterable[str]) -> str:
+        """The same from ids in decimal.  The space put first goes where the first id that shows is a piece with one."""
+        text = "".join(map(self.shown.__getitem__, codes)).strip(_NOTHING).removeprefix(_SPACE).replace(_SPACE, " ")
+        return text if text.isascii() else _BYTES.sub(_characters, text).replace(_NOTHING, "")
+
+
+def _characters(run: re.Match) -> str:
+    """The characters of a run of bytes."""
+    data, at, out = bytes(ord(c) - 0xDC00 for c in run[0]), 0, []
+    while at < len(data):
+        size = next((n for n in (1, 2, 3, 4) if _is_character(data[at: at + n])), 0)
+        out.append(data[at: at + size].decode() if size else _BAD)
+        at += size or 1
+    return "".join(out)
 
 
 def _is_character(data: bytes) -> bool:
@@ -335,17 +344,18 @@ def decode(rows: DataFrame, model: bytes) -> DataFrame:
 
 
 def digests(docs: DataFrame, model: bytes) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the decoded text of every row, in one pass."""
+    """doc_id, n_tokens and the digests of the ids and of the text decoded from these ids, of every row in one pass."""
     def run(batches):
         coder = _coder(model)
         end = str(coder.end_id)
         for batch in batches:
             n, ids, decoded = [], [], []
             for found in coder.texts(batch["text"].to_pylist()):
-                counts, parts, texts = zip(*found) if found else ((), (), ())
-                n.append(sum(counts) + 1)
-                ids.append(hashlib.sha256(" ".join([*parts, end]).encode()).hexdigest())
-                decoded.append(hashlib.sha256("".join(texts)[1:].encode()).hexdigest())
+                coded = " ".join([*(part for _, part, _ in found), end])
+                codes = coded.split(" ")
+                n.append(len(codes))
+                ids.append(hashlib.sha256(coded.encode()).hexdigest())
+                decoded.append(hashlib.sha256(coder.spell(codes).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

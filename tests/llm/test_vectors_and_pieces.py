@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from public_tokenizers import path
@@ -95,6 +96,28 @@ def test_any_ids_decode_as_in_the_library(coder, library):
         assert coder.decode(ids) == library.decode(ids), ids
 
 
+def test_digests_decode_the_ids(spark, library, monkeypatch):
+    """The decoded text comes out of the ids: with every id shown by its number, so is the digest of the text."""
+    monkeypatch.setattr(piece_bpe.PieceCoder, "spell", lambda self, codes: "-".join(codes), raising=False)
+    coder, texts = piece_bpe.PieceCoder(piece_bpe.public_model()), ["one 两🙂 two", "", " a\x00b"]
+    monkeypatch.setattr(piece_bpe, "_coder", lambda model: coder)
+
+    class Here:
+        """Runs the work of the tasks in this process."""
+
+        schema = spark.createDataFrame([], "doc_id long, text string").schema
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, kind):
+            return [row for batch in run([pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": texts})]) for row in batch.to_pylist()]
+
+    for text, row in zip(texts, piece_bpe.digests(Here(), b"")):
+        ids = library.encode(text, add_eos=True)
+        assert row["ids_sha256"] == digest(" ".join(map(str, ids))) and row["decoded_sha256"] == digest("-".join(map(str, ids)))
+
+
 def test_models_of_another_sort_are_refused():
     with pytest.raises(ValueError, match="byte fallback"):
         piece_bpe.PieceCoder(b"")
