@@ -1,6 +1,7 @@
 """Column functions on single cases."""
 
 import datetime as dt
+import re
 from html import unescape
 from html.entities import html5
 
@@ -16,6 +17,7 @@ from leadloom.functions import schedule as S
 from leadloom.functions import suffixes, urls
 from leadloom.functions.dictionary import Dictionary
 from leadloom.functions.text import strip, words
+from leadloom.functions.text_counts import text_counts
 from leadloom.operators import contacts as C
 from leadloom.operators import pages as P
 from leadloom.operators import people as PE
@@ -308,3 +310,36 @@ def test_every_named_reference(spark):
     names = [f"&{name}" for name in html5]
     df = spark.createDataFrame([("|".join(names),)], "t string")
     assert df.select(H.decode_entities(F.col("t"))).first()[0] == unescape("|".join(names))
+
+
+ODD_TEXTS = [
+    "", " ", "...", "one", "a b　c d e", "​x y\u0085z", "It's 'the' end. e! Able? table rhythm", "no. .yes . \x1f.", "é’😀 ıs\x00 so",
+    "'", "a''e", "queue\nE eye", "x" * 5000 + " e." * 3000,
+]
+
+
+def brute_counts(text):
+    spaces = {*map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])}
+    words = "".join(" " if c in spaces else "x" for c in text).split()
+    stretches = [s for s in re.split("[.!?]", text) if set(s) - spaces]
+    syllables = 0
+    for word in re.findall("[a-zA-Z]+", text.replace("'", "")):
+        runs = len(re.findall("[aeiouy]+", word.lower()))
+        syllables += max(1, runs - (word[-1] in "eE" and runs > 1))
+    return len(words), len(re.findall("[A-Za-z']+", text)), len(stretches), syllables
+
+
+def test_text_counts_match_a_plain_count(spark):
+    got = column(spark, [*ODD_TEXTS, None], text_counts)
+    assert [tuple(g) for g in got[:-1]] == [brute_counts(t) for t in ODD_TEXTS] and got[-1] is None
+
+
+def test_rule_checks_list_no_words_and_try_patterns_on_likely_texts_only(spark):
+    rows = spark.createDataFrame([("s", "a word", 1)], "subject string, body string, step int")
+    plan = rows.select(Q.rule_violations("subject", "body", "step"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and plan.count("text_counts(body#") == 1
+    leaky = ["undefİned", "undefıned", "Aſ an AI", "i don’t have acceſs", "AS AN Aİ", "{{", "name NAME"]
+    assert column(spark, leaky, lambda c: F.array_join(Q.leaks(c), "|")) == [
+        "literal_undefined: 'undefİned'", "literal_undefined: 'undefıned'", "ai_self_disclosure: 'Aſ an AI'", "ai_no_access: 'i don’t have acceſs'",
+        "ai_self_disclosure: 'AS AN Aİ'", "", "literal_name_token: 'NAME'"]
+    assert column(spark, ["HTTP://x", "WWW.x", "www", None], Q.has_no_links) == [False, False, True, True]
