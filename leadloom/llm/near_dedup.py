@@ -51,6 +51,8 @@ FIRST_MET = 4
 BINS = 384
 BITS = 4
 _WORDS = BINS // 64
+#: Words of a bitmap: every value of a set sets one of its bits.
+BITMAP = 24
 #: Pairs of each two parts that a round confirms; the last round confirms all that are left.
 ROUNDS = (1, 8, None)
 #: Deviations above the expected number of differing bins from which on a pair is too far apart.
@@ -121,6 +123,15 @@ def sketches(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.concatenate(planes, axis=1)).view(np.uint64)
 
 
+def bitmaps(values: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One row a nonempty set: a bitmap with one bit of each value, and how many values it hides behind bits of others."""
+    lengths = np.diff(firsts)
+    lengths = lengths[lengths > 0]
+    bits = np.zeros((len(lengths), 64 * BITMAP), bool)
+    bits[np.repeat(np.arange(len(lengths)), lengths), ((values >> np.uint64(33)) % np.uint64(64 * BITMAP)).astype(np.int64)] = True
+    return np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view(np.uint64), lengths - bits.sum(axis=1)
+
+
 def most_different(size: Column, percent: int = PERCENT) -> Column:
     """In how many bins two sets of `size` values together may differ and still be a link.
 
@@ -150,10 +161,16 @@ def differing(x: str, y: str) -> Column:
     return total
 
 
+def most_shared(x: str, y: str) -> Column:
+    """At most how many values two sets share: the bits that both bitmaps have, and what the one that hides less hides."""
+    both = [F.bit_count(F.get(f"{x}_bitmap", w).bitwiseAND(F.get(f"{y}_bitmap", w))) for w in range(BITMAP)]
+    return reduce(Column.__add__, both) + F.least(f"{x}_hidden", f"{y}_hidden")
+
+
 def _sign(batches):
     for batch in batches:
         n = np.zeros(len(batch), np.int64)
-        classes, keys, marks = [None] * len(batch), [None] * len(batch), [None] * len(batch)
+        classes, keys, marks, maps, hidden = ([None] * len(batch) for _ in range(5))
         for first, end, data, offsets in byte_slices(batch["text"]):
             values, firsts = shingle_sets(data, offsets)
             n[first:end] = np.diff(firsts)
@@ -163,12 +180,15 @@ def _sign(batches):
             at = firsts[:-1][full]
             prints = np.stack([np.add.reduceat(mix(values + np.uint64(31)), at), np.bitwise_xor.reduceat(mix(values + np.uint64(37)), at)], axis=1)
             band, sketch = band_keys(extremes(values, firsts)).view(np.int64), sketches(values, firsts).view(np.int64)
+            bits, behind = bitmaps(values, firsts)
             for i, j in enumerate(full):
                 classes[first + j], keys[first + j], marks[first + j] = prints[i].tobytes(), band[i], sketch[i]
+                maps[first + j], hidden[first + j] = bits[i].view(np.int64), behind[i]
         lists = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], pa.array(classes, pa.binary()), pa.array(n), pa.array(keys, lists), pa.array(marks, lists)],
-            names=["doc_id", "cls", "n_shingles", "bands", "sketch"])
+            [batch["doc_id"], pa.array(classes, pa.binary()), pa.array(n), pa.array(keys, lists), pa.array(marks, lists),
+             pa.array(maps, lists), pa.array(hidden, pa.int64())],
+            names=["doc_id", "cls", "n_shingles", "bands", "sketch", "bitmap", "hidden"])
 
 
 def _confirm(batches):
@@ -215,7 +235,7 @@ def first_met(shared: DataFrame) -> DataFrame:
 
 
 def rest_pairs(shared: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket that `roots` leaves in different parts and whose sizes and sketches allow a link, each pair once.
+    """Pairs of a bucket that `roots` leaves in different parts and whose sizes, bitmaps and sketches allow a link, each pair once.
 
     a, b, their parts (low, high) and in how many bins their sketches differ (apart).
     """
@@ -228,19 +248,20 @@ def rest_pairs(shared: DataFrame, roots: DataFrame, classes: DataFrame, percent:
         .drop("parts"), "near-split")
     # The limit for two sets of this size holds for it and any smaller set; a column keeps the join's condition short enough to be compiled.
     limit = F.ceil(most_different(2 * F.col("n_shingles"), percent)).cast("int")
-    marks = classes.select(F.col("node").alias("_node"), "bands", "sketch", limit.alias("limit"))
+    marks = classes.select(F.col("node").alias("_node"), "bands", "sketch", "bitmap", "hidden", limit.alias("limit"))
     left_open = settle(
         placed.join(split.hint("merge"), F.col("key") == F.col("_key")).join(marks.hint("merge"), F.col("node") == F.col("_node"))
-        .select("key", "node", "size", "root", "main", "bands", "sketch", "limit"), "near-open")
-    columns = ("node", "size", "root", "bands", "sketch", "limit")
+        .select("key", "node", "size", "root", "main", "bands", "sketch", "bitmap", "hidden", "limit"), "near-open")
+    columns = ("node", "size", "root", "bands", "sketch", "bitmap", "hidden", "limit")
     x = left_open.where(F.col("root") != F.col("main")).select("key", *[F.col(c).alias(f"x_{c}") for c in columns])
     y = left_open.select(F.col("key").alias("_key"), F.col("main").alias("y_main"), *[F.col(c).alias(f"y_{c}") for c in columns])
     apart = (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("y_main")) | (F.col("x_node") < F.col("y_node")))
     sizes = (F.col("x_size") * 100 >= F.col("y_size") * percent) & (F.col("y_size") * 100 >= F.col("x_size") * percent)
     alike = differing("x_sketch", "y_sketch") <= F.greatest("x_limit", "y_limit")
+    sharing = most_shared("x", "y") * (100 + percent) >= (F.col("x_size") + F.col("y_size")) * percent
     # A pair may count as one of the main part in one bucket and not in another; what is left of such repeats goes by distinct.
     once = F.col("key") == F.array_min(F.array_intersect("x_bands", "y_bands"))
-    met = x.join(y.hint("merge"), (F.col("key") == F.col("_key")) & apart & sizes & alike & once)
+    met = x.join(y.hint("merge"), (F.col("key") == F.col("_key")) & apart & sizes & sharing & alike & once)
     return settle(
         met.select(
             F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), F.least("x_root", "y_root").alias("low"),
@@ -273,11 +294,12 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = settle(
-        docs.select("doc_id", "text").mapInArrow(_sign, f"doc_id {kind}, cls binary, n_shingles long, bands array<long>, sketch array<long>"), "near-signed")
-    # Rows of a class have equal sets, so any of their bands and sketches will do.
+        docs.select("doc_id", "text").mapInArrow(
+            _sign, f"doc_id {kind}, cls binary, n_shingles long, bands array<long>, sketch array<long>, bitmap array<long>, hidden long"), "near-signed")
+    # Rows of a class have equal sets, so any of their bands, sketches and bitmaps will do.
     classes = settle(
         signed.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull()).groupBy("cls").agg(
-            F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "near-classes")
+            F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch", "bitmap", "hidden")]), "near-classes")
     shared = shared_buckets(classes)
     # Texts to compare grow with the data, so this join is never a broadcast.
     texts = settle(

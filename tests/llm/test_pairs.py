@@ -82,6 +82,42 @@ def test_near_groups_of_many_copies(spark):
     check_groups(near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")), rows)
 
 
+def test_pairs_just_under_the_threshold_end_at_their_bitmaps(spark, monkeypatch):
+    """Each text has three changes of its own: most pairs have a likeness of 0.65 to 0.7, which sketches cannot rule out."""
+    rng, base = random.Random(8), shuffled_words(3, 150, 5000)
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for place in rng.sample(range(5, 145), 3):
+            words[place] = f"n{i}x{place}"
+        rows.append((i, " ".join(words)))
+    written, settle = [], near_dedup.settle
+
+    def counted(df, name):
+        table = settle(df, name)
+        written.append((name, table.count()))
+        return table
+
+    monkeypatch.setattr(near_dedup, "settle", counted)
+    check_groups(near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")), rows)
+    assert next(n for name, n in written if name == "near-rest") < 200
+
+
+def test_bitmaps_never_rule_out_a_link(spark):
+    rng, sets = np.random.default_rng(6), []
+    for size in (1, 5, 146, 600, 4000):
+        whole = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
+        sets += [whole, whole[: max(1, size * 9 // 10)], np.unique(np.append(whole[size // 8:], rng.integers(0, 1 << 63, size // 10, np.uint64)))]
+    firsts = np.append(0, np.cumsum([len(s) for s in sets]))
+    bits, hidden = near_dedup.bitmaps(np.concatenate(sets), firsts)
+    rows = spark.createDataFrame(
+        [(i, [int(w) for w in b.view(np.int64)], int(h)) for i, (b, h) in enumerate(zip(bits, hidden))], "i int, bitmap array<long>, hidden long")
+    x, y = (rows.select(*[F.col(c).alias(f"{side}_{c}") for c in rows.columns]) for side in "xy")
+    for i, j, most in x.crossJoin(y).select("x_i", "y_i", near_dedup.most_shared("x", "y")).collect():
+        shared = len(np.intersect1d(sets[i], sets[j]))
+        assert shared <= most and (i != j or most == shared)
+
+
 def test_one_of_each(spark):
     docs = odd_docs(spark)
     kept = near_dedup.one_of_each(docs)
