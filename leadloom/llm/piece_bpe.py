@@ -8,7 +8,9 @@ shorter prefix that is a piece is tried, and where none fits the position is
 marked in a bitfield of failed positions and the last piece is given up.  Every
 pair of neighbours that stands proves the whole: the first merge across an edge
 would also be the first within those two pieces.  Pieces that merging never
-reaches take no part.  Characters in no piece become their bytes.
+reaches take no part.  Chunks of up to `_SHORT` characters, most of all, are
+merged pair by pair instead, which is quicker there; the walk is linear in
+longer ones.  Characters in no piece become their bytes.
 
 A text is cut where no piece can lie across: before spaces, and between letters,
 signs, digits and line ends if the model's pieces keep them apart (`_cutting`
@@ -38,6 +40,7 @@ from leadloom.llm.common import read, worker_state
 
 KEPT = 200_000
 _SLICE = 1 << 20
+_SHORT = 32
 #: Fixed values of the model's format: the sign for a space, kinds of pieces, the mark of bytes that are no character.
 _SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
@@ -193,6 +196,23 @@ class PieceCoder:
                 pairs[at] = score(parts[at] + parts[at + 1], none)
         return len(parts) == (2 if edge else 1)
 
+    def _merged(self, text: str) -> list[str]:
+        """The pieces of a short chunk: the best pair is merged, leftmost first, until none is left."""
+        parts, score, none = list(text), self.scores.get, -float("inf")
+        pairs = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs:
+            best = max(pairs)
+            if best == none:
+                break
+            at = pairs.index(best)
+            del pairs[at]
+            one = parts[at] = parts[at] + parts.pop(at + 1)
+            if at:
+                pairs[at - 1] = score(parts[at - 1] + one, none)
+            if at < len(pairs):
+                pairs[at] = score(one + parts[at + 1], none)
+        return parts
+
     def _fit(self, left: str, right: str) -> bool:
         found = self._merges_to(left + right, len(left))
         self.pairs.setdefault(left, {})[right] = found
@@ -246,11 +266,14 @@ class PieceCoder:
                     break
         else:
             whole = self._walk(chunk, [])
+        self._note(chunk, whole)
+
+    def _note(self, chunk: str, whole: list[str]) -> None:
         ids = " ".join(map(self.codes.__getitem__, whole))
         self.known[chunk] = (ids.count(" ") + 1, ids, "".join(whole).replace(_SPACE, " "))
 
     def learn(self, chunks: set[str]) -> None:
-        """Encode the chunks that are not known yet, with one pass of the automaton over all of them."""
+        """Encode the chunks that are not known yet, with one pass of the automaton over all long ones."""
         if len(self.known) > KEPT:
             self.older, self.known = self.known, {}
         if self.n_pairs > 4 * KEPT:
@@ -258,10 +281,12 @@ class PieceCoder:
         fresh = []
         for chunk in chunks.difference(self.known):
             found = self.older.get(chunk)
-            if found is None:
-                fresh.append(chunk)
-            else:
+            if found is not None:
                 self.known[chunk] = found
+            elif len(chunk) <= _SHORT:
+                self._note(chunk, self._merged(chunk))
+            else:
+                fresh.append(chunk)
         parting, greedy, turn = self.parting, [], 0
         joined = [c for c in fresh if parting not in c]
         for _, piece in self.automaton.iter_long(parting.join(joined) + parting) if joined else ():

@@ -73,6 +73,16 @@ def test_pieces_of_random_texts(coder, library):
         assert decoded == library.decode(ids) == coder.decode(ids)
 
 
+def test_short_chunks_need_no_walk(library, monkeypatch):
+    """New words are merged pair by pair; no walk or check of a pair runs for them."""
+    rng = random.Random(6)
+    coder = piece_bpe.PieceCoder(piece_bpe.public_model())
+    monkeypatch.setattr(piece_bpe.PieceCoder, "_walk", None)
+    monkeypatch.setattr(piece_bpe.PieceCoder, "_fit", None)
+    texts = [" ".join("".join(rng.choice("abcdeinrstéß中") for _ in range(rng.randrange(1, 32))) for _ in range(40)) for _ in range(50)]
+    assert [ids for ids, _ in coded(coder, texts)] == library.encode(texts)
+
+
 def test_pieces_of_an_unbroken_text(coder, library):
     rng = random.Random(4)
     text = "".join(rng.choice("abcdeinrst") for _ in range(100_000)) + "e" * 20_000
