@@ -22,7 +22,8 @@ partitions agree.  The driver sees the parameters, the leaves' totals and the
 
 Documents are dealt into parts of about `PART_BYTES`; a part's distinct words are
 joined with the word table and come back to it, so that every place has its leaf
-and share, and no join sees every occurrence of a word.
+and share, and no join sees every occurrence of a word.  The `LAYOUT` words, which
+most parts have, go along with the function instead.
 
 Defined cases: a null or empty text has 0 words, likelihood 0 and no mean;
 places beyond the ends of a text are a padding word; a word that was not learned
@@ -60,17 +61,20 @@ MASKED = 6
 ROUNDS = 2
 RATE = 0.3
 _BATCH = 1024
+#: Scores below it need no maximum taken off before exp.
+_STEEP = 60.0
 _CHUNK = 2048
 _SMOOTH = 0.5
 
 
 @dataclass(frozen=True)
 class WordColumn:
-    """A column of the table (word, leaf, share); numpy gathers it, which only tests do."""
+    """A column of the table (word, leaf, share); numpy gathers it, which only tests do.  `common` has the rows of the frequent words."""
 
     table: DataFrame
     name: str
     totals: np.ndarray
+    common: pa.Table
 
     def __array__(self, dtype=None, copy=None):
         return np.asarray(self.table.select(self.name).toArrow()[self.name].to_numpy(), dtype)
@@ -112,14 +116,19 @@ def words(texts: pa.Array):
 
 def contexts(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """Embedding row (the bits from 40 on) of the word at each side of each place, the padding row beyond the ends of the text."""
-    rows = (hashes >> np.uint64(40)).astype(np.int64) & (ROWS - 1)
-    lengths = np.diff(firsts)
-    begin, end = np.repeat(firsts[:-1], lengths), np.repeat(firsts[1:], lengths)
-    place = np.arange(len(hashes))
-    out = np.full((len(SIDES), len(hashes)), ROWS, np.int64)
-    for i, side in enumerate(SIDES):
-        there = (place + side >= begin) & (place + side < end)
-        out[i, there] = rows[place[there] + side]
+    return _beside((hashes >> np.uint64(40)).astype(np.int64) & (ROWS - 1), firsts)
+
+
+def _beside(rows: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    out = np.full((len(SIDES), len(rows)), ROWS, np.int64)
+    for own, side in zip(out, SIDES):
+        if abs(side) < len(rows):
+            here, other = (slice(-side, None), slice(None, side)) if side < 0 else (slice(None, -side), slice(side, None))
+            own[here] = rows[other]
+        # The places next to an end of their text, also where a text is shorter than the side is far.
+        for far in range(abs(side)):
+            edge = firsts[:-1] + far if side < 0 else firsts[1:] - 1 - far
+            own[edge[(edge >= 0) & (edge < len(rows))]] = ROWS
     return out
 
 
@@ -133,14 +142,9 @@ def _softmax(scores: np.ndarray) -> np.ndarray:
     return scores / scores.sum(axis=1, keepdims=True)
 
 
-def _log_softmax(scores: np.ndarray, truth: np.ndarray) -> np.ndarray:
-    scores -= scores.max(axis=1, keepdims=True)
-    return scores[np.arange(len(scores)), truth] - np.log(np.exp(scores).sum(axis=1))
-
-
 def _grouped(group: np.ndarray):
     """Order of places by group, and (group, first, end) of the groups that occur."""
-    order = np.argsort(group, kind="stable")
+    order = np.argsort(group.astype(np.uint16), kind="stable")
     ends = np.cumsum(np.bincount(group, minlength=GROUPS))
     begins = np.concatenate([[0], ends[:-1]])
     return order, [(g, begins[g], ends[g]) for g in np.flatnonzero(ends > begins).tolist()]
@@ -148,16 +152,28 @@ def _grouped(group: np.ndarray):
 
 def log_probabilities(parameters: np.ndarray, around: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log probability of the leaf at each place."""
-    _, _, weights, bias, leaf_weights, leaf_bias = _split(parameters)
+    embed, sides, weights, bias, leaf_weights, leaf_bias = _split(parameters)
+    tables = [embed * side for side in sides]
+    # Scores of all groups and of one group's leaves come from one product; as |tanh| is at most 1, most models need no maximum before exp.
+    both = np.concatenate([np.broadcast_to(weights.T, (GROUPS, GROUPS, WIDTH)), leaf_weights.transpose(0, 2, 1)], axis=1)
+    both_bias = np.concatenate([np.broadcast_to(bias, (GROUPS, GROUPS)), leaf_bias], axis=1)[:, :, None]
+    steep = not (np.abs(both).sum(axis=2) + np.abs(both_bias[:, :, 0])).max() < _STEEP
     out = np.empty(len(target))
     for a in range(0, len(target), 16 * _BATCH):
         z = slice(a, a + 16 * _BATCH)
         order, present = _grouped(target[z] // LEAVES)
-        truth = target[z][order]
-        hidden = _hidden(parameters, around[:, z][:, order])
-        logs = _log_softmax(hidden @ weights + bias, truth // LEAVES)
+        truth = target[z][order] % LEAVES
+        hidden = np.tanh(sum(np.take(table, near[z][order], axis=0) for table, near in zip(tables, around)))
+        logs = np.empty(len(truth))
         for g, first, end in present:
-            logs[first:end] += _log_softmax(hidden[first:end] @ leaf_weights[g] + leaf_bias[g], truth[first:end] % LEAVES)
+            scores = both[g] @ hidden[first:end].T
+            scores += both_bias[g]
+            if steep:
+                scores[:GROUPS] -= scores[:GROUPS].max(axis=0)
+                scores[GROUPS:] -= scores[GROUPS:].max(axis=0)
+            own = scores[g] + scores[GROUPS + truth[first:end], np.arange(end - first)]
+            np.exp(scores, out=scores)
+            logs[first:end] = own - np.log(scores[:GROUPS].sum(axis=0)) - np.log(scores[GROUPS:].sum(axis=0))
         out[a + order] = logs
     return out
 
@@ -182,19 +198,27 @@ def descend(parameters: np.ndarray, seen: np.ndarray, around: np.ndarray, target
         back = error @ weights.T
         step(weights, seen_weights, hidden.T @ error)
         step(bias, seen_bias, error.sum(axis=0))
+        scores = leaf_bias[truth // LEAVES]
+        for g, first, end in present:
+            scores[first:end] += hidden[first:end] @ leaf_weights[g]
+        error = _softmax(scores)
+        error[np.arange(n), truth % LEAVES] -= 1
+        error /= n
+        # Groups that do not occur have a gradient of 0, which changes nothing.
+        gradient, bias_gradient = np.zeros_like(leaf_weights), np.zeros_like(leaf_bias)
         for g, first, end in present:
-            own = hidden[first:end]
-            error = _softmax(own @ leaf_weights[g] + leaf_bias[g])
-            error[np.arange(end - first), truth[first:end] % LEAVES] -= 1
-            error /= n
-            back[first:end] += error @ leaf_weights[g].T
-            step(leaf_weights[g], seen_leaf_weights[g], own.T @ error)
-            step(leaf_bias[g], seen_leaf_bias[g], error.sum(axis=0))
+            back[first:end] += error[first:end] @ leaf_weights[g].T
+            np.matmul(hidden[first:end].T, error[first:end], out=gradient[g])
+        bias_gradient[[g for g, _, _ in present]] = np.add.reduceat(error, [first for _, first, _ in present], axis=0)
+        step(leaf_weights, seen_leaf_weights, gradient)
+        step(leaf_bias, seen_leaf_bias, bias_gradient)
         back *= 1 - hidden * hidden
         for i in range(len(SIDES)):
             gradient = (back * embed[near[i]]).sum(axis=0)
-            by_row = np.argsort(near[i], kind="stable")
-            rows, firsts = np.unique(near[i][by_row], return_index=True)
+            by_row = np.argsort(near[i].astype(np.uint16), kind="stable")
+            rows = near[i][by_row]
+            firsts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+            rows = rows[firsts]
             change = np.add.reduceat((back * sides[i])[by_row], firsts, axis=0)
             seen_embed[rows] += change * change
             embed[rows] -= 0.3 * RATE * change / np.sqrt(seen_embed[rows] + 1e-8)
@@ -225,12 +249,16 @@ def _company(hashes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 _SUMS = [f"s{j}" for j in range(2 * SIGNS)]
+#: Sums of up to this size go four bits each into one long, as those of most words do.
+_NARROW = 7
+#: Places whose sums fit an int.
+_PLACES = 1 << 29
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """word, n and the sums of its neighbours' signs for every word of the whole table."""
     def run(batches):
-        kept, size = [], 0
+        kept, size, places = [], 0, 0
 
         def merged() -> list[tuple]:
             word, sums = np.concatenate([w for w, _ in kept]), np.concatenate([v for _, v in kept])
@@ -239,24 +267,33 @@ def count_words(docs: DataFrame) -> DataFrame:
             return [(found, np.add.reduceat(sums[order], first, axis=0))]
 
         def row_batch(found, sums):
-            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *[pa.array(c) for c in sums.T]], names=["word", "n", *_SUMS])
+            narrow = np.abs(sums[:, 1:]).max(axis=1) <= _NARROW
+            packed = np.bitwise_or.reduce((sums[:, 1:] & 15) << (4 * np.arange(2 * SIGNS)), axis=1)
+            wide = np.where(narrow, 0, 2 * SIGNS).cumsum()
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], wide]).astype(np.int32), mask=np.concatenate([narrow, [False]])), pa.array(sums[~narrow, 1:].astype(np.int32).reshape(-1)))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(found.view(np.int64)), pa.array(sums[:, 0]), pa.array(np.where(narrow, packed, 0)), lists], names=["word", "n", "narrow", "wide"])
 
         for batch in batches:
             for _first, firsts, hashes in words(batch["text"]):
                 if len(hashes):
                     kept.append(_company(hashes, firsts))
                     size += len(kept[-1][0])
-                if size > 500_000:
+                    places += len(hashes)
+                if size > 500_000 or places > _PLACES:
                     kept = merged()
                     size = len(kept[0][0])
-                    if size > 250_000:
+                    if size > 250_000 or places > _PLACES:
                         yield row_batch(*kept[0])
-                        kept, size = [], 0
+                        kept, size, places = [], 0, 0
         if kept:
             yield row_batch(*merged()[0])
 
-    counted = docs.select("text").mapInArrow(run, ", ".join(f"{c} long" for c in ["word", "n", *_SUMS]))
-    return settle(counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in ["n", *_SUMS]]), "lm-words")
+    # The tasks have merged their words, so the packed rows are sent as they are and added up behind the exchange.
+    counted = docs.select("text").mapInArrow(run, "word long, n long, narrow long, wide array<int>").repartition("word")
+    sums = [F.sum(F.coalesce(F.col("wide")[j].cast("long"), F.shiftright(F.shiftleft("narrow", 60 - 4 * j), 60))).alias(c) for j, c in enumerate(_SUMS)]
+    return settle(counted.groupBy("word").agg(F.sum("n").alias("n"), *sums), "lm-words")
 
 
 def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -329,13 +366,16 @@ def word_classes(counts: DataFrame) -> tuple[WordColumn, WordColumn]:
     placed = settle(counts.mapInArrow(place, "word long, n long, leaf int"), "lm-leaves")
     totals = _leaf_totals(placed)
     logs = F.array(*[F.lit(float(v)) for v in np.log(np.maximum(totals, 1))])
-    table = settle(placed.select("word", "leaf", (F.log("n") - F.element_at(logs, F.col("leaf") + 1)).cast("float").alias("share")), "lm-shares")
-    return WordColumn(table, "leaf", totals), WordColumn(table, "share", totals)
+    columns = ["word", "leaf", (F.log("n") - F.element_at(logs, F.col("leaf") + 1)).cast("float").alias("share")]
+    common = placed.where(picked).select(*columns).toArrow().combine_chunks().sort_by("word")
+    table = settle(placed.select(*columns), "lm-shares")
+    return WordColumn(table, "leaf", totals, common), WordColumn(table, "share", totals, common)
 
 
 def encode(docs: DataFrame, classes: WordColumn) -> DataFrame:
     """doc_id, the leaf of every word, and the sum of the words' log shares, of every row."""
-    kind, totals = docs.schema["doc_id"].dataType.simpleString(), classes.totals
+    kind, totals, common = docs.schema["doc_id"].dataType.simpleString(), classes.totals, classes.common
+    frequent = common["word"].to_numpy()
 
     def deal(batches):
         from pyspark import TaskContext
@@ -354,10 +394,11 @@ def encode(docs: DataFrame, classes: WordColumn) -> DataFrame:
             for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 found = [h for _f, _firsts, hashes in words(batch["text"].slice(a, z - a)) for h in [np.unique(hashes)]]
                 found = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)])).view(np.int64)
+                found = found[~np.isin(found, frequent)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), numbers[a] if z > a else 0)), pa.array(found)], names=["part", "_word"])
 
     def fill(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by([("word", "ascending")])
+        right = pa.concat_tables([right.select(common.column_names), common], promote_options="permissive").sort_by("word")
         known, leaf, share = (right[c].to_numpy() for c in ("word", "leaf", "share"))
         leaves, shares, lengths = [np.zeros(0, np.int16)], [np.zeros(0)], [np.zeros(1, np.int64)]
         for _first, firsts, hashes in words(left["text"].combine_chunks()):
@@ -394,7 +435,7 @@ def _coded(batch: pa.RecordBatch):
 
 
 def _around(leaf: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    return contexts(leaf.astype(np.uint64) << np.uint64(40), firsts)
+    return _beside(leaf, firsts)
 
 
 def _add_up(groups: DataFrame, keys: list[str]) -> DataFrame:
