@@ -20,10 +20,10 @@ are masked follows from the leaves and places, so reruns on the same layout of
 partitions agree.  The driver sees the parameters, the leaves' totals and the
 `LAYOUT` words, all of fixed size.
 
-Documents are dealt into parts of about `PART_BYTES`; a part's distinct words are
-joined with the word table and come back to it, so that every place has its leaf
-and share, and no join sees every occurrence of a word.  The `LAYOUT` words, which
-most parts have, go along with the function instead.
+Documents are dealt into parts of about `PART_BYTES`, in which texts are numbers of
+words; a part's distinct words are joined with the word table and come back to it,
+so that every place has its leaf and share, and no join sees every occurrence of a
+word.  The `LAYOUT` words, which most parts have, go along with the function instead.
 
 Defined cases: a null or empty text has 0 words, likelihood 0 and no mean;
 places beyond the ends of a text are a padding word; a word that was not learned
@@ -98,8 +98,12 @@ def _split(parameters: np.ndarray):
 
 def start(classes: WordColumn, counts: DataFrame, seed: int = 3) -> np.ndarray:
     """First parameters: small random embeddings, and the frequencies of groups and leaves as bias."""
+    return _first(_leaf_totals(counts.select("word", "n").join(classes.table.select("word", "leaf"), "word")), seed)
+
+
+def _first(totals: np.ndarray, seed: int = 3) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    total = _leaf_totals(counts.select("word", "n").join(classes.table.select("word", "leaf"), "word")).reshape(GROUPS, LEAVES) + _SMOOTH
+    total = totals.reshape(GROUPS, LEAVES) + _SMOOTH
     parts = [
         rng.normal(0, 0.3, (ROWS + 1) * WIDTH), np.ones(len(SIDES) * WIDTH), rng.normal(0, 0.1, WIDTH * GROUPS), np.log(total.sum(axis=1) / total.sum()),
         rng.normal(0, 0.1, WIDTH * CLASSES), np.log(total / total.sum(axis=1, keepdims=True)).reshape(-1)]
@@ -264,27 +268,30 @@ def count_words(docs: DataFrame) -> DataFrame:
             word, sums = np.concatenate([w for w, _ in kept]), np.concatenate([v for _, v in kept])
             order = np.argsort(word, kind="stable")
             found, first = np.unique(word[order], return_index=True)
-            return [(found, np.add.reduceat(sums[order], first, axis=0))]
+            return [(found, np.add.reduceat(sums[order], first, axis=0, dtype=sums.dtype))]
 
         def row_batch(found, sums):
             narrow = np.abs(sums[:, 1:]).max(axis=1) <= _NARROW
-            packed = np.bitwise_or.reduce((sums[:, 1:] & 15) << (4 * np.arange(2 * SIGNS)), axis=1)
+            packed = np.zeros(len(found), np.int64)
+            for j in range(2 * SIGNS):
+                packed |= (sums[:, 1 + j].astype(np.int64) & 15) << (4 * j)
             wide = np.where(narrow, 0, 2 * SIGNS).cumsum()
             lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], wide]).astype(np.int32), mask=np.concatenate([narrow, [False]])), pa.array(sums[~narrow, 1:].astype(np.int32).reshape(-1)))
+                pa.array(np.concatenate([[0], wide]).astype(np.int32), mask=np.concatenate([narrow, [False]])), pa.array(sums[~narrow, 1:].reshape(-1)))
             return pa.RecordBatch.from_arrays(
-                [pa.array(found.view(np.int64)), pa.array(sums[:, 0]), pa.array(np.where(narrow, packed, 0)), lists], names=["word", "n", "narrow", "wide"])
+                [pa.array(found.view(np.int64)), pa.array(sums[:, 0].astype(np.int64)), pa.array(np.where(narrow, packed, 0)), lists], names=["word", "n", "narrow", "wide"])
 
         for batch in batches:
             for _first, firsts, hashes in words(batch["text"]):
                 if len(hashes):
-                    kept.append(_company(hashes, firsts))
+                    found, sums = _company(hashes, firsts)
+                    kept.append((found, sums.astype(np.int32)))
                     size += len(kept[-1][0])
                     places += len(hashes)
-                if size > 500_000 or places > _PLACES:
+                if size > 1_000_000 or places > _PLACES:
                     kept = merged()
                     size = len(kept[0][0])
-                    if size > 250_000 or places > _PLACES:
+                    if size > 500_000 or places > _PLACES:
                         yield row_batch(*kept[0])
                         kept, size, places = [], 0, 0
         if kept:
@@ -377,51 +384,83 @@ def encode(docs: DataFrame, classes: WordColumn) -> DataFrame:
     kind, totals, common = docs.schema["doc_id"].dataType.simpleString(), classes.totals, classes.common
     frequent = common["word"].to_numpy()
 
+    def numbered(rows: list[pa.RecordBatch], part: int) -> pa.RecordBatch:
+        """The texts of a part as numbers of words: of the frequent ones first, then of the others, the most frequent of the part first."""
+        hashes, lengths = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+        for _first, firsts, found in words(pa.chunked_array([r["text"] for r in rows], pa.string())):
+            hashes.append(found)
+            lengths.append(np.diff(firsts))
+        found, at, n = np.unique(np.concatenate(hashes).view(np.int64), return_inverse=True, return_counts=True)
+        number = np.searchsorted(frequent, found)
+        rest = np.flatnonzero(~np.isin(found, frequent))
+        rest = rest[np.argsort(-n[rest], kind="stable")]
+        number[rest] = len(frequent) + np.arange(len(rest))
+        units, firsts = _to_units(number[at], np.cumsum(np.concatenate(lengths)))
+        doc_id = pa.concat_arrays([r["doc_id"] for r in rows])
+        asked = pa.array([found[rest]] + [None] * (len(doc_id) - 1), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays(
+            [doc_id, pa.ListArray.from_arrays(pa.array(firsts.astype(np.int32)), pa.array(units)), pa.array(np.full(len(doc_id), part)), asked],
+            names=["doc_id", "places", "part", "asked"])
+
     def deal(batches):
         from pyspark import TaskContext
 
-        part, size = TaskContext.get().partitionId() << 32, 0
+        part, rows, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             lengths = np.array([len(t) if t else 0 for t in batch["text"].to_pylist()], np.int64)
-            ends = size + np.cumsum(lengths)
-            size = int(ends[-1]) if len(ends) else size
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], pa.array(part + ends // PART_BYTES)], names=["doc_id", "text", "part"])
-
-    def distinct(batches):
-        for batch in batches:
-            numbers = batch["part"].to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(numbers)) + 1, [len(numbers)]])
-            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                found = [h for _f, _firsts, hashes in words(batch["text"].slice(a, z - a)) for h in [np.unique(hashes)]]
-                found = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)])).view(np.int64)
-                found = found[~np.isin(found, frequent)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), numbers[a] if z > a else 0)), pa.array(found)], names=["part", "_word"])
+            ends, first = np.cumsum(lengths), 0
+            while first < batch.num_rows:
+                before = int(ends[first] - lengths[first])
+                end = min(int(np.searchsorted(ends, before + PART_BYTES - size)) + 1, batch.num_rows)
+                rows.append(batch.slice(first, end - first))
+                size += int(ends[end - 1]) - before
+                first = end
+                if size >= PART_BYTES:
+                    yield numbered(rows, part)
+                    part, rows, size = part + 1, [], 0
+        if rows:
+            yield numbered(rows, part)
 
     def fill(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = pa.concat_tables([right.select(common.column_names), common], promote_options="permissive").sort_by("word")
-        known, leaf, share = (right[c].to_numpy() for c in ("word", "leaf", "share"))
-        leaves, shares, lengths = [np.zeros(0, np.int16)], [np.zeros(0)], [np.zeros(1, np.int64)]
-        for _first, firsts, hashes in words(left["text"].combine_chunks()):
-            word = hashes.view(np.int64)
-            drawn = (hashes % np.uint64(CLASSES)).astype(np.int64)
-            own, logs = drawn, np.log(_SMOOTH / (totals[drawn] + _SMOOTH))
-            if len(known):
-                at = np.minimum(np.searchsorted(known, word), len(known) - 1)
-                own, logs = np.where(known[at] == word, leaf[at], own), np.where(known[at] == word, share[at], logs)
-            leaves.append(own.astype(np.int16))
-            shares.append(segment_sums(logs, firsts))
-            lengths.append(np.diff(firsts))
-        offsets = pa.array(np.cumsum(np.concatenate(lengths)).astype(np.int32))
-        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(leaves)))
-        return pa.table({"doc_id": left["doc_id"], "leaves": lists, "share": np.concatenate(shares)})
-
-    parts = settle(docs.select("doc_id", "text").mapInArrow(deal, f"doc_id {kind}, text string, part long"), "lm-parts")
-    asked = parts.select("part", "text").mapInArrow(distinct, "part long, _word long")
-    met = asked.join(classes.table, F.col("_word") == F.col("word")).select("part", "word", "leaf", "share")
-    coded = parts.groupBy("part").cogroup(met.groupBy("part")).applyInArrow(fill, f"doc_id {kind}, leaves array<short>, share double")
+        leaf, share = (np.concatenate([common[c].to_numpy(), np.zeros(right.num_rows, np.float32)]) for c in ("leaf", "share"))
+        leaf = leaf.astype(np.int16)
+        at = len(frequent) + right["at"].to_numpy()
+        leaf[at], share[at] = right["leaf"].to_numpy(), right["share"].to_numpy()
+        share = np.where(np.isnan(share), np.log(_SMOOTH / (totals[leaf] + _SMOOTH)), share)
+        lists = left["places"].combine_chunks()
+        number, firsts = _from_units(lists.flatten().to_numpy(), lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py())
+        coded = pa.ListArray.from_arrays(pa.array(firsts.astype(np.int32)), pa.array(leaf[number]))
+        return pa.table({"doc_id": left["doc_id"], "leaves": coded, "share": segment_sums(share[number], firsts)})
+
+    parts = settle(docs.select("doc_id", "text").mapInArrow(deal, f"doc_id {kind}, places array<short>, part long, asked array<long>"), "lm-parts")
+    asked = parts.where(F.col("asked").isNotNull()).select(F.col("part").alias("of"), F.posexplode("asked").alias("at", "word"))
+    drawn = F.col("word").bitwiseAND(F.lit(CLASSES - 1)).cast("int")
+    met = asked.join(classes.table, "word", "left").select("of", "at", F.coalesce("leaf", drawn).alias("leaf"), "share")
+    coded = parts.select("doc_id", "places", "part").groupBy("part").cogroup(met.groupBy("of")).applyInArrow(fill, f"doc_id {kind}, leaves array<short>, share double")
     return settle(coded, "lm-coded")
 
 
+def _to_units(number: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers as shorts, those from 2^15 on as a negative one and the rest behind it, and the first short of each text."""
+    long = number >= 1 << 15
+    after = np.concatenate([[0], np.cumsum(1 + long)])
+    units = np.empty(after[-1], np.int16)
+    units[after[:-1]] = np.where(long, -1 - (number & 0x7FFF), number)
+    units[after[1:][long] - 1] = number[long] >> 15
+    return units, after[firsts]
+
+
+def _from_units(units: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and the first number of each text, from their shorts."""
+    begins = np.ones(len(units), bool)
+    begins[1:] = units[:-1] >= 0
+    at = np.flatnonzero(begins)
+    number = units[at].astype(np.int64)
+    long = np.flatnonzero(number < 0)
+    number[long] = -1 - number[long] + (units[at[long] + 1].astype(np.int64) << 15)
+    return number, np.searchsorted(at, firsts)
+
+
 def _coded(batch: pa.RecordBatch):
     """First text, first words of the texts and the leaf of every word, in slices of about a million words of a batch."""
     lists = batch["leaves"]
@@ -481,7 +520,8 @@ def _round(coded: DataFrame, parameters: np.ndarray, turn: int) -> np.ndarray:
 def _learned(docs: DataFrame, rounds: int) -> tuple[Model, DataFrame]:
     counts = count_words(docs)
     classes, share = word_classes(counts)
-    coded, parameters = encode(docs, classes), start(classes, counts)
+    # The leaves' totals are those of the counts, so the first parameters need no join with them.
+    coded, parameters = encode(docs, classes), _first(classes.totals)
     for turn in range(rounds):
         parameters = _round(coded, parameters, turn)
     return Model(classes, share, parameters), coded

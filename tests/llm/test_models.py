@@ -219,6 +219,63 @@ def test_lm_counts_every_word(spark):
     assert lm_score.count_words(spark.createDataFrame(rows, "doc_id long, text string")).count() == 300_000
 
 
+def test_lm_sends_packed_counts(spark, monkeypatch):
+    """Four columns a word go through the exchange; small and large sums come out as they went in."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["the", "of", "and", f"w{rng.randrange(400)}"]) for _ in range(rng.randrange(120))) for _ in range(60)]
+    monkeypatch.setattr(lm_score, "settle", lambda df, name: df)
+    counts = lm_score.count_words(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    sent = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "narrow" in sent.split("RepartitionByExpression")[1] and "s15" not in sent.split("RepartitionByExpression")[1]
+    expected = {}
+    for _first, firsts, hashes in lm_score.words(pa.array(texts)):
+        for word, sums in zip(*lm_score._company(hashes, firsts)):
+            expected[int(word.view(np.int64))] = sums.tolist()
+    assert {r[0]: list(r[1:]) for r in counts.collect()} == expected
+    assert max(abs(v) for sums in expected.values() for v in sums[1:]) > 50
+
+
+def test_lm_parts_hold_numbers_of_words(spark, monkeypatch):
+    """No text goes into a part, and no frequent word is asked for; the leaves are those of the table, or drawn."""
+    kept = {}
+    settle = lm_score.settle
+    monkeypatch.setattr(lm_score, "settle", lambda df, name: kept.setdefault(name, settle(df, name)))
+    monkeypatch.setattr(lm_score, "LAYOUT", 100)
+    monkeypatch.setattr(lm_score, "PART_BYTES", 2000)
+    rng = random.Random(6)
+    texts = [None, "", "one"] + [" ".join(f"w{int(rng.expovariate(0.004))}" for _ in range(rng.randrange(300))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes, share = lm_score.word_classes(lm_score.count_words(docs))
+    seen = docs.unionAll(spark.createDataFrame([(1000, "w1 never-seen w2")], docs.schema))
+    coded = {r["doc_id"]: r for r in lm_score.encode(seen, classes).collect()}
+    table = {r["word"]: r for r in classes.table.collect()}
+    asked = [w for r in kept["lm-parts"].where("asked is not null").collect() for w in r["asked"]]
+    assert "text" not in kept["lm-parts"].columns and 0 < classes.common.num_rows < 150
+    assert not set(asked) & set(classes.common["word"].to_pylist()) and len(set(asked)) + classes.common.num_rows >= len(table)
+    for doc_id, text in [*enumerate(texts), (1000, "w1 never-seen w2")]:
+        hashes = np.concatenate([h for _f, _firsts, h in lm_score.words(pa.array([text], pa.string()))])
+        rows = [(h, table.get(int(h.view(np.int64)))) for h in hashes]
+        leaves = [r["leaf"] if r else int(h % np.uint64(lm_score.CLASSES)) for h, r in rows]
+        logs = [r["share"] if r else np.log(0.5 / (classes.totals[leaf] + 0.5)) for (_, r), leaf in zip(rows, leaves)]
+        assert coded[doc_id]["leaves"] == leaves and coded[doc_id]["share"] == pytest.approx(sum(logs))
+
+
+@pytest.mark.parametrize("steep", [60.0, 0.0])
+def test_lm_probabilities_by_the_plain_formula(monkeypatch, steep):
+    monkeypatch.setattr(lm_score, "_STEEP", steep)
+    rng = np.random.default_rng(7)
+    parameters = rng.normal(0, 0.4, len(lm_score._first(np.ones(lm_score.CLASSES)))).astype(np.float32)
+    leaf = rng.integers(0, lm_score.CLASSES, 500)
+    around = lm_score._around(leaf, np.array([0, 1, 1, 3, 500]))
+    embed, sides, weights, bias, leaf_weights, leaf_bias = (p.astype(float) for p in lm_score._split(parameters))
+    hidden = np.tanh(sum(embed[near] * side for near, side in zip(around, sides)))
+    group, own = leaf // lm_score.LEAVES, leaf % lm_score.LEAVES
+    a, b = hidden @ weights + bias, np.einsum("nw,nwl->nl", hidden, leaf_weights[group]) + leaf_bias[group]
+    place = np.arange(500)
+    plain = a[place, group] - np.log(np.exp(a).sum(axis=1)) + b[place, own] - np.log(np.exp(b).sum(axis=1))
+    assert np.allclose(lm_score.log_probabilities(parameters, around, leaf), plain, atol=1e-4)
+
+
 def test_lm_predicts_rare_words_from_both_sides(spark):
     """Six hundred rare words of two kinds, each kind with its own neighbours."""
     rng = random.Random(4)
