@@ -375,7 +375,8 @@ def word_classes(counts: DataFrame) -> tuple[WordColumn, WordColumn]:
     logs = F.array(*[F.lit(float(v)) for v in np.log(np.maximum(totals, 1))])
     columns = ["word", "leaf", (F.log("n") - F.element_at(logs, F.col("leaf") + 1)).cast("float").alias("share")]
     common = placed.where(picked).select(*columns).toArrow().combine_chunks().sort_by("word")
-    table = settle(placed.select(*columns), "lm-shares")
+    # A share follows from the row and the totals, so it is worked out where it is read and not written again.
+    table = placed.select(*columns)
     return WordColumn(table, "leaf", totals, common), WordColumn(table, "share", totals, common)
 
 
