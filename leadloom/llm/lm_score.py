@@ -20,10 +20,11 @@ are masked follows from the leaves and places, so reruns on the same layout of
 partitions agree.  The driver sees the parameters, the leaves' totals and the
 `LAYOUT` words, all of fixed size.
 
-Documents are dealt into parts of about `PART_BYTES`, in which texts are numbers of
-words; a part's distinct words are joined with the word table and come back to it,
-so that every place has its leaf and share, and no join sees every occurrence of a
-word.  The `LAYOUT` words, which most parts have, go along with the function instead.
+Documents are dealt into parts of about `PART_BYTES`, each a row in which texts are
+numbers of words; a part's distinct words are joined with the word table and come back
+to it, packed by task, so that every place has its leaf and share, and no join sees
+every occurrence of a word.  The `LAYOUT` words, which most parts have, go along with
+the function instead.
 
 Defined cases: a null or empty text has 0 words, likelihood 0 and no mean;
 places beyond the ends of a text are a padding word; a word that was not learned
@@ -55,6 +56,8 @@ WIDTH = 16
 SIGNS = 8
 LAYOUT = 20_000
 PART_BYTES = 1 << 22
+#: A task sends what it has found for the parts each time it has so many words.
+_GATHERED = 1 << 20
 SIDES = (-2, -1, 1, 2)
 #: One place in so many is masked in a round.
 MASKED = 6
@@ -69,7 +72,7 @@ _SMOOTH = 0.5
 
 @dataclass(frozen=True)
 class WordColumn:
-    """A column of the table (word, leaf, share); numpy gathers it, which only tests do.  `common` has the rows of the frequent words."""
+    """A column of the table (word, leaf, n, share); numpy gathers it, which only tests do.  `common` has the rows of the frequent words."""
 
     table: DataFrame
     name: str
@@ -253,8 +256,9 @@ def _company(hashes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 _SUMS = [f"s{j}" for j in range(2 * SIGNS)]
-#: Sums of up to this size go four bits each into one long, as those of most words do.
+#: Sums of up to this size go four bits each into one long, as those of most words do, and up to the next one eight bits each into two.
 _NARROW = 7
+_MIDDLE = 127
 #: Places whose sums fit an int.
 _PLACES = 1 << 29
 
@@ -271,15 +275,18 @@ def count_words(docs: DataFrame) -> DataFrame:
             return [(found, np.add.reduceat(sums[order], first, axis=0, dtype=sums.dtype))]
 
         def row_batch(found, sums):
-            narrow = np.abs(sums[:, 1:]).max(axis=1) <= _NARROW
-            packed = np.zeros(len(found), np.int64)
+            most = np.abs(sums[:, 1:]).max(axis=1)
+            narrow, wide = most <= _NARROW, most > _MIDDLE
+            fours = np.zeros(len(found), np.int64)
             for j in range(2 * SIGNS):
-                packed |= (sums[:, 1 + j].astype(np.int64) & 15) << (4 * j)
-            wide = np.where(narrow, 0, 2 * SIGNS).cumsum()
+                fours |= (sums[:, 1 + j].astype(np.int64) & 15) << (4 * j)
+            eights = np.ascontiguousarray(sums[:, 1:].astype(np.int8)).view("<i8")
+            ends = np.where(wide, 2 * SIGNS, 0).cumsum()
             lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], wide]).astype(np.int32), mask=np.concatenate([narrow, [False]])), pa.array(sums[~narrow, 1:].reshape(-1)))
+                pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.concatenate([~wide, [False]])), pa.array(sums[wide, 1:].reshape(-1)))
             return pa.RecordBatch.from_arrays(
-                [pa.array(found.view(np.int64)), pa.array(sums[:, 0].astype(np.int64)), pa.array(np.where(narrow, packed, 0)), lists], names=["word", "n", "narrow", "wide"])
+                [pa.array(found.view(np.int64)), pa.array(np.where(narrow, fours, np.where(wide, 0, eights[:, 0]))), pa.array(sums[:, 0].astype(np.int64)),
+                 pa.array(eights[:, 1], mask=narrow | wide), lists], names=["word", "narrow", "n", "more", "wide"])
 
         for batch in batches:
             for _first, firsts, hashes in words(batch["text"]):
@@ -298,8 +305,15 @@ def count_words(docs: DataFrame) -> DataFrame:
             yield row_batch(*merged()[0])
 
     # The tasks have merged their words, so the packed rows are sent as they are and added up behind the exchange.
-    counted = docs.select("text").mapInArrow(run, "word long, n long, narrow long, wide array<int>").repartition("word")
-    sums = [F.sum(F.coalesce(F.col("wide")[j].cast("long"), F.shiftright(F.shiftleft("narrow", 60 - 4 * j), 60))).alias(c) for j, c in enumerate(_SUMS)]
+    # What differs from row to row stands together, the rest behind it: that takes the least room in an exchange.
+    counted = docs.select("text").mapInArrow(run, "word long, narrow long, n long, more long, wide array<int>").repartition("word")
+
+    def unpacked(j: int):
+        four = F.shiftright(F.shiftleft("narrow", 60 - 4 * j), 60)
+        eight = F.shiftright(F.shiftleft("narrow" if j < SIGNS else "more", 56 - 8 * (j % SIGNS)), 56)
+        return F.coalesce(F.col("wide")[j].cast("long"), F.when(F.col("more").isNull(), four).otherwise(eight))
+
+    sums = [F.sum(unpacked(j)).alias(c) for j, c in enumerate(_SUMS)]
     return settle(counted.groupBy("word").agg(F.sum("n").alias("n"), *sums), "lm-words")
 
 
@@ -373,7 +387,7 @@ def word_classes(counts: DataFrame) -> tuple[WordColumn, WordColumn]:
     placed = settle(counts.mapInArrow(place, "word long, n long, leaf int"), "lm-leaves")
     totals = _leaf_totals(placed)
     logs = F.array(*[F.lit(float(v)) for v in np.log(np.maximum(totals, 1))])
-    columns = ["word", "leaf", (F.log("n") - F.element_at(logs, F.col("leaf") + 1)).cast("float").alias("share")]
+    columns = ["word", "leaf", "n", (F.log("n") - F.element_at(logs, F.col("leaf") + 1)).cast("float").alias("share")]
     common = placed.where(picked).select(*columns).toArrow().combine_chunks().sort_by("word")
     # A share follows from the row and the totals, so it is worked out where it is read and not written again.
     table = placed.select(*columns)
@@ -386,22 +400,24 @@ def encode(docs: DataFrame, classes: WordColumn) -> DataFrame:
     frequent = common["word"].to_numpy()
 
     def numbered(rows: list[pa.RecordBatch], part: int) -> pa.RecordBatch:
-        """The texts of a part as numbers of words: of the frequent ones first, then of the others, the most frequent of the part first."""
-        hashes, lengths = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+        """The texts of a part as one row of numbers of words: from 1 on of the frequent ones, then of those with several places, the
+        most frequent of the part first; 0 is the next of the others, which are asked for in the order of their places."""
+        hashes, lengths = [np.zeros(0, np.uint64)], []
         for _first, firsts, found in words(pa.chunked_array([r["text"] for r in rows], pa.string())):
             hashes.append(found)
             lengths.append(np.diff(firsts))
         found, at, n = np.unique(np.concatenate(hashes).view(np.int64), return_inverse=True, return_counts=True)
-        number = np.searchsorted(frequent, found)
-        rest = np.flatnonzero(~np.isin(found, frequent))
+        number = 1 + np.searchsorted(frequent, found)
+        other = ~np.isin(found, frequent)
+        rest, once = np.flatnonzero(other & (n > 1)), other & (n == 1)
         rest = rest[np.argsort(-n[rest], kind="stable")]
-        number[rest] = len(frequent) + np.arange(len(rest))
-        units, firsts = _to_units(number[at], np.cumsum(np.concatenate(lengths)))
-        doc_id = pa.concat_arrays([r["doc_id"] for r in rows])
-        asked = pa.array([found[rest]] + [None] * (len(doc_id) - 1), pa.list_(pa.int64()))
+        number[rest] = 1 + len(frequent) + np.arange(len(rest))
+        number[once] = 0
+        doc_id, asked = pa.concat_arrays([r["doc_id"] for r in rows]), found[np.concatenate([rest, at[once[at]]])]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (doc_id, pa.array(np.concatenate(lengths).astype(np.int32)), pa.array(asked))]
         return pa.RecordBatch.from_arrays(
-            [doc_id, pa.ListArray.from_arrays(pa.array(firsts.astype(np.int32)), pa.array(units)), pa.array(np.full(len(doc_id), part)), asked],
-            names=["doc_id", "places", "part", "asked"])
+            [*lists[:2], pa.array([_packed(number[at].astype(np.int32))], pa.binary()), pa.array([part]), lists[2]],
+            names=["doc_id", "lengths", "places", "part", "asked"])
 
     def deal(batches):
         from pyspark import TaskContext
@@ -422,44 +438,63 @@ def encode(docs: DataFrame, classes: WordColumn) -> DataFrame:
         if rows:
             yield numbered(rows, part)
 
+    def gather(batches):
+        """What a task has found for a part, in one row."""
+        kept, size = [], 0
+
+        def gathered() -> pa.RecordBatch:
+            of, at, leaf, n = (np.concatenate(c) for c in zip(*kept))
+            order = np.argsort(np.unique(of, return_inverse=True)[1] << 32 | at)
+            of, at, leaf, n = of[order], at[order], leaf[order], n[order]
+            firsts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]]))
+            columns = [pa.array([_packed(c[a:z]) for a, z in zip(firsts[:-1], firsts[1:])], pa.binary()) for c in (at, leaf, n)]
+            return pa.RecordBatch.from_arrays([pa.array(of[firsts[:-1]]), *columns], names=["of", "at", "leaf", "n"])
+
+        for batch in batches:
+            if batch.num_rows:
+                kept.append([batch[c].to_numpy().astype(t) for c, t in (("of", np.int64), ("at", np.int32), ("leaf", np.int16), ("n", np.int64))])
+                size += batch.num_rows
+            if size >= _GATHERED:
+                yield gathered()
+                kept, size = [], 0
+        if kept:
+            yield gathered()
+
     def fill(left: pa.Table, right: pa.Table) -> pa.Table:
-        leaf, share = (np.concatenate([common[c].to_numpy(), np.zeros(right.num_rows, np.float32)]) for c in ("leaf", "share"))
+        at, near, n = (np.concatenate([np.zeros(0, t), *[_unpacked(v, t) for v in right[c].to_pylist()]]) for c, t in (("at", np.int32), ("leaf", np.int16), ("n", np.int64)))
+        leaf, share = (np.concatenate([common[c].to_numpy(), np.zeros(len(at), t)]) for c, t in (("leaf", np.int16), ("share", np.float64)))
         leaf = leaf.astype(np.int16)
-        at = len(frequent) + right["at"].to_numpy()
-        leaf[at], share[at] = right["leaf"].to_numpy(), right["share"].to_numpy()
-        share = np.where(np.isnan(share), np.log(_SMOOTH / (totals[leaf] + _SMOOTH)), share)
-        lists = left["places"].combine_chunks()
-        number, firsts = _from_units(lists.flatten().to_numpy(), lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py())
+        learned = (np.log(np.maximum(n, 1)) - np.log(np.maximum(totals[near], 1))).astype(np.float32)
+        at = len(frequent) + at
+        leaf[at], share[at] = near, np.where(n > 0, learned, np.log(_SMOOTH / (totals[near] + _SMOOTH)))
+        doc_id, lengths = (left[c].combine_chunks().flatten() for c in ("doc_id", "lengths"))
+        number = _unpacked(left["places"][0].as_py(), np.int32) - 1
+        once = np.flatnonzero(number < 0)
+        number[once] = len(leaf) - len(once) + np.arange(len(once))
+        firsts = np.concatenate([[0], np.cumsum(lengths.to_numpy().astype(np.int64))])
         coded = pa.ListArray.from_arrays(pa.array(firsts.astype(np.int32)), pa.array(leaf[number]))
-        return pa.table({"doc_id": left["doc_id"], "leaves": coded, "share": segment_sums(share[number], firsts)})
+        return pa.table({"doc_id": doc_id, "leaves": coded, "share": segment_sums(share[number], firsts)})
 
-    parts = settle(docs.select("doc_id", "text").mapInArrow(deal, f"doc_id {kind}, places array<short>, part long, asked array<long>"), "lm-parts")
-    asked = parts.where(F.col("asked").isNotNull()).select(F.col("part").alias("of"), F.posexplode("asked").alias("at", "word"))
+    row = f"doc_id array<{kind}>, lengths array<int>, places binary, part long, asked array<long>"
+    parts = settle(docs.select("doc_id", "text").mapInArrow(deal, row), "lm-parts")
+    asked = parts.select(F.col("part").alias("of"), F.posexplode("asked").alias("at", "word")).select("word", "at", "of")
     drawn = F.col("word").bitwiseAND(F.lit(CLASSES - 1)).cast("int")
-    met = asked.join(classes.table, "word", "left").select("of", "at", F.coalesce("leaf", drawn).alias("leaf"), "share")
-    coded = parts.select("doc_id", "places", "part").groupBy("part").cogroup(met.groupBy("of")).applyInArrow(fill, f"doc_id {kind}, leaves array<short>, share double")
+    met = asked.join(classes.table.select("word", "leaf", "n"), "word", "left").select("of", "at", F.coalesce("leaf", drawn).alias("leaf"), F.coalesce("n", F.lit(0)).alias("n"))
+    found = met.mapInArrow(gather, "of long, at binary, leaf binary, n binary")
+    coded = parts.drop("asked").groupBy("part").cogroup(found.groupBy("of")).applyInArrow(fill, f"doc_id {kind}, leaves array<short>, share double")
     return settle(coded, "lm-coded")
 
 
-def _to_units(number: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers as shorts, those from 2^15 on as a negative one and the rest behind it, and the first short of each text."""
-    long = number >= 1 << 15
-    after = np.concatenate([[0], np.cumsum(1 + long)])
-    units = np.empty(after[-1], np.int16)
-    units[after[:-1]] = np.where(long, -1 - (number & 0x7FFF), number)
-    units[after[1:][long] - 1] = number[long] >> 15
-    return units, after[firsts]
-
-
-def _from_units(units: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and the first number of each text, from their shorts."""
-    begins = np.ones(len(units), bool)
-    begins[1:] = units[:-1] >= 0
-    at = np.flatnonzero(begins)
-    number = units[at].astype(np.int64)
-    long = np.flatnonzero(number < 0)
-    number[long] = -1 - number[long] + (units[at[long] + 1].astype(np.int64) << 15)
-    return number, np.searchsorted(at, firsts)
+def _packed(values: np.ndarray) -> bytes:
+    """Integers as compressed bytes, the first bytes of all before the second ones; the size stands in front."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.Codec("zstd").compress(planes, asbytes=True)
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, len(planes) // width).T).view(kind).reshape(-1)
 
 
 def _coded(batch: pa.RecordBatch):

@@ -260,6 +260,54 @@ def test_lm_parts_hold_numbers_of_words(spark, monkeypatch):
         assert coded[doc_id]["leaves"] == leaves and coded[doc_id]["share"] == pytest.approx(sum(logs))
 
 
+def test_lm_sends_middling_sums_as_two_numbers(spark, monkeypatch):
+    """Sums of 8 to 127 take no list; each width comes out as it went in."""
+    lists = [["a", "b"] * n for n in (2, 30, 300)]
+    texts = [" ".join(f"{w}{i}" for w in words) for i, words in enumerate(lists)]
+    monkeypatch.setattr(lm_score, "settle", lambda df, name: df)
+    counts = lm_score.count_words(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1))
+    assert "more" in counts._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
+    expected = {}
+    for _first, firsts, hashes in lm_score.words(pa.array(texts)):
+        for word, sums in zip(*lm_score._company(hashes, firsts)):
+            expected[int(word.view(np.int64))] = sums.tolist()
+    assert {r[0]: list(r[1:]) for r in counts.collect()} == expected
+    most = sorted(max(map(abs, sums[1:])) for sums in expected.values())
+    assert most[1] <= 7 < most[2] and most[3] <= 127 < most[4]
+
+
+def test_lm_parts_take_little_room(spark, monkeypatch):
+    """A part is one row; a word of one place takes next to no room in it; answers come back as a row per part and task."""
+    kept, plans = {}, {}
+    settle = lm_score.settle
+
+    def keep(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return kept.setdefault(name, settle(df, name))
+
+    monkeypatch.setattr(lm_score, "settle", keep)
+    monkeypatch.setattr(lm_score, "LAYOUT", 10)
+    monkeypatch.setattr(lm_score, "_GATHERED", 500)
+    rows = [(str(i), " ".join(["often"] * (i % 3) + [f"w{i * 1000 + j}" for j in range(1000)] + ["both"])) for i in range(8)] + [(None, None), ("x", "")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").coalesce(1)
+    classes, _share = lm_score.word_classes(lm_score.count_words(docs))
+    coded = {r["doc_id"]: r["leaves"] for r in lm_score.encode(docs, classes).collect()}
+    part, = kept["lm-parts"].collect()
+    assert part["doc_id"] == [d for d, _ in rows] and len(part["asked"]) > 7900 and len(part["places"]) < 500
+    assert "MapInArrow" in plans["lm-coded"].split("Join")[0]
+    table = {r["word"]: r["leaf"] for r in classes.table.collect()}
+    for doc_id, text in rows:
+        hashes = [h for _f, _firsts, found in lm_score.words(pa.array([text], pa.string())) for h in found.view(np.int64).tolist()]
+        assert coded[doc_id] == [table[h] for h in hashes]
+
+
+@pytest.mark.parametrize("kind", [np.int16, np.int32, np.int64])
+def test_lm_packs_integers(kind):
+    ends = np.iinfo(kind)
+    for values in ([], [0], [ends.min, -1, 0, 1, ends.max], range(300)):
+        assert lm_score._unpacked(lm_score._packed(np.array(values, kind)), kind).tolist() == list(values)
+
+
 @pytest.mark.parametrize("steep", [60.0, 0.0])
 def test_lm_probabilities_by_the_plain_formula(monkeypatch, steep):
     monkeypatch.setattr(lm_score, "_STEEP", steep)
